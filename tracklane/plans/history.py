@@ -58,17 +58,23 @@ def key_columns(track: Track) -> list[str]:
     return [f"{_KEY}{i}" for i in range(len(track.keys))]
 
 
+def keyed(df: DataFrame, track: Track) -> DataFrame:
+    """Add NULL-free copies of the key columns, fit for joins."""
+    keys = key_columns(track)
+    if all(k in df.columns for k in keys):
+        return df
+    safe = [F.coalesce(F.col(k), _stand_in(df.schema[k].dataType)).alias(a) for k, a in zip(track.keys, keys)]
+    return df.select("*", *safe)
+
+
 def chunked(df: DataFrame, track: Track) -> DataFrame:
     """Add the chunk number (rising with time inside each key) and NULL-free key columns."""
     if CHUNK in df.columns:
         return df
     keys = key_columns(track)
+    df = keyed(df, track)
     base = df.select(
         "*",
-        *[
-            F.coalesce(F.col(k), _stand_in(df.schema[k].dataType)).alias(a)
-            for k, a in zip(track.keys, keys)
-        ],
         F.coalesce(F.expr(f"`{track.time}` div {track.slot}"), F.lit(-(2**40))).alias("_slot"),
     )
     busy = _busy_slots(base, keys, track)
@@ -76,7 +82,7 @@ def chunked(df: DataFrame, track: Track) -> DataFrame:
     if busy is not None:
         base = base.join(F.broadcast(busy), [*keys, "_slot"], "left")
         chunk = chunk + F.expr(f"least(coalesce((`{track.time}` - _lo) div _step, 0), {_PARTS - 1})")
-    return base.select(*df.columns, *keys, chunk.alias(CHUNK))
+    return base.select(*df.columns, chunk.alias(CHUNK))
 
 
 def _busy_slots(base: DataFrame, keys: list[str], track: Track) -> DataFrame | None:
