@@ -142,6 +142,7 @@ def anomaly_context(log: DataFrame, anomalies: DataFrame, track: Track = Track()
     of open windows at every row: linear in the input however the windows overlap.
     """
     keys, ties = track.keys, track.ties
+    anomalies = settle(anomalies.select(*keys, "start_ms", "end_ms"))
     rows = log.select(*keys, track.time, F.lit(1).alias("_kind"), *ties, F.lit(0).alias("_step"))
     no_tie = [F.lit(None).cast(log.schema[t].dataType).alias(t) for t in ties]
     opens = anomalies.select(*keys, (F.col("start_ms") - margin_ms).alias(track.time), F.lit(0).alias("_kind"), *no_tie, F.lit(1).alias("_step"))

@@ -12,6 +12,9 @@ Only leaders depend on order, and only on points near them. So the work is split
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -49,48 +52,50 @@ def around(df: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, "cx", "cy", F.explode(F.transform(shift, lambda i: i + F.col("cz"))).alias("cz"))
 
 
-def _lead_flags(lat: np.ndarray, lng: np.ndarray, known: np.ndarray, metres: float, radius: float) -> np.ndarray:
-    """Which points (in order) lead, given ``known`` leaders as rows of ``(lat, lng)``."""
-    def xyz(a, o):
-        a, o = np.radians(a), np.radians(o)
-        return np.stack([np.cos(a) * np.cos(o), np.cos(a) * np.sin(o), np.sin(a)], axis=1)
-
-    points = xyz(lat, lng)
-    cells = np.floor(points * (radius / metres)).astype(np.int64)
-    held: dict[tuple, list[tuple[float, float]]] = {}
-    for (a, o), c in zip(known, np.floor(xyz(known[:, 0], known[:, 1]) * (radius / metres)).astype(np.int64)):
-        held.setdefault(tuple(c), []).append((a, o))
-    flags = np.zeros(len(lat), dtype=bool)
-    for i, (x, y, z) in enumerate(cells):
-        near = [p for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1) for p in held.get((x + dx, y + dy, z + dz), ())]
-        if near:
-            other = np.radians(np.array(near))
-            a, o = np.radians(lat[i]), np.radians(lng[i])
-            h = np.sin((other[:, 0] - a) / 2) ** 2 + np.cos(a) * np.cos(other[:, 0]) * np.sin((other[:, 1] - o) / 2) ** 2
-            if (2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h))) <= metres).any():
-                continue
-        flags[i] = True
-        held.setdefault((x, y, z), []).append((lat[i], lng[i]))
-    return flags
+def _leaders_of_sorted(batches: Iterator[pd.DataFrame], group: list[str], metres: float, radius: float) -> Iterator[pd.DataFrame]:
+    """Leading rows of sorted partitions. Only the leaders of the current group are held.
+
+    Rows with ``_known`` set are leaders of earlier chunks: they count, but are not given out.
+    """
+    held: dict[tuple, list[tuple[float, float, float]]] = {}
+    current = None
+    reach = 2 * math.sin(metres / (2 * radius))  # chord length of the radius on the unit sphere
+    for batch in batches:
+        lat, lng = np.radians(batch["lat"].to_numpy()), np.radians(batch["lng"].to_numpy())
+        points = np.stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)], axis=1)
+        cells = np.floor(points * (radius / metres)).astype(np.int64).tolist()
+        flags = np.zeros(len(batch), dtype=bool)
+        names = list(zip(*[batch[g].tolist() for g in group]))
+        known = batch["_known"].tolist()
+        for i, (name, (x, y, z), p) in enumerate(zip(names, cells, points.tolist())):
+            if name != current:
+                held, current = {}, name
+            if not known[i]:
+                if any(
+                    math.dist(p, q) <= reach
+                    for dx in (-1, 0, 1) for dy in (-1, 0, 1) for dz in (-1, 0, 1)
+                    for q in held.get((x + dx, y + dy, z + dz), ())
+                ):
+                    continue
+                flags[i] = True
+            held.setdefault((x, y, z), []).append(p)
+        yield batch[flags]
+
+
+def _lead(points: DataFrame, track: Track, metres: float, radius: float) -> DataFrame:
+    group = [*key_columns(track), CHUNK]
+    ordered = points.repartition(*group).sortWithinPartitions(*group, F.desc("_known"), track.time, *track.ties)
+    out = ordered.mapInPandas(lambda it: _leaders_of_sorted(it, group, metres, radius), points.schema)
+    return settle(out)
 
 
 def _find_leaders(candidates: DataFrame, track: Track, metres: float, radius: float) -> DataFrame:
     keys = key_columns(track)
     order = [track.time, *track.ties]
     group = [*keys, CHUNK]
-
-    def pick(points: pd.DataFrame, known: np.ndarray) -> pd.DataFrame:
-        points = points.sort_values(order)
-        return points[_lead_flags(points["lat"].to_numpy(), points["lng"].to_numpy(), known, metres, radius)]
-
-    def alone(points: pd.DataFrame) -> pd.DataFrame:
-        return pick(points, np.empty((0, 2)))
-
-    def with_known(points: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        return pick(points, known[["lat", "lng"]].to_numpy(dtype=float).reshape(-1, 2)) if len(points) else points
-
-    leaders = settle(candidates.groupBy(*group).applyInPandas(alone, candidates.schema))
-    several = candidates.groupBy(*keys).agg(F.countDistinct(CHUNK).alias("_n")).filter("_n > 1").select(*keys)
+    candidates = candidates.withColumn("_known", F.lit(False))
+    leaders = _lead(candidates, track, metres, radius)
+    several = candidates.groupBy(*keys).agg((F.min(CHUNK) < F.max(CHUNK)).alias("_many")).filter("_many").select(*keys)
     if several.isEmpty():
         return leaders
     cell = cell_columns(F.col("lat"), F.col("lng"), metres, radius)
@@ -101,15 +106,13 @@ def _find_leaders(candidates: DataFrame, track: Track, metres: float, radius: fl
     leaders = leaders.join(several, keys, "left_semi")
     while True:
         known = leaders.select(*keys, F.col(CHUNK).alias("_from"), "lat", "lng", *cell).join(reach, [*keys, "cx", "cy", "cz"])
-        known = known.filter(F.col("_from") < F.col(CHUNK)).select(*group, "lat", "lng").distinct()
-        again = settle(
-            points.groupBy(*group).cogroup(known.groupBy(*group)).applyInPandas(with_known, candidates.schema)
-        )
+        known = known.filter(F.col("_from") < F.col(CHUNK)).select(*group, "lat", "lng", F.lit(True).alias("_known")).distinct()
+        again = _lead(points.unionByName(known, allowMissingColumns=True), track, metres, radius)
         marks = [*group, *order]
-        moved = again.select(*marks).exceptAll(leaders.select(*marks)).union(leaders.select(*marks).exceptAll(again.select(*marks)))
+        old, new = leaders.select(*marks), again.select(*marks)
         leaders = again
-        if moved.isEmpty():
-            return done.unionByName(leaders)
+        if new.exceptAll(old).isEmpty() and old.exceptAll(new).isEmpty():
+            return done.unionByName(leaders.select(*done.columns))
 
 
 def dwell_locations(

@@ -228,7 +228,7 @@ def traffic_segments(stretches: DataFrame, order: list[str], total_m: int, route
         (F.coalesce(F.col("offset_m"), F.lit(0)) + F.col("length_m")).cast("long").alias("_b"),
         F.struct(*order, "style").alias("_first"),
     )
-    cuts = rows.select(route, F.explode(F.array(F.lit(0), F.lit(total_m), F.col("_a"), F.col("_b"))).cast("long").alias("_cut"))
+    cuts = rows.select(route, F.explode(F.array(F.lit(0).cast("long"), F.lit(total_m).cast("long"), F.col("_a"), F.col("_b"))).alias("_cut"))
     cuts = cuts.filter(F.col("_cut") <= total_m).distinct()
 
     k = F.col("_k")

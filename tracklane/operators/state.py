@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.plans.history import Track, scan, unchunked
+from tracklane.session import settle
 
 
 def log_index(log: DataFrame, track: Track = Track()) -> DataFrame:
@@ -93,8 +94,8 @@ def trip_backfill(log: DataFrame, trips: str = "current_trips", track: Track = T
         prior_max={"_covered": F.col("end_ms")},
     )
     begin = F.greatest(F.col(track.time), F.col("_covered") + 1)
-    spans = unchunked(spans).select(*track.keys, begin.alias(track.time), "end_ms", "trip_id").filter(
-        F.col("end_ms") >= F.col(track.time)
+    spans = settle(  # one small row per trip, read by both passes of the next scan
+        spans.select(*track.keys, begin.alias(track.time), "end_ms", "trip_id").filter(F.col("end_ms") >= F.col(track.time))
     )
     empty = F.coalesce(F.size(trips), F.lit(0)) <= 0
     line = log.select("*", F.lit(1).alias("_kind")).unionByName(

@@ -17,7 +17,7 @@ FIRST_TASKS = 20
 
 def label_ids(label: Column) -> Column:
     """Ids of a comma separated label, blanks dropped."""
-    return F.filter(F.transform(F.split(label, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(label, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def distinct_ids(log: DataFrame, ids: Column, name: str, keys: tuple[str, ...] = ("vehicle_id",)) -> DataFrame:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tracklane.registry.base import ORACLES, QUERIES
 
-PARTS = ("fleet",)
+PARTS = ("fleet", "orders", "raw")
 
 
 def load():

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tracklane.functions import geo, text
 from tracklane.operators import detect, dwell, filters, layers, segments, state, trips, view
 from tracklane.registry.base import TRACK, fleet, fleet_trips, query, r3
+from tracklane.session import settle
 from tracklane.sinks import datasets
 
 W = "(partition by vehicle_id order by event_ms, event_id)"
@@ -155,7 +156,9 @@ with {BACKFILL}, src as (select l.*, coalesce(l.trip_id, f.filled_trip) as ident
 def _(spark, sf):
     log = state.trip_backfill(fleet_trips(spark, sf), track=TRACK)
     ident = segments.segment_ident(F.lit("ODRD"), F.col("current_trips"), F.col("current_trips_filled"))
-    log = state.fill_position(log.withColumn("ident", ident), "raw_lat", "raw_lng", "heading", track=TRACK)
+    # two more ordered passes follow, so the back-filled log is written once, with the columns they need
+    log = settle(log.select("vehicle_id", "event_ms", "event_id", "api", "raw_lat", "raw_lng", "heading", ident.alias("ident")))
+    log = state.fill_position(log, "raw_lat", "raw_lng", "heading", track=TRACK)
     return rounded_segments(segments.trip_segments(log, "ident", "filled_lat", "filled_lng", TRACK))
 
 

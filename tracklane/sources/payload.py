@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clean(value):
@@ -54,14 +55,12 @@ def _canonical(text: str | None, change) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
-def _normalise(texts: pd.Series) -> pd.Series:
-    return pd.Series([_canonical(t, clean) for t in texts])
+def _changed(payload: Column, change) -> Column:
+    @F.pandas_udf(T.StringType())
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([_canonical(t, change) for t in texts], dtype=object)
 
-
-@F.pandas_udf("string")
-def _drop_empty(texts: pd.Series) -> pd.Series:
-    return pd.Series([_canonical(t, without_empty_objects) for t in texts])
+    return run(payload)
 
 
 def normalise_payload(payload: Column) -> Column:
@@ -69,11 +68,11 @@ def normalise_payload(payload: Column) -> Column:
 
     Text that holds several JSON values separated by commas becomes an array.
     """
-    return _normalise(payload)
+    return _changed(payload, clean)
 
 
 def remove_empty(payload: Column) -> Column:
-    return _drop_empty(payload)
+    return _changed(payload, without_empty_objects)
 
 
 def payload_hash(payload: Column) -> Column:
