@@ -137,7 +137,7 @@ def dwell_locations(
     mark = F.struct(track.time, *track.ties, F.col("lat").alias("lead_lat"), F.col("lng").alias("lead_lng")).alias("_lead")
     lead_cells = around(leaders.select(*keys, mark, *cell), [*keys, "_lead"])
     near = spots.select("*", *cell).join(lead_cells, [*keys, "cx", "cy", "cz"])
-    close = geo.distance_m(F.col("_lead.lead_lat"), F.col("_lead.lead_lng"), F.col("lat"), F.col("lng"), radius) <= metres
+    close = geo.distance_m(F.col("_lead.lead_lat"), F.col("_lead.lead_lng"), F.col("lat"), F.col("lng"), radius) <= metres + 1e-6  # a micrometre, so no fix falls between two roundings
     joined = near.filter(close).groupBy(*track.keys, "lat", "lng", "updates", "_end").agg(F.min("_lead").alias("_lead"))
     out = joined.groupBy(*track.keys, "_lead").agg(F.sum("updates").alias("updates"), F.max("_end").alias("end_ms"))
     return out.filter(F.col("updates") >= min_updates).select(

@@ -15,22 +15,30 @@ from pyspark.sql import types as T
 from tracklane.functions.text import api_of
 from tracklane.schema import APIS
 
-ROW_SCHEMA = "file string, pos int, row string"
-
 
 def _rows_of_text(text: Column) -> Column:
     """JSON text of every row of a dataset file: envelope, bare array, or several objects."""
-    parsed = F.coalesce(F.try_parse_json(text), F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+    # one value inside the brackets is a plain file; more are objects separated by commas
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    values = F.try_variant_get(wrapped, "$", "array<variant>")
+    parsed = F.when(F.size(values) == 1, values[0]).otherwise(wrapped)
     inner = F.try_variant_get(parsed, "$.rawLogs", "variant")
     rows = F.when(inner.isNotNull(), inner).otherwise(parsed)
     listed = F.try_variant_get(rows, "$", "array<variant>")
     return F.transform(F.coalesce(listed, F.array(rows)), lambda v: F.to_json(v))
 
 
-def scan_dataset_json(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, pos, row)``: one row per log row of every dataset file under ``path``."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    return files.select("file", F.posexplode(_rows_of_text(F.col("value"))).alias("pos", "row"))
+def scan_dataset_json(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """``(file, pos, row)``: one row per log row of every dataset under ``path``.
+
+    A dataset is a whole file, or a line with ``per_line`` (large stores pack many datasets per file).
+    """
+    texts = spark.read.text(path, wholetext=not per_line).select(F.input_file_name().alias("file"), "value")
+    return _exploded(texts)
+
+
+def _exploded(texts: DataFrame) -> DataFrame:
+    return texts.select("file", F.posexplode(_rows_of_text(F.col("value"))).alias("pos", "row"))
 
 
 def scan_dataset_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -38,21 +46,26 @@ def scan_dataset_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.input_file_name().alias("file"), F.col("value").alias("row"))
 
 
-def scan_zip(spark: SparkSession, path: str) -> DataFrame:
-    """Log rows of the first ``.json`` member of every archive; an archive without one is an error."""
+def unzip_rows(files: DataFrame) -> DataFrame:
+    """Log rows of the first ``.json`` member of each archive in ``(path, content)`` rows."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            texts = []
             for name, content in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
                     member = next((m for m in archive.namelist() if m.endswith(".json")), None)
                     if member is None:
                         raise ValueError(f"No JSON file found in {name}")
-                    yield pd.DataFrame({"file": [name], "value": [archive.read(member).decode("utf-8")]})
+                    texts.append(archive.read(member).decode("utf-8"))
+            yield pd.DataFrame({"file": batch["path"], "value": texts})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    texts = files.mapInPandas(unpack, "file string, value string")
-    return texts.select("file", F.posexplode(_rows_of_text(F.col("value"))).alias("pos", "row"))
+    return _exploded(files.select("path", "content").mapInPandas(unpack, "file string, value string"))
+
+
+def scan_zip(spark: SparkSession, path: str) -> DataFrame:
+    """Log rows of every archive under ``path``, many archives at a time."""
+    return unzip_rows(spark.read.format("binaryFile").load(path))
 
 
 def archive_unpivot(rows: DataFrame, row: str = "row") -> DataFrame:

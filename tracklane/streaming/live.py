@@ -41,7 +41,8 @@ def missing_updates(log: DataFrame, threshold_ms: int, late: str = "10 minutes")
         tail = rows.iloc[-1]
         state.update((int(tail["event_ms"]), int(tail["event_id"]), float(tail["raw_lat"]), float(tail["raw_lng"])))
         out = out[out["interval_ms"] >= threshold_ms]
-        yield out.astype({"start_ms": "int64", "end_ms": "int64", "interval_ms": "int64"})
+        if len(out):
+            yield out.astype({"start_ms": "int64", "end_ms": "int64", "interval_ms": "int64"})
 
     return fixes.groupBy("vehicle_id").applyInPandasWithState(
         step, GAP_SCHEMA, "ms long, id long, lat double, lng double", "append", GroupStateTimeout.NoTimeout
@@ -65,9 +66,10 @@ def status_changes(log: DataFrame, late: str = "10 minutes") -> DataFrame:
         changed = part[part["trip_status"] != before]
         tail = part.iloc[-1]
         state.update((int(tail["event_ms"]), int(tail["event_id"]), tail["trip_status"]))
-        yield pd.DataFrame({
-            "vehicle_id": key[0], "event_ms": changed["event_ms"], "event_id": changed["event_id"], "new_status": changed["trip_status"]
-        })
+        if len(changed):
+            yield pd.DataFrame({
+                "vehicle_id": key[0], "event_ms": changed["event_ms"], "event_id": changed["event_id"], "new_status": changed["trip_status"]
+            })
 
     return rows.groupBy("vehicle_id").applyInPandasWithState(
         step, STATUS_SCHEMA, "ms long, id long, status string", "append", GroupStateTimeout.NoTimeout
