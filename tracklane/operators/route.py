@@ -119,18 +119,32 @@ def path_measure(points: DataFrame, track: Track) -> DataFrame:
 # --- one route per row: the path and its stretches are arrays of that row -------------------------
 
 
-def measured(points: Column) -> Column:
-    """Array of ``{latitude, longitude, m}`` with the distance from the start."""
-    def add(acc, p):
-        last = F.element_at(acc, -1)
-        step = F.when(F.size(acc) == 0, F.lit(0.0)).otherwise(
-            F.try_element_at(acc, F.lit(-1))["m"]
-            + geo.distance_m(F.try_element_at(acc, F.lit(-1))["latitude"], F.try_element_at(acc, F.lit(-1))["longitude"], p["latitude"], p["longitude"])
-        )
-        return F.concat(acc, F.array(F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude"), step.alias("m"))))
+LINE = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("latitude", "longitude", "m")]))
 
-    empty = F.from_json(F.lit("[]"), "array<struct<latitude:double,longitude:double,m:double>>")
-    return F.aggregate(points, empty, add)
+
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` mentions it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def measured(points: Column, radius: float = geo.EARTH_RADIUS_M) -> Column:
+    """Array of ``{latitude, longitude, m}`` with each point's distance from the start, in one pass."""
+
+    @F.pandas_udf(LINE)
+    def run(paths: pd.Series) -> pd.Series:
+        out = []
+        for path in paths:
+            if path is None or len(path) == 0:
+                out.append(None if path is None else [])
+                continue
+            place = np.array([(p["latitude"], p["longitude"]) for p in path])
+            lat, lng = np.radians(place).T
+            h = np.sin(np.diff(lat) / 2) ** 2 + np.cos(lat[:-1]) * np.cos(lat[1:]) * np.sin(np.diff(lng) / 2) ** 2
+            along = np.concatenate([[0.0], np.cumsum(2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h))))])
+            out.append([{"latitude": a, "longitude": o, "m": m} for (a, o), m in zip(place.tolist(), along.tolist())])
+        return pd.Series(out, dtype=object)
+
+    return run(points)
 
 
 def _edges(line: Column) -> Column:
@@ -138,29 +152,25 @@ def _edges(line: Column) -> Column:
     return F.arrays_zip(F.slice(line, F.lit(1), n).alias("a"), F.slice(line, F.lit(2), n).alias("b"))
 
 
-def _fraction_point(edge: Column, m: Column) -> Column:
-    span = edge["b"]["m"] - edge["a"]["m"]
-    part = F.when(span > 0, (m - edge["a"]["m"]) / span).otherwise(F.lit(0.0))
-    mix = lambda f: (edge["a"][f] + (edge["b"][f] - edge["a"][f]) * part).alias(f)
-    return F.struct(mix("latitude"), mix("longitude"))
+def _place(p: Column) -> Column:
+    return F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude"))
 
 
 def point_at(line: Column, m: Column) -> Column:
     """Point at a distance along a measured line (clamped to its ends)."""
-    inside = F.filter(_edges(line), lambda e: e["b"]["m"] >= m)
-    first = F.try_element_at(inside, F.lit(1))
-    end = F.element_at(line, -1)
-    return F.when(first.isNotNull(), _fraction_point(first, F.greatest(m, F.lit(0.0)))).otherwise(
-        F.struct(end["latitude"].alias("latitude"), end["longitude"].alias("longitude"))
-    )
+
+    def on_edge(e):
+        span = e["b"]["m"] - e["a"]["m"]
+        part = F.when(span > 0, (F.greatest(m, F.lit(0.0)) - e["a"]["m"]) / span).otherwise(F.lit(0.0))
+        mix = lambda f: (e["a"][f] + (e["b"][f] - e["a"][f]) * part).alias(f)
+        return F.when(e.isNull(), _place(F.element_at(line, -1))).otherwise(F.struct(mix("latitude"), mix("longitude")))
+
+    return let(F.try_element_at(F.filter(_edges(line), lambda e: e["b"]["m"] >= m), F.lit(1)), on_edge)
 
 
 def slice_line(line: Column, start: Column, end: Column) -> Column:
     """Points of a measured line between two distances."""
-    inner = F.transform(
-        F.filter(line, lambda p: (p["m"] > start) & (p["m"] < end)),
-        lambda p: F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude")),
-    )
+    inner = F.transform(F.filter(line, lambda p: (p["m"] > start) & (p["m"] < end)), _place)
     return F.concat(F.array(point_at(line, start)), inner, F.array(point_at(line, end)))
 
 
@@ -172,45 +182,53 @@ def travelled_m(line: Column, lat: Column, lng: Column) -> Column:
         bx, by = (e["b"]["longitude"] - e["a"]["longitude"]) * east, e["b"]["latitude"] - e["a"]["latitude"]
         px, py = (lng - e["a"]["longitude"]) * east, lat - e["a"]["latitude"]
         size = bx * bx + by * by
-        t = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * bx + py * by) / size))).otherwise(F.lit(0.0))
-        gap = (px - t * bx) * (px - t * bx) + (py - t * by) * (py - t * by)
-        return F.struct(gap.alias("gap"), (e["a"]["m"] + (e["b"]["m"] - e["a"]["m"]) * t).alias("m"))
+        part = F.when(size > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * bx + py * by) / size))).otherwise(F.lit(0.0))
+
+        def measure(t):
+            gap = (px - t * bx) * (px - t * bx) + (py - t * by) * (py - t * by)
+            return F.struct(gap.alias("gap"), (e["a"]["m"] + (e["b"]["m"] - e["a"]["m"]) * t).alias("m"))
+
+        return let(part, measure)
 
     return F.array_min(F.transform(_edges(line), place))["m"]
 
 
-def route_intervals(points: Column, stretches: Column, lat: Column | None = None, lng: Column | None = None) -> Column:
-    """Styled intervals ``{start_m, end_m, style, path}`` of one route held in one row.
+def route_intervals(
+    rows: DataFrame, points: str, stretches: str, lat: Column | None = None, lng: Column | None = None
+) -> DataFrame:
+    """Styled intervals of routes held in one row each: ``start_m, end_m, style, path`` beside the other columns.
 
-    A known current point puts the travelled part, as ``STYLE_NO_DATA``, ahead of the other stretches.
+    ``points`` is an array of ``{latitude, longitude}``, ``stretches`` one of ``{style, offsetmeters,
+    lengthmeters}``. A known current point puts the travelled part, as ``STYLE_NO_DATA``, ahead of the
+    other stretches. Steps are separate columns, so each is computed once per row.
     """
-    line = measured(points)
-    total = F.element_at(line, -1)["m"]
+    keep = [c for c in rows.columns if c not in (points, stretches)]
+    line = rows.select(*rows.columns, measured(F.col(points)).alias("_line"))
+    gone = travelled_m(F.col("_line"), lat, lng) if lat is not None else F.lit(0.0)
     listed = F.transform(
-        F.coalesce(stretches, F.from_json(F.lit("[]"), "array<struct<style:string,offsetmeters:double,lengthmeters:double>>")),
+        stretches,
         lambda s: F.struct(s["style"].alias("style"), F.coalesce(s["offsetmeters"].cast("double"), F.lit(0.0)).alias("o"),
                            s["lengthmeters"].cast("double").alias("n")),
     )
-    if lat is not None:
-        gone = travelled_m(line, lat, lng)
-        first = F.array(F.struct(F.lit(NO_DATA).alias("style"), F.lit(0.0).alias("o"), gone.alias("n")))
-        listed = F.when(gone > 0, F.concat(first, listed)).otherwise(listed)
-    cuts = F.concat(F.array(F.lit(0.0), total), F.transform(listed, lambda s: s["o"]), F.transform(listed, lambda s: s["o"] + s["n"]))
-    cuts = F.array_sort(F.array_distinct(F.filter(cuts, lambda c: c <= total)))
-    n = F.greatest(F.size(cuts) - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice(cuts, F.lit(1), n).alias("s"), F.slice(cuts, F.lit(2), n).alias("e"))
-
-    def interval(p):
-        over = F.filter(listed, lambda s: (p["s"] >= s["o"]) & (p["s"] < s["o"] + s["n"]))
-        style = F.coalesce(F.try_element_at(over, F.lit(1))["style"], F.lit(NORMAL))
-        return F.struct(p["s"].alias("start_m"), p["e"].alias("end_m"), style.alias("style"), slice_line(line, p["s"], p["e"]).alias("path"))
-
-    def whole(style):
-        return F.array(F.struct(F.lit(0.0).alias("start_m"), F.coalesce(total if style == NORMAL else F.lit(0.0), F.lit(0.0)).alias("end_m"),
-                                F.lit(style).alias("style"), points.alias("path")))
-
-    short = points.isNull() | (F.size(points) < 2)
-    return F.when(short, whole(NO_DATA)).when(F.size(listed) == 0, whole(NORMAL)).otherwise(F.transform(pairs, interval))
+    none = F.filter(F.array(F.struct(F.lit("").alias("style"), F.lit(0.0).alias("o"), F.lit(0.0).alias("n"))), lambda s: s["style"] != "")
+    line = line.select("*", F.coalesce(gone, F.lit(0.0)).alias("_gone"), F.coalesce(listed, none).alias("_own"))
+    first = F.array(F.struct(F.lit(NO_DATA).alias("style"), F.lit(0.0).alias("o"), F.col("_gone").alias("n")))
+    line = line.select(
+        *keep, points, "_line", F.coalesce(F.element_at("_line", -1)["m"], F.lit(0.0)).alias("_total"),
+        F.when(F.col("_gone") > 0, F.concat(first, "_own")).otherwise(F.col("_own")).alias("_list"),
+    )
+    cuts = F.concat(F.array(F.lit(0.0), F.col("_total")), F.transform("_list", lambda s: s["o"]), F.transform("_list", lambda s: s["o"] + s["n"]))
+    line = line.select("*", F.array_sort(F.array_distinct(F.filter(cuts, lambda c: c <= F.col("_total")))).alias("_cuts"))
+    n = F.greatest(F.size("_cuts") - 1, F.lit(0))
+    pairs = F.arrays_zip(F.slice("_cuts", F.lit(1), n).alias("s"), F.slice("_cuts", F.lit(2), n).alias("e"))
+    whole = F.array(F.struct(F.lit(0.0).alias("s"), F.col("_total").alias("e")))
+    short = F.col(points).isNull() | (F.size(points) < 2)
+    plain = short | (F.size("_list") == 0)
+    line = line.select(*keep, points, "_line", "_list", short.alias("_short"), F.explode(F.when(plain, whole).otherwise(pairs)).alias("_i"))
+    over = F.filter("_list", lambda s: (F.col("_i.s") >= s["o"]) & (F.col("_i.s") < s["o"] + s["n"]))
+    style = F.when(F.col("_short"), F.lit(NO_DATA)).otherwise(F.coalesce(F.try_element_at(over, F.lit(1))["style"], F.lit(NORMAL)))
+    path = F.when(F.col("_short"), F.col(points)).otherwise(slice_line(F.col("_line"), F.col("_i.s"), F.col("_i.e")))
+    return line.select(*keep, F.col("_i.s").alias("start_m"), F.col("_i.e").alias("end_m"), style.alias("style"), path.alias("path"))
 
 
 # --- stretches as a table: any number of stretches per route ------------------------------------

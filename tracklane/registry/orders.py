@@ -132,10 +132,10 @@ def _(spark, sf):
     rows = read_view(spark, sf, "road_stretch")
     path = F.expr("transform(array(0.0D, 0.002D, 0.007D, 0.01D), a -> named_struct('latitude', a, 'longitude', 10.0D))")
     stretch = F.array(F.struct("style", F.col("offset_m").alias("offsetmeters"), F.col("length_m").alias("lengthmeters")))
-    out = rows.select("route_id", *STRETCH, F.explode(route.route_intervals(path, stretch)).alias("i"))
-    return out.select(
-        "route_id", *STRETCH, r3(F.col("i.start_m"), "start_m"), r3(F.col("i.end_m"), "end_m"), "i.style",
-        r3(F.col("i.path")[0]["latitude"], "from_lat", 6), r3(F.element_at("i.path", -1)["latitude"], "to_lat", 6),
+    rows = rows.select("route_id", *STRETCH, path.alias("points"), stretch.alias("stretches"))
+    return route.route_intervals(rows, "points", "stretches").select(
+        "route_id", *STRETCH, r3("start_m"), r3("end_m"), "style",
+        r3(F.col("path")[0]["latitude"], "from_lat", 6), r3(F.element_at("path", -1)["latitude"], "to_lat", 6),
     )
 
 
