@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.functions import geo
-from tracklane.plans.history import Track, attach_by_key, key_columns, scan
+from tracklane.plans.history import Track, key_columns, scan
 from tracklane.plans.quantiles import summary_by_key
 from tracklane.session import settle
 
@@ -27,7 +27,7 @@ def consecutive_pairs(log: DataFrame, track: Track = Track(), extra: tuple[str,
     )
     before = F.struct(track.time, "raw_lat", "raw_lng", *extra)
     out = scan(fixes, track, prior={"_before": (before, None)}).filter(F.col("_before").isNotNull())
-    helpers = [c for c in out.columns if c.startswith("_key") or c == "_chunk"]
+    helpers = key_columns(track)
     return out.select(
         *track.keys,
         *track.ties,
@@ -44,15 +44,21 @@ def consecutive_pairs(log: DataFrame, track: Track = Track(), extra: tuple[str,
     )
 
 
+def pairs_table(log: DataFrame, track: Track = Track(), extra: tuple[str, ...] = ()) -> DataFrame:
+    """Consecutive pairs written once, for detectors that read them several times."""
+    return settle(consecutive_pairs(log, track, extra))
+
+
 def _with_key_stats(pairs: DataFrame, track: Track, value: str) -> DataFrame:
-    pairs = settle(pairs)  # read by the counts, the ranks and the final filter
-    stats = summary_by_key(pairs, key_columns(track), value)
-    return attach_by_key(pairs, stats, track)
+    """Pairs next to their key's figures. Adaptive execution splits a key that is too large for one task
+    and broadcasts the figures where they turn out small."""
+    keys = key_columns(track)
+    return pairs.join(summary_by_key(pairs, keys, value), keys)
 
 
 def interval_stats(log: DataFrame, track: Track = Track()) -> DataFrame:
     """Mean, median, smallest, largest and deviation of the time between fixes, per vehicle."""
-    pairs = settle(consecutive_pairs(log, track))
+    pairs = pairs_table(log, track)
     keys = key_columns(track)
     names = pairs.select(*keys, *track.keys).distinct()
     return summary_by_key(pairs, keys, "interval_ms").join(names, keys).select(
@@ -75,9 +81,12 @@ def jump_severity(mps: Column) -> Column:
     return F.when(mps <= 100, 2).when(mps < 1000, 6).when(mps < 2000, 10).otherwise(14)
 
 
-def missing_updates(log: DataFrame, track: Track = Track(), state: str | None = None) -> DataFrame:
-    """Pairs of fixes at least ``least(10 x median, 60 s)`` apart."""
-    pairs = consecutive_pairs(log, track, (state,) if state else ())
+def missing_updates(log: DataFrame, track: Track = Track(), state: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """Pairs of fixes at least ``least(10 x median, 60 s)`` apart.
+
+    ``pairs`` may hold a :func:`pairs_table` shared with other detectors.
+    """
+    pairs = pairs or pairs_table(log, track, (state,) if state else ())
     rated = _with_key_stats(pairs, track, "interval_ms")
     limit = F.least(F.col("median") * MISSING_UPDATE_MEDIANS, F.lit(float(MISSING_UPDATE_CAP_MS)))
     move = state_transition(F.col(f"start_{state}"), F.col(f"end_{state}")) if state else F.lit("")
@@ -87,9 +96,14 @@ def missing_updates(log: DataFrame, track: Track = Track(), state: str | None =
     )
 
 
-def velocity_jumps(log: DataFrame, track: Track = Track(), radius: float = geo.EARTH_RADIUS_M) -> DataFrame:
-    """Pairs whose speed is above ``least(median + 2 deviations, 68 m/s)`` over more than a metre."""
-    pairs = consecutive_pairs(log, track).filter("interval_ms > 0")
+def velocity_jumps(
+    log: DataFrame, track: Track = Track(), radius: float = geo.EARTH_RADIUS_M, pairs: DataFrame | None = None
+) -> DataFrame:
+    """Pairs whose speed is above ``least(median + 2 deviations, 68 m/s)`` over more than a metre.
+
+    ``pairs`` may hold a :func:`pairs_table` shared with other detectors.
+    """
+    pairs = (pairs or pairs_table(log, track)).filter("interval_ms > 0")
     metres = geo.distance_m(*[F.col(c) for c in ("start_lat", "start_lng", "end_lat", "end_lng")], radius)
     pairs = pairs.select("*", metres.alias("distance_m"))
     pairs = pairs.select("*", (F.col("distance_m") / (F.col("interval_ms") / 1000.0)).alias("velocity_mps"))

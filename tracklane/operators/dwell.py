@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.functions import geo
-from tracklane.plans.history import CHUNK, Track, chunked, key_columns, keyed
+from tracklane.plans.history import CHUNK, Track, chunked, key_columns, keyed, lane_columns
 from tracklane.session import settle
 
 # Fixed values
@@ -29,8 +29,8 @@ DWELL_RADIUS_M = 20.0
 DWELL_MIN_UPDATES = 12
 DWELL_WEIGHT = 3
 
-# Candidates per chunk; slots are a century, so only large vehicles are cut.
-DWELL_TRACK = Track(slot=3_155_760_000_000, max_rows=500_000)
+# Candidates per task; vehicles with more are cut by month.
+DWELL_TRACK = Track(slot=30 * 86_400_000, max_rows=500_000)
 
 
 def cell_columns(lat: Column, lng: Column, size_m: float, radius: float = geo.EARTH_RADIUS_M) -> list[Column]:
@@ -83,7 +83,7 @@ def _leaders_of_sorted(batches: Iterator[pd.DataFrame], group: list[str], metres
 
 
 def _lead(points: DataFrame, track: Track, metres: float, radius: float) -> DataFrame:
-    group = [*key_columns(track), CHUNK]
+    group = lane_columns(points, track)
     ordered = points.repartition(*group).sortWithinPartitions(*group, F.desc("_known"), track.time, *track.ties)
     out = ordered.mapInPandas(lambda it: _leaders_of_sorted(it, group, metres, radius), points.schema)
     return settle(out)
@@ -95,6 +95,8 @@ def _find_leaders(candidates: DataFrame, track: Track, metres: float, radius: fl
     group = [*keys, CHUNK]
     candidates = candidates.withColumn("_known", F.lit(False))
     leaders = _lead(candidates, track, metres, radius)
+    if CHUNK not in candidates.columns:
+        return leaders
     several = candidates.groupBy(*keys).agg((F.min(CHUNK) < F.max(CHUNK)).alias("_many")).filter("_many").select(*keys)
     if several.isEmpty():
         return leaders

@@ -20,6 +20,8 @@ from tracklane.plans.history import Track, scan
 NO_DATA, NORMAL = "STYLE_NO_DATA", "STYLE_NORMAL"
 # Whole-metre offsets up to 2^LEVELS metres
 LEVELS = 22
+# Stretches per route that one row may hold as an array
+FEW_STRETCHES = 256
 
 POINTS = T.ArrayType(T.StructType([T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType())]))
 DECODED = T.StructType([T.StructField("points", POINTS), T.StructField("error", T.StringType())])
@@ -234,22 +236,46 @@ def route_intervals(
 # --- stretches as a table: any number of stretches per route ------------------------------------
 
 
-def traffic_segments(stretches: DataFrame, order: list[str], total_m: int, route: str = "route_id") -> DataFrame:
+def traffic_segments(stretches: DataFrame, order: list[str], total_m: int, route: str = "route_id", few: int = FEW_STRETCHES) -> DataFrame:
     """Styled intervals of routes whose stretches are rows with whole-metre ``offset_m``, ``length_m``.
 
-    The style at a cut is that of the first listed stretch over it. To find it without comparing all
-    cuts of a route with all its stretches, a stretch is written as at most two blocks per power-of-two
-    size, each block keeps only its first stretch, and a cut looks up the one block of each size over it.
+    The style at a cut is that of the first listed stretch over it. Routes of up to ``few`` stretches
+    are handled as arrays. Longer ones never gather in one task, see :func:`_long_route_segments`.
     """
+    offset = F.coalesce(F.col("offset_m"), F.lit(0)).cast("long")
     rows = stretches.select(
-        route, F.coalesce(F.col("offset_m"), F.lit(0)).cast("long").alias("_a"),
-        (F.coalesce(F.col("offset_m"), F.lit(0)) + F.col("length_m")).cast("long").alias("_b"),
-        F.struct(*order, "style").alias("_first"),
+        route, offset.alias("_a"), (offset + F.col("length_m")).cast("long").alias("_b"), F.struct(*order).alias("_ord"), "style"
     )
+    long = rows.groupBy(route).agg(F.count("*").alias("_n")).filter(F.col("_n") > few).select(route)
+    if long.isEmpty():
+        return _short_route_segments(rows, total_m, route)
+    return _short_route_segments(rows.join(long, route, "left_anti"), total_m, route).unionByName(
+        _long_route_segments(rows.join(long, route, "left_semi"), total_m, route)
+    )
+
+
+def _short_route_segments(rows: DataFrame, total_m: int, route: str) -> DataFrame:
+    total = F.lit(total_m).cast("long")
+    listed = rows.groupBy(route).agg(F.array_sort(F.collect_list(F.struct("_ord", "_a", "_b", "style"))).alias("_list"))
+    cuts = F.concat(F.array(F.lit(0).cast("long"), total), F.transform("_list", lambda s: s["_a"]), F.transform("_list", lambda s: s["_b"]))
+    listed = listed.select(route, "_list", F.array_sort(F.array_distinct(F.filter(cuts, lambda c: c <= total))).alias("_cuts"))
+    n = F.size("_cuts") - 1
+    pairs = F.arrays_zip(F.slice("_cuts", F.lit(1), n).alias("s"), F.slice("_cuts", F.lit(2), n).alias("e"))
+    parts = listed.select(route, "_list", F.explode(pairs).alias("_i"))
+    over = F.filter("_list", lambda s: (F.col("_i.s") >= s["_a"]) & (F.col("_i.s") < s["_b"]))
+    style = F.coalesce(F.try_element_at(over, F.lit(1))["style"], F.lit(NORMAL))
+    return parts.select(route, F.col("_i.s").alias("start_m"), F.col("_i.e").alias("end_m"), style.alias("style"))
+
+
+def _long_route_segments(rows: DataFrame, total_m: int, route: str) -> DataFrame:
+    """Without comparing all cuts of a route with all its stretches: a stretch is written as at most two
+    blocks per power-of-two size, each block keeps only its first stretch, and a cut looks up the one
+    block of each size over it.
+    """
+    rows = rows.select(route, "_a", "_b", F.struct("_ord", "style").alias("_first"))
     cuts = rows.select(route, F.explode(F.array(F.lit(0).cast("long"), F.lit(total_m).cast("long"), F.col("_a"), F.col("_b"))).alias("_cut"))
     cuts = cuts.filter(F.col("_cut") <= total_m).distinct()
 
-    k = F.col("_k")
     lo = F.expr("shiftright(_a + shiftleft(1L, _k) - 1, _k)")
     hi = F.expr("shiftright(least(_b, %d), _k)" % (total_m + 1))
     top = max(total_m, 1).bit_length()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.functions import geo
-from tracklane.plans.history import Track, attach_by_key, chunked, key_columns, runs, scan, unchunked
+from tracklane.plans.history import Track, runs, scan, unchunked
 from tracklane.schema import TRIP_STATUS_WEIGHT, UPDATE_APIS
 from tracklane.session import settle
 
@@ -130,14 +130,9 @@ def status_weight(status: Column) -> Column:
 def log_neighbours(log: DataFrame, track: Track = Track()) -> DataFrame:
     """Previous, next, first and last row of each row's log (single tie column)."""
     (tie,) = track.ties
-    rows = chunked(log.select(*track.keys, track.time, tie), track)
-    there = scan(rows, track, prior={"prev_id": (F.col(tie), None)})
-    back = scan(there, track, prior={"next_id": (F.col(tie), None)}, reverse=True)
-    place = F.struct(track.time, tie)
-    ends = rows.groupBy(*key_columns(track)).agg(F.min(place).alias("_a"), F.max(place).alias("_b")).select(
-        *key_columns(track), F.col(f"_a.{tie}").alias("first_id"), F.col(f"_b.{tie}").alias("last_id")
-    )
-    return attach_by_key(back, ends, track).select(*track.keys, tie, "prev_id", "next_id", "first_id", "last_id")
+    there = scan(log.select(*track.keys, track.time, tie), track, prior={"prev_id": (F.col(tie), None)}, first={"first_id": F.col(tie)})
+    back = scan(there, track, prior={"next_id": (F.col(tie), None)}, first={"last_id": F.col(tie)}, reverse=True)
+    return back.select(*track.keys, tie, "prev_id", "next_id", "first_id", "last_id")
 
 
 def nearest_time(probes: DataFrame, log: DataFrame, track: Track = Track()) -> DataFrame:

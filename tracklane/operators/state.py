@@ -84,7 +84,7 @@ def trip_backfill(log: DataFrame, trips: str = "current_trips", track: Track = T
     after every earlier trip has ended. That leaves disjoint spans ``(latest earlier end, own end]``,
     and each row needs just the span that started last before it - no range join.
     """
-    bounds = trip_bounds(log, trips, track)
+    bounds = settle(trip_bounds(log, trips, track))  # one small row per trip
     spans = scan(
         bounds.select(
             *track.keys, "trip_id", F.col("start_ms").alias(track.time), "end_ms",
@@ -94,9 +94,7 @@ def trip_backfill(log: DataFrame, trips: str = "current_trips", track: Track = T
         prior_max={"_covered": F.col("end_ms")},
     )
     begin = F.greatest(F.col(track.time), F.col("_covered") + 1)
-    spans = settle(  # one small row per trip, read by both passes of the next scan
-        spans.select(*track.keys, begin.alias(track.time), "end_ms", "trip_id").filter(F.col("end_ms") >= F.col(track.time))
-    )
+    spans = spans.select(*track.keys, begin.alias(track.time), "end_ms", "trip_id").filter(F.col("end_ms") >= F.col(track.time))
     empty = F.coalesce(F.size(trips), F.lit(0)) <= 0
     line = log.select("*", F.lit(1).alias("_kind")).unionByName(
         spans.select(*track.keys, track.time, F.lit(0).alias("_kind"), F.struct("trip_id", "end_ms").alias("_span")),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.functions import geo
-from tracklane.plans.history import Track, attach_by_key, chunked, key_columns, scan
+from tracklane.plans.history import Track, scan
 
 # Fixed value: planned and actual place further apart than this are off plan
 OFF_PLAN_M = 50.0
@@ -25,10 +25,10 @@ def name_tail(name: Column) -> Column:
 
 def task_versions(tasks: DataFrame, track: Track = TASK_TRACK) -> DataFrame:
     """Every version of every task with its number and the task's first and last update time."""
-    rows = chunked(tasks, track)
-    numbered = scan(rows, track, running={"version": F.lit(1)})
-    ends = rows.groupBy(*key_columns(track)).agg(F.min(track.time).alias("first_update"), F.max(track.time).alias("last_update"))
-    return attach_by_key(numbered, ends, track).select(*tasks.columns, "version", "first_update", "last_update")
+    there = scan(tasks, track, running={"version": F.lit(1)}, first={"first_update": F.col(track.time)})
+    return scan(there, track, first={"last_update": F.col(track.time)}, reverse=True).select(
+        *tasks.columns, "version", "first_update", "last_update"
+    )
 
 
 def first_known(*columns: Column) -> Column:

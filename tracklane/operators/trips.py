@@ -72,15 +72,16 @@ def vehicle_task_logs(
     ``first_only`` keeps the first 20 distinct ids per vehicle, as the log-store form does; ``seen``
     orders the vehicle rows for that.
     """
-    ids = vehicle_rows.select("vehicle_id", *([seen.alias("_seen")] if first_only else []), F.posexplode(segment_task_ids(segments)).alias("_pos", "task_id"))
-    ids = ids.filter("task_id is not null and task_id <> ''")
     if first_only:
+        ids = vehicle_rows.select("vehicle_id", seen.alias("_seen"), F.posexplode(segment_task_ids(segments)).alias("_pos", "task_id"))
+        ids = ids.filter("task_id is not null and task_id <> ''")
         first = ids.groupBy("vehicle_id", "task_id").agg(F.min(F.struct("_seen", "_pos")).alias("_at"))
         w = Window.partitionBy("vehicle_id").orderBy("_at")
         # a rank bound lets Spark cut each vehicle's ids before the shuffle
         pairs = first.select("*", F.row_number().over(w).alias("_rn")).filter(F.col("_rn") <= FIRST_TASKS).select("vehicle_id", "task_id")
     else:
-        pairs = ids.select("vehicle_id", "task_id")
+        named = F.filter(F.array_distinct(segment_task_ids(segments)), lambda t: t.isNotNull() & (t != ""))
+        pairs = vehicle_rows.select("vehicle_id", F.explode(named).alias("task_id"))
         if labelled is not None:
             pairs = pairs.union(labelled.select("vehicle_id", "task_id"))
         pairs = pairs.distinct()

@@ -1,7 +1,8 @@
-"""Exact median and spread per key, without holding a key's values in one task.
+"""Exact median and spread per key, without holding a large key's values in one task.
 
-Values are counted in narrow slots (each 0.4 % wide, so a few thousand per key at most). The counts
-say which slot holds the middle ranks; only the values of that slot are then ranked.
+Keys with few values use Spark's exact percentile, which keeps a key's distinct values in memory. Keys
+with many are counted in narrow slots instead (each 0.4 % wide, so a few thousand per key at most).
+The counts say which slot holds the middle ranks; only the values of that slot are then ranked.
 """
 
 from __future__ import annotations
@@ -11,10 +12,32 @@ from pyspark.sql import functions as F
 
 _SLOTS_PER_E_FOLD = 256
 _LOWEST = -(2**30)
+# Values per key that one task may hold
+FEW = 200_000
 
 
-def summary_by_key(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, pairs, mean, median, lowest, highest, spread`` (population deviation) of a value >= 0."""
+def summary_by_key(df: DataFrame, keys: list[str], value: str, few: int = FEW) -> DataFrame:
+    """``keys, pairs, mean, median, lowest, highest, spread`` (population deviation) of a value >= 0.
+
+    ``df`` is read more than once, so it should be a table.
+    """
+    many = df.groupBy(*keys).agg(F.count(value).alias("_n")).filter(F.col("_n") > few).select(*keys)
+    if many.isEmpty():
+        return _by_percentile(df, keys, value)
+    return _by_percentile(df.join(many, keys, "left_anti"), keys, value).unionByName(
+        _by_slots(df.join(many, keys, "left_semi"), keys, value)
+    )
+
+
+def _by_percentile(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    v = F.col(value).cast("double")
+    return df.filter(v.isNotNull()).groupBy(*keys).agg(
+        F.count("*").alias("pairs"), F.avg(v).alias("mean"), F.median(v).alias("median"),
+        F.min(v).alias("lowest"), F.max(v).alias("highest"), F.stddev_pop(v).alias("spread"),
+    )
+
+
+def _by_slots(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.col("_v")
     slot = F.when(v > 0, F.floor(F.ln(v) * _SLOTS_PER_E_FOLD)).otherwise(F.lit(_LOWEST)).cast("long")
     values = df.select(*keys, F.col(value).cast("double").alias("_v")).filter(v.isNotNull())

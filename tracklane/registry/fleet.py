@@ -358,7 +358,9 @@ union all select vehicle_id, start_ms, 'Jump', round(velocity_mps, 3), null from
 union all select vehicle_id, start_ms, 'Missing Updates', null, interval_ms from gaps where start_ms between 300000 and 2000000""")
 def _(spark, sf):
     log = fleet(spark, sf)
-    out = detect.log_with_anomalies(log, detect.velocity_jumps(log, TRACK), detect.missing_updates(log, TRACK), 300_000, 2_000_000)
+    pairs = detect.pairs_table(log, TRACK)
+    jumps, gaps = detect.velocity_jumps(log, TRACK, pairs=pairs), detect.missing_updates(log, TRACK, pairs=pairs)
+    out = detect.log_with_anomalies(log, jumps, gaps, 300_000, 2_000_000)
     return out.select("vehicle_id", "event_ms", "api", r3("speed"), "gap_ms").orderBy("event_ms", "vehicle_id", "api")
 
 

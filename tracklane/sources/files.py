@@ -72,9 +72,8 @@ def archive_unpivot(rows: DataFrame, row: str = "row") -> DataFrame:
     """Archive rows keyed by their API name become ``(api, request, response, error, event_time)``."""
     keys = F.json_object_keys(row)
     named = F.filter(keys, lambda k: F.lower(k).rlike("(" + "|".join(a.lower() for a in APIS) + ")"))
-    call = F.element_at(F.try_variant_get(F.try_parse_json(row), "$", "map<string,variant>"), F.try_element_at(named, F.lit(1)))
-    part = lambda n: F.to_json(F.try_variant_get(call, f"$.{n}", "variant"))
     name = F.try_element_at(named, F.lit(1))
+    part = lambda n: F.call_function("get_json_object", F.col(row), F.concat(F.lit("$['"), name, F.lit(f"'].{n}")))
     return rows.select(
         *[c for c in rows.columns if c != row],
         api_of(name).alias("api"), part("request").alias("request"), part("response").alias("response"),
