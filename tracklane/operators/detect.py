@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklane.functions import geo
 from tracklane.plans.history import Track, key_columns, scan
-from tracklane.plans.quantiles import summary_by_key
+from tracklane.plans.quantiles import FEW, summary_by_key
 from tracklane.session import settle
 
 # Fixed values
@@ -49,11 +49,11 @@ def pairs_table(log: DataFrame, track: Track = Track(), extra: tuple[str, ...] =
     return settle(consecutive_pairs(log, track, extra))
 
 
-def _with_key_stats(pairs: DataFrame, track: Track, value: str) -> DataFrame:
+def _with_key_stats(pairs: DataFrame, track: Track, value: str, few: int = FEW) -> DataFrame:
     """Pairs next to their key's figures. Adaptive execution splits a key that is too large for one task
     and broadcasts the figures where they turn out small."""
     keys = key_columns(track)
-    return pairs.join(summary_by_key(pairs, keys, value), keys)
+    return pairs.join(summary_by_key(pairs, keys, value, few), keys)
 
 
 def interval_stats(log: DataFrame, track: Track = Track()) -> DataFrame:
@@ -81,13 +81,14 @@ def jump_severity(mps: Column) -> Column:
     return F.when(mps <= 100, 2).when(mps < 1000, 6).when(mps < 2000, 10).otherwise(14)
 
 
-def missing_updates(log: DataFrame, track: Track = Track(), state: str | None = None, pairs: DataFrame | None = None) -> DataFrame:
+def missing_updates(log: DataFrame, track: Track = Track(), state: str | None = None, pairs: DataFrame | None = None, few: int = FEW) -> DataFrame:
     """Pairs of fixes at least ``least(10 x median, 60 s)`` apart.
 
-    ``pairs`` may hold a :func:`pairs_table` shared with other detectors.
+    ``pairs`` may hold a :func:`pairs_table` shared with other detectors; ``few`` is the number of pairs
+    per vehicle up to which one task ranks them.
     """
     pairs = pairs or pairs_table(log, track, (state,) if state else ())
-    rated = _with_key_stats(pairs, track, "interval_ms")
+    rated = _with_key_stats(pairs, track, "interval_ms", few)
     limit = F.least(F.col("median") * MISSING_UPDATE_MEDIANS, F.lit(float(MISSING_UPDATE_CAP_MS)))
     move = state_transition(F.col(f"start_{state}"), F.col(f"end_{state}")) if state else F.lit("")
     return rated.select("*", limit.alias("threshold_ms")).filter("interval_ms >= threshold_ms").select(
@@ -97,17 +98,19 @@ def missing_updates(log: DataFrame, track: Track = Track(), state: str | None =
 
 
 def velocity_jumps(
-    log: DataFrame, track: Track = Track(), radius: float = geo.EARTH_RADIUS_M, pairs: DataFrame | None = None
+    log: DataFrame, track: Track = Track(), radius: float = geo.EARTH_RADIUS_M, pairs: DataFrame | None = None,
+    few: int = FEW,
 ) -> DataFrame:
     """Pairs whose speed is above ``least(median + 2 deviations, 68 m/s)`` over more than a metre.
 
-    ``pairs`` may hold a :func:`pairs_table` shared with other detectors.
+    ``pairs`` may hold a :func:`pairs_table` shared with other detectors; ``few`` is the number of pairs
+    per vehicle up to which one task ranks them.
     """
     pairs = (pairs or pairs_table(log, track)).filter("interval_ms > 0")
     metres = geo.distance_m(*[F.col(c) for c in ("start_lat", "start_lng", "end_lat", "end_lng")], radius)
     pairs = pairs.select("*", metres.alias("distance_m"))
     pairs = pairs.select("*", (F.col("distance_m") / (F.col("interval_ms") / 1000.0)).alias("velocity_mps"))
-    rated = _with_key_stats(pairs, track, "velocity_mps")
+    rated = _with_key_stats(pairs, track, "velocity_mps", few)
     limit = F.least(F.col("median") + F.col("spread") * 2, F.lit(JUMP_CAP_MPS))
     return (
         rated.select("*", limit.alias("threshold_mps"))

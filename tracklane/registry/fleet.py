@@ -480,3 +480,27 @@ def _(spark, sf):
         F.timestamp_millis(F.col("event_ms") + 1704067200000),
     )
     return log.select("event_id", text.clock_after(base, F.col("k")).alias("eta_clock"))
+
+
+# --- the same answers with every history of more than a few rows cut into chunks -------------------
+
+SPLIT = TRACK.by(max_rows=20)
+
+
+@query("velocity_jumps_split", "fleet_log", sql=f"""
+with {JUMPS} select vehicle_id, event_id, start_ms, round(velocity_mps, 3) as velocity_mps, round(threshold_mps, 3) as threshold_mps from jumps""")
+def _(spark, sf):
+    out = detect.velocity_jumps(fleet(spark, sf), SPLIT, few=20)
+    return out.select("vehicle_id", "event_id", "start_ms", r3("velocity_mps"), r3("threshold_mps"))
+
+
+@query("ffill_location_split", "fleet_log", sql=FILL_SQL.format(p="raw"))
+def _(spark, sf):
+    out = state.fill_position(fleet(spark, sf), "raw_lat", "raw_lng", "heading", track=SPLIT)
+    return out.select("event_id", "vehicle_id", "filled_lat", "filled_lng", "filled_heading")
+
+
+@query("trip_segments_split", "fleet_log", sql=f"with src as (select *, trip_id as ident from fleet_log), {SEGMENTS} {SEGMENT_SUMMARY}")
+def _(spark, sf):
+    log = settle(state.fill_position(fleet(spark, sf), "raw_lat", "raw_lng", "heading", track=SPLIT).drop("_chunk", "_whole", "_key0"))
+    return rounded_segments(segments.trip_segments(log, "trip_id", "filled_lat", "filled_lng", SPLIT))

@@ -246,3 +246,17 @@ def _(spark, sf):
     path = F.when(F.col("stop_no") % 2 == 0, listed).otherwise(loose)
     out = rows.select("task_id", *TIES, route.decode_paths(path).alias("d")).select("task_id", *TIES, F.posexplode("d.points").alias("seq", "p"))
     return out.select("task_id", *TIES, "seq", r3(F.col("p.latitude"), "lat", 6), r3(F.col("p.longitude"), "lng", 6))
+
+
+@query("traffic_segments_long", "road_stretch", sql="""
+with s as (select *, row_number() over (partition by route_id order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as ord from
+  (select * replace (l_suppkey as route_id) from road_stretch)),
+c as (select distinct route_id, unnest([0, 1000, offset_m, offset_m + length_m]) as cut from s),
+d as (select route_id, cut as start_m, lead(cut) over (partition by route_id order by cut) as end_m from c where cut <= 1000)
+select d.route_id, d.start_m, d.end_m, coalesce(arg_min(s.style, s.ord), 'STYLE_NORMAL') as style
+from d left join s on s.route_id = d.route_id and d.start_m >= s.offset_m and d.start_m < s.offset_m + s.length_m
+where d.end_m is not null group by 1, 2, 3""")
+def _(spark, sf):
+    """Few routes with very many stretches each (one route per supplier)."""
+    rows = read_view(spark, sf, "road_stretch").withColumn("route_id", F.col("l_suppkey"))
+    return route.traffic_segments(rows, list(STRETCH), 1000)
