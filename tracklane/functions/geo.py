@@ -13,7 +13,8 @@ def distance_m(lat1: Column, lng1: Column, lat2: Column, lng2: Column, radius: f
     half_lat = F.sin(F.radians(lat2 - lat1) / 2)
     half_lng = F.sin(F.radians(lng2 - lng1) / 2)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lng * half_lng
-    return F.lit(2.0 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # clamped for antipodes; least() would turn a NULL into 1
+    return F.lit(2.0 * radius) * F.asin(F.when(a > 1, F.lit(1.0)).otherwise(F.sqrt(a)))
 
 
 def heading_deg(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -62,6 +63,6 @@ def path_length_m(points: Column, radius: float = EARTH_RADIUS_M) -> Column:
 def sql_distance(lat1: str, lng1: str, lat2: str, lng2: str, radius: float = EARTH_RADIUS_M) -> str:
     """The same distance as SQL text, for checks in another engine."""
     return (
-        f"(2 * {radius} * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1}))"
-        f" * cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2), 2)))))"
+        f"(2 * {radius} * asin(sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1}))"
+        f" * cos(radians({lat2})) * pow(sin(radians({lng2} - {lng1}) / 2), 2))))"
     )

@@ -76,27 +76,27 @@ def chunked(df: DataFrame, track: Track) -> DataFrame:
         return df
     keys = key_columns(track)
     base = keyed(df, track)
-    slotted = base.select("*", F.coalesce(F.expr(f"`{track.time}` div {track.slot}"), F.lit(-(2**40))).alias("_slot"))
+    slotted = base.select("*", F.coalesce(F.expr(f"`{track.time}` div {track.slot}"), F.lit(-(2**40))).alias("_cut_slot"))
     long = _small_list(
-        slotted.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > track.max_rows), [*keys]
+        slotted.groupBy(*keys).agg(F.count("*").alias("_cut_n")).filter(F.col("_cut_n") > track.max_rows), [*keys]
     )
     if long is None:
         return base.select("*", F.lit(True).alias(WHOLE))
-    span = F.col("_hi") - F.col("_lo") + 1
+    span = F.col("_cut_hi") - F.col("_cut_lo") + 1
     busy = _small_list(
-        slotted.join(F.broadcast(long), keys, "left_semi").groupBy(*keys, "_slot")
-        .agg(F.count("*").alias("_n"), F.min(track.time).alias("_lo"), F.max(track.time).alias("_hi"))
-        .filter((F.col("_n") > track.max_rows) & (F.col("_hi") > F.col("_lo")))
+        slotted.join(F.broadcast(long), keys, "left_semi").groupBy(*keys, "_cut_slot")
+        .agg(F.count("*").alias("_cut_n"), F.min(track.time).alias("_cut_lo"), F.max(track.time).alias("_cut_hi"))
+        .filter((F.col("_cut_n") > track.max_rows) & (F.col("_cut_hi") > F.col("_cut_lo")))
         # four times as many parts as needed, to take up uneven spread inside the slot
-        .withColumn("_step", F.greatest(F.ceil(span / (F.ceil(F.col("_n") / track.max_rows) * 4)), F.lit(1))),
-        [*keys, "_slot", "_lo", "_step"],
+        .withColumn("_cut_step", F.greatest(F.ceil(span / (F.ceil(F.col("_cut_n") / track.max_rows) * 4)), F.lit(1))),
+        [*keys, "_cut_slot", "_cut_lo", "_cut_step"],
     )
-    cut = slotted.join(F.broadcast(long.withColumn("_long", F.lit(True))), keys, "left")
+    cut = slotted.join(F.broadcast(long.withColumn("_cut_long", F.lit(True))), keys, "left")
     part = F.lit(0)
     if busy is not None:
-        cut = cut.join(F.broadcast(busy), [*keys, "_slot"], "left")
-        part = F.expr(f"least(coalesce((`{track.time}` - _lo) div _step, 0), {_PARTS - 1})")
-    chunk = F.when(F.col("_long"), F.col("_slot") * _PARTS + part).otherwise(F.lit(0))
+        cut = cut.join(F.broadcast(busy), [*keys, "_cut_slot"], "left")
+        part = F.expr(f"least(coalesce((`{track.time}` - _cut_lo) div _cut_step, 0), {_PARTS - 1})")
+    chunk = F.when(F.col("_cut_long"), F.col("_cut_slot") * _PARTS + part).otherwise(F.lit(0))
     return cut.select(*base.columns, chunk.alias(CHUNK))
 
 
@@ -106,7 +106,7 @@ def _small_list(counts: DataFrame, columns: list[str]) -> DataFrame | None:
     Groups have more than ``max_rows`` rows each, so even the largest tables have few of them. A group
     left out of the list is only cut less finely.
     """
-    rows = counts.orderBy(F.desc("_n")).limit(LIST_ROWS).select(*columns).collect()
+    rows = counts.orderBy(F.desc("_cut_n")).limit(LIST_ROWS).select(*columns).collect()
     return counts.sparkSession.createDataFrame(rows, counts.select(*columns).schema) if rows else None
 
 
