@@ -69,13 +69,13 @@ def _(spark, sf):
 
 
 def journeys(spark, sf):
-    """Vehicle rows with nested journey segments: stop i of a row carries i tasks."""
-    segs = "transform(sequence(1, stop_no), i -> named_struct('stop', named_struct('state', state, 'tasks', transform(sequence(1, i), j -> named_struct('taskId', concat(cast(vehicle_id as string), '-', cast(j as string)))))))"
+    """Vehicle rows with nested journey segments: stop i of a row carries tasks i - 1 and i."""
+    segs = "transform(sequence(1, stop_no), i -> named_struct('stop', named_struct('state', state, 'tasks', transform(sequence(greatest(i - 1, 1), i), j -> named_struct('taskId', concat(cast(vehicle_id as string), '-', cast(j as string)))))))"
     return read_view(spark, sf, "task_log").withColumn("segments", F.expr(segs))
 
 
 @query("remaining_work", "task_log", sql="""
-select task_id, l_partkey, l_suppkey, l_extendedprice, stop_no as remaining_segments, cast(stop_no * (stop_no + 1) // 2 as bigint) as remaining_tasks from task_log""")
+select task_id, l_partkey, l_suppkey, l_extendedprice, stop_no as remaining_segments, 2 * stop_no - 1 as remaining_tasks from task_log""")
 def _(spark, sf):
     return journeys(spark, sf).select(
         "task_id", *TIES, tasks.remaining_segments(F.col("segments")).alias("remaining_segments"), tasks.remaining_tasks(F.col("segments")).alias("remaining_tasks")

@@ -26,11 +26,17 @@ def local_session(cores: int = 8, name: str = "tracklane", partitions: int | Non
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session without that setting (tests, bench) gets a temporary folder of its own.
+    """
     global _local_folder
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if folder:
         return folder
+    if not context.master.startswith("local"):
+        raise ValueError("Name a folder that all executors share in spark.checkpoint.dir")
     if _local_folder is None:
         _local_folder = tempfile.mkdtemp(prefix="tracklane-")
     return _local_folder

@@ -72,14 +72,15 @@ def archive_unpivot(rows: DataFrame, row: str = "row") -> DataFrame:
     """Archive rows keyed by their API name become ``(api, request, response, error, event_time)``."""
     keys = F.json_object_keys(row)
     named = F.filter(keys, lambda k: F.lower(k).rlike("(" + "|".join(a.lower() for a in APIS) + ")"))
-    name = F.try_element_at(named, F.lit(1))
-    part = lambda n: F.call_function("get_json_object", F.col(row), F.concat(F.lit("$['"), name, F.lit(f"'].{n}")))
-    return rows.select(
-        *[c for c in rows.columns if c != row],
-        api_of(name).alias("api"), part("request").alias("request"), part("response").alias("response"),
+    keep = [c for c in rows.columns if c != row]
+    # the name is used many times below, so it is a column of its own
+    calls = rows.select(*keep, row, F.try_element_at(named, F.lit(1)).alias("_name")).filter("_name is not null")
+    part = lambda n: F.call_function("get_json_object", F.col(row), F.concat(F.lit("$['"), F.col("_name"), F.lit(f"'].{n}")))
+    return calls.select(
+        *keep, api_of(F.col("_name")).alias("api"), part("request").alias("request"), part("response").alias("response"),
         part("errorResponse").alias("error"),
         F.coalesce(F.get_json_object(row, "$.serverTime"), F.get_json_object(row, "$.timestamp")).alias("event_time"),
-    ).filter("api is not null")
+    )
 
 
 def union_method_tables(tables: dict[str, DataFrame]) -> DataFrame:
