@@ -74,9 +74,10 @@ def test_trim_first_occurrence_only(spark):
     assert one(spark, text.renamed(F.lit(""), F.lit("kept"), "X")) == "kept"
 
 
-@pytest.mark.parametrize("name,sample,is_time,want", [
-    ("response.createtime", "2024-01-01T00:00:00Z", True, "timestamp"), ("formattedDate", "2024-01-01T00:00:00Z", True, None),
-    ("remainingseconds", "741", False, "duration"), ("remainingdistancemeters", "15", False, "distance"), ("state", "ON", False, None), ("x", None, False, None),
+@pytest.mark.parametrize("name,sample,want", [
+    ("response.createtime", "2024-01-01T00:00:00Z", "timestamp"), ("formattedDate", "2024-01-01T00:00:00Z", None),
+    ("seen", "2024-01-01T00:00:00Z", "timestamp"), ("version", "not a time", None), ("remainingseconds", "741", "duration"),
+    ("remainingdistancemeters", "15", "distance"), ("state", "ON", None), ("x", None, None),
 ])
-def test_category(name, sample, is_time, want):
-    assert category_of(name, sample, True, is_time) == want
+def test_category(name, sample, want):
+    assert category_of(name, sample) == want

@@ -50,6 +50,16 @@ def midpoint(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> tuple[Co
     )
 
 
+def line_middle(points: Column) -> Column:
+    """Half-way point of a two-point line, else the middle vertex."""
+    a, b = points[0], points[1]
+    lat, lng = midpoint(a["latitude"], a["longitude"], b["latitude"], b["longitude"])
+    vertex = points[F.floor(F.size(points) / 2).cast("int")]
+    return F.when(F.size(points) == 2, F.struct(lat.alias("latitude"), lng.alias("longitude"))).otherwise(
+        F.struct(vertex["latitude"].alias("latitude"), vertex["longitude"].alias("longitude"))
+    )
+
+
 def path_length_m(points: Column, radius: float = EARTH_RADIUS_M) -> Column:
     """Length of an array of ``{latitude, longitude}``; 0 when it has fewer than two points."""
     steps = F.zip_with(

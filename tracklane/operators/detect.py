@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklane.functions import geo
 from tracklane.plans.history import Track, key_columns, scan
+from tracklane.plans.joins import beside
 from tracklane.plans.quantiles import FEW, summary_by_key
 from tracklane.session import settle
 
@@ -50,10 +51,9 @@ def pairs_table(log: DataFrame, track: Track = Track(), extra: tuple[str, ...] =
 
 
 def _with_key_stats(pairs: DataFrame, track: Track, value: str, few: int = FEW) -> DataFrame:
-    """Pairs next to their key's figures. Adaptive execution splits a key that is too large for one task
-    and broadcasts the figures where they turn out small."""
+    """Pairs next to their key's figures."""
     keys = key_columns(track)
-    return pairs.join(summary_by_key(pairs, keys, value, few), keys)
+    return beside(pairs, summary_by_key(pairs, keys, value, few), keys)
 
 
 def interval_stats(log: DataFrame, track: Track = Track()) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tracklane.functions import geo
 from tracklane.plans.history import Track, runs, scan, unchunked
 from tracklane.schema import TRIP_STATUS_WEIGHT, UPDATE_APIS
-from tracklane.session import settle
 
 
 def segment_ident(solution: Column, own: Column, filled: Column, stops: Column | None = None) -> Column:
@@ -159,6 +158,12 @@ def nearest_time(probes: DataFrame, log: DataFrame, track: Track = Track()) -> D
     )
 
 
-def segment_table(log: DataFrame, ident: str, lat: str, lng: str, track: Track = Track()) -> DataFrame:
-    """Segments written once to the shared folder, for callers that use them several times."""
-    return settle(trip_segments(log, ident, lat, lng, track))
+def sessions(log: DataFrame, gap_ms: int, track: Track = Track()) -> DataFrame:
+    """Stretches of rows with less than ``gap_ms`` from one to the next."""
+    (tie,) = track.ties
+    rows = scan(log.select(*track.keys, track.time, tie), track, prior={"_was": (F.col(track.time), None)})
+    opens = (F.col("_was").isNull() | (F.col(track.time) - F.col("_was") >= gap_ms)).cast("long")
+    numbered = scan(rows.withColumn("_open", opens).drop("_was"), track, running={"_session": F.col("_open")})
+    return numbered.groupBy(*track.keys, "_session").agg(
+        F.min(track.time).alias("first_ms"), F.max(track.time).alias("last_ms"), F.count("*").alias("updates")
+    ).drop("_session")

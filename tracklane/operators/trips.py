@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracklane.functions import geo
 from tracklane.operators.dwell import around, cell_columns
 from tracklane.plans.history import Track, key_columns, keyed
+from tracklane.plans.joins import beside
 
 # Fixed values
 NEAR_M = 250.0
@@ -92,13 +93,13 @@ def trip_vehicle_logs(trip_rows: DataFrame, vehicle_rows: DataFrame, trips: str,
     """Rows of a trip's vehicles that list the trip as current."""
     pairs = trip_rows.select("trip_id", "vehicle_id").filter("vehicle_id is not null").distinct()
     listed = vehicle_rows.select("vehicle_id", *keep, F.explode(F.array_distinct(trips)).alias("trip_id"))
-    return listed.join(pairs, ["vehicle_id", "trip_id"], "left_semi").select("trip_id", "vehicle_id", *keep)
+    return beside(listed, pairs, ["vehicle_id", "trip_id"], "left_semi").select("trip_id", "vehicle_id", *keep)
 
 
 def delivery_fallback(regular: DataFrame, delivery: DataFrame) -> DataFrame:
     """Regular rows, plus delivery rows of vehicles that have no regular ones."""
     known = regular.select("vehicle_id").distinct()
-    return regular.unionByName(delivery.join(known, "vehicle_id", "left_anti"))
+    return regular.unionByName(beside(delivery, known, ["vehicle_id"], "left_anti"))
 
 
 def latest_per_trip(trips: DataFrame, order: list[Column], per: tuple[str, ...] = ("trip_id", "api"), n: int = TOP_TRIP_ROWS) -> DataFrame:
@@ -140,7 +141,7 @@ def nearest_place(
     best = near.filter(F.col("distance_m") < within_m).groupBy(*keys, "probe_lat", "probe_lng").agg(
         F.min(F.struct("distance_m", "_row")).alias("_best")
     )
-    return wanted.join(best, [*keys, "probe_lat", "probe_lng"]).select(
+    return beside(wanted, best, [*keys, "probe_lat", "probe_lng"]).select(
         *probes.columns, F.col("_best.distance_m").alias("distance_m"),
         *[F.col(f"_best._row.{t}").alias(f"nearest_{t}") for t in track.ties],
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,13 +67,21 @@ def numeric_text(value: str | None) -> bool:
         return False
 
 
-def category_of(name: str, sample: str | None, is_text: bool, is_time: bool) -> str | None:
+def time_text(value: str) -> bool:
+    try:
+        datetime.fromisoformat(value.strip())
+        return True
+    except ValueError:
+        return False
+
+
+def category_of(name: str, sample: str | None, is_text: bool = True) -> str | None:
     """``timestamp``, ``duration``, ``distance`` or None, from the column's name and a sample."""
     low = name.lower()
     if name == "formattedDate" or low == "daytime" or sample is None:
         return None
     timely = any(w in low for w in ("time", "version", "date"))  # "timestamp" contains "time"
-    if is_text and is_time and (timely or sample[4:5] == "-"):
+    if is_text and time_text(sample) and (timely or re.match(r"\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d", sample)):
         return "timestamp"
     if numeric_text(sample):
         if any(w in low for w in ("seconds", "duration", "remainingtime")):
@@ -80,23 +91,16 @@ def category_of(name: str, sample: str | None, is_text: bool, is_time: bool) ->
     return None
 
 
-def column_category(table: DataFrame) -> DataFrame:
-    """Category of every column from its first known value, one pass over the table.
+def column_category(table: DataFrame, order: list[str]) -> DataFrame:
+    """Category of every column from its first known value in ``order``, in one pass over the table.
 
     The pass returns one row of samples, whatever the table's size.
     """
-    names = table.columns
-    picks = []
-    for i, c in enumerate(names):
-        picks.append(F.min(F.col(c)).cast("string").alias(f"v{i}"))
-        is_string = isinstance(table.schema[c].dataType, T.StringType)
-        picks.append((F.max(text.parse_time(F.col(c))) if is_string else F.lit(None).cast("timestamp")).isNotNull().alias(f"t{i}"))
-    row = table.agg(*picks).first()
-    out = []
-    for i, c in enumerate(names):
-        kind = table.schema[c].dataType
-        stamp = isinstance(kind, (T.TimestampType, T.TimestampNTZType))
-        out.append((c, category_of(c, row[f"v{i}"], isinstance(kind, T.StringType) or stamp, row[f"t{i}"] or stamp)))
+    names = [c for c in table.columns if c not in order]
+    first = [F.min_by(F.col(c).cast("string"), F.when(F.col(c).isNotNull(), F.struct(*order))).alias(f"v{i}") for i, c in enumerate(names)]
+    row = table.agg(*first).first()
+    texts = (T.StringType, T.TimestampType, T.TimestampNTZType)
+    out = [(c, category_of(c, row[i], isinstance(table.schema[c].dataType, texts))) for i, c in enumerate(names)]
     return table.sparkSession.createDataFrame(out, "column_name string, category string")
 
 

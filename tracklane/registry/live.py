@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tracklane.registry.base import fleet, query
+from tracklane.operators import segments
+from tracklane.registry.base import TRACK, fleet, query
 from tracklane.registry.fleet import PAIRS, W
 from tracklane.session import shared_folder
 from tracklane.streaming import live
@@ -14,7 +15,7 @@ from tracklane.streaming import live
 THRESHOLD_MS = 60_000
 
 
-def replay(spark, sf, make, order=True):
+def replay(spark, sf, make):
     """Write the log as files in time order, stream them file by file, and return what was written."""
     base = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     log = fleet(spark, sf).select("event_id", "vehicle_id", "event_ms", "raw_lat", "raw_lng", "trip_status", F.timestamp_millis("event_ms").alias("event_time"))
@@ -51,5 +52,4 @@ with g as (select *, case when event_ms - lag(event_ms) over {W} < 60000 then 0
 s as (select *, sum(b) over {W} as n from g)
 select vehicle_id, min(event_ms) as first_ms, max(event_ms) as last_ms, count(*) as updates from s group by vehicle_id, n""")
 def _(spark, sf):
-    log = fleet(spark, sf).select("vehicle_id", "event_ms", F.timestamp_millis("event_ms").alias("event_time"))
-    return live.sessions(log)
+    return segments.sessions(fleet(spark, sf), 60_000, TRACK)

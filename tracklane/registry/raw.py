@@ -107,9 +107,9 @@ select unnest(['ts', 'eta_seconds', 'trip_distance', 'value', 'event_type', 'upd
 def _(spark, sf):
     table = raw(spark, sf).select(
         "ts", F.col("k").alias("eta_seconds"), F.col("value").cast("string").alias("trip_distance"), "value", "event_type",
-        iso(F.col("event_ms")).alias("update_time"), iso(F.col("event_ms")).alias("formattedDate"),
+        iso(F.col("event_ms")).alias("update_time"), iso(F.col("event_ms")).alias("formattedDate"), "event_id",
     )
-    return view.column_category(table)
+    return view.column_category(table, ["event_id"])
 
 
 @query("key_inventory", "raw_log", sql="""

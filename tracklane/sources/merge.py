@@ -21,8 +21,10 @@ def restricted_merge(
     over = rows.filter(restricted).groupBy(F.col(parent_id).alias("_parent")).agg(
         F.max(F.struct(*order, *[F.col(f).alias(f"_{f}") for f in fields])).alias("_over")
     )
-    parents = rows.filter(~restricted)
-    merged = parents.join(over, parents[insert_id] == over["_parent"], "left")
+    # rows without an id have no overlay; a key from their content keeps them from meeting in one task
+    spread = F.concat(F.lit("\x00"), F.xxhash64(*order).cast("string"))
+    parents = rows.filter(~restricted).withColumn("_id", F.coalesce(F.col(insert_id), spread))
+    merged = parents.join(over, F.col("_id") == F.col("_parent"), "left")
     keep = [c for c in rows.columns if c not in fields]
     return merged.select(
         *keep, *[F.coalesce(F.col(f"_over._{f}"), F.col(f)).alias(f) for f in fields], F.col("_parent").isNotNull().alias("merged")

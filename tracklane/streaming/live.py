@@ -77,9 +77,8 @@ def status_changes(log: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def sessions(log: DataFrame, gap: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
-    """Stretches of updates with no pause longer than ``gap`` (runs on batch tables as well)."""
-    rows = log.withWatermark("event_time", late) if log.isStreaming else log
-    return rows.groupBy("vehicle_id", F.session_window("event_time", gap).alias("w")).agg(
+    """Stretches of rows with less than ``gap`` from one to the next, given out once they are complete."""
+    return log.withWatermark("event_time", late).groupBy("vehicle_id", F.session_window("event_time", gap).alias("w")).agg(
         F.count("*").alias("updates"), F.min("event_ms").alias("first_ms"), F.max("event_ms").alias("last_ms")
     ).select("vehicle_id", "first_ms", "last_ms", "updates")
 
