@@ -83,6 +83,8 @@ def store_scan(
     since = F.lit(now).cast("timestamp") - F.expr(f"make_dt_interval(0, 0, 0, {days_ago * 86400})")
     kind = "DeliveryFleet" if label in DELIVERY_LABELS else "Fleet"
     out = logs.filter(F.col(label).isin(values) & (F.col("timestamp") >= since))
+    if "event_date" in logs.columns:  # partition column of a stored log
+        out = out.filter(F.col("event_date") >= F.to_date(since))
     if "resource_type" in logs.columns:
         out = out.filter(F.col("resource_type").endswith("/" + kind))
     if "log_name" in logs.columns:

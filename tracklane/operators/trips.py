@@ -27,8 +27,9 @@ def distinct_ids(log: DataFrame, ids: Column, name: str, keys: tuple[str, ...] =
 
 
 def segment_task_ids(segments: Column) -> Column:
-    """Task ids of nested journey segments, flattened."""
-    return F.flatten(F.transform(segments, lambda s: F.transform(s["stop"]["tasks"], lambda t: t["taskId"])))
+    """Task ids of nested journey segments, flattened (stops without tasks add none)."""
+    ids = lambda s: F.coalesce(F.transform(s["stop"]["tasks"], lambda t: t["taskId"]), F.array())
+    return F.flatten(F.transform(segments, ids))
 
 
 def point_value(point: Column, order: Column, latest: bool) -> Column:

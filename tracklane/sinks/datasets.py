@@ -26,6 +26,12 @@ def export_json(log: DataFrame, path: str) -> None:
     log.write.mode("overwrite").json(path)
 
 
+def write_log(log: DataFrame, path: str, time: str = "event_time") -> None:
+    """The log as a Parquet table partitioned by day; busy days are spread over several tasks and files."""
+    dated = log.withColumn("event_date", F.to_date(time)).hint("rebalance", "event_date")
+    dated.write.mode("overwrite").partitionBy("event_date").parquet(path)
+
+
 def flat_columns(schema: T.StructType, prefix: str = "") -> dict[str, Column]:
     """Dotted path to column for every leaf; arrays and maps as JSON text."""
     out: dict[str, Column] = {}
