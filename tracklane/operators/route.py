@@ -23,8 +23,9 @@ LEVELS = 22
 # Stretches per route that one row may hold as an array
 FEW_STRETCHES = 256
 
-POINTS = T.ArrayType(T.StructType([T.StructField("latitude", T.DoubleType()), T.StructField("longitude", T.DoubleType())]))
-DECODED = T.StructType([T.StructField("points", POINTS), T.StructField("error", T.StringType())])
+# Python hands over plain number arrays, which Arrow moves without per-point objects
+NUMBERS = T.ArrayType(T.DoubleType())
+DECODED = T.StructType([T.StructField("lat", NUMBERS), T.StructField("lng", NUMBERS), T.StructField("error", T.StringType())])
 
 
 def _s2_points(text: str) -> list[tuple[float, float]] | None:
@@ -98,10 +99,12 @@ def decode_paths(path: Column) -> Column:
     @F.pandas_udf(DECODED)
     def run(texts: pd.Series) -> pd.DataFrame:
         done = [decode_path(t) for t in texts]
-        points = [None if p is None else [{"latitude": a, "longitude": o} for a, o in p] for p, _ in done]
-        return pd.DataFrame({"points": points, "error": [e for _, e in done]})
+        side = lambda i: [None if p is None else [x[i] for x in p] for p, _ in done]
+        return pd.DataFrame({"lat": side(0), "lng": side(1), "error": [e for _, e in done]})
 
-    return run(path)
+    d = run(path)
+    points = F.zip_with(d["lat"], d["lng"], lambda a, o: F.struct(a.alias("latitude"), o.alias("longitude")))
+    return F.struct(points.alias("points"), d["error"].alias("error"))
 
 
 def route_of_row(api: Column, response_route: Column, request_route: Column, carried_route: Column) -> Column:
@@ -121,9 +124,6 @@ def path_measure(points: DataFrame, track: Track) -> DataFrame:
 # --- one route per row: the path and its stretches are arrays of that row -------------------------
 
 
-LINE = T.ArrayType(T.StructType([T.StructField(n, T.DoubleType()) for n in ("latitude", "longitude", "m")]))
-
-
 def let(value: Column, use) -> Column:
     """``use(value)`` with the value computed once, however often ``use`` mentions it."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -132,21 +132,20 @@ def let(value: Column, use) -> Column:
 def measured(points: Column, radius: float = geo.EARTH_RADIUS_M) -> Column:
     """Array of ``{latitude, longitude, m}`` with each point's distance from the start, in one pass."""
 
-    @F.pandas_udf(LINE)
-    def run(paths: pd.Series) -> pd.Series:
+    @F.pandas_udf(NUMBERS)
+    def along(lats: pd.Series, lngs: pd.Series) -> pd.Series:
         out = []
-        for path in paths:
-            if path is None or len(path) == 0:
-                out.append(None if path is None else [])
+        for lat, lng in zip(lats, lngs):
+            if lat is None or len(lat) == 0:
+                out.append(lat)
                 continue
-            place = np.array([(p["latitude"], p["longitude"]) for p in path])
-            lat, lng = np.radians(place).T
+            lat, lng = np.radians(lat), np.radians(lng)
             h = np.sin(np.diff(lat) / 2) ** 2 + np.cos(lat[:-1]) * np.cos(lat[1:]) * np.sin(np.diff(lng) / 2) ** 2
-            along = np.concatenate([[0.0], np.cumsum(2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h))))])
-            out.append([{"latitude": a, "longitude": o, "m": m} for (a, o), m in zip(place.tolist(), along.tolist())])
+            out.append(np.concatenate([[0.0], np.cumsum(2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h))))]))
         return pd.Series(out, dtype=object)
 
-    return run(points)
+    m = along(F.transform(points, lambda p: p["latitude"]), F.transform(points, lambda p: p["longitude"]))
+    return F.zip_with(points, m, lambda p, d: F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude"), d.alias("m")))
 
 
 def _edges(line: Column) -> Column:
