@@ -17,7 +17,7 @@ def read(spark, tmp_path, rows, solution):
 
 
 def cloud(time, kind, request=None, response=None, **extra):
-    return {"timestamp": time, "jsonPayload": {"@type": f"type.googleapis.com/x.v1.{kind}Log", "request": request or {}, "response": response or {}, **extra}}
+    return {"timestamp": time, "jsonPayload": {"@type": f"type.example.com/x.v1.{kind}Log", "request": request or {}, "response": response or {}, **extra}}
 
 
 def test_cloud_rows(spark, tmp_path):

@@ -21,7 +21,7 @@ def log_view(log: DataFrame, solution: str = "ODRD") -> DataFrame:
     cols = [
         F.col("event_id"), F.col("vehicle_id"),
         text.day_time(time).alias("day_time"),
-        text.trim_text(F.col("api"), "type.googleapis.com/maps.fleetengine.").alias("method"),
+        F.regexp_replace("api", "^.*[./]", "").alias("method"),  # a full type name loses its path
         F.when(speed != 0, F.floor(speed * 3.6 + 0.5)).cast("long").alias("kmph"),
         text.trim_text(col("raw_sensor"), "LOCATION_SENSOR_").alias("sensor"),
         text.trim_text(col("sensor"), "_LOCATION_PROVIDER").alias("location"),

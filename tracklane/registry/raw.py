@@ -47,7 +47,7 @@ def _(spark, sf):
 select insert_id, case event_type when 'purchase' then 'updateTrip' when 'signup' then 'createDeliveryVehicle' when 'error' then 'getTask'
   when 'view' then 'updateVehicle' end as api from raw_log""")
 def _(spark, sf):
-    kind = F.expr("""case event_type when 'purchase' then 'type.googleapis.com/maps.v1.UpdateTripLog' when 'signup' then 'v1.CREATEDELIVERYVEHICLELog'
+    kind = F.expr("""case event_type when 'purchase' then 'type.example.com/v1.UpdateTripLog' when 'signup' then 'v1.CREATEDELIVERYVEHICLELog'
       when 'error' then 'getTask' when 'view' then 'xupdatevehiclex' else 'SomethingElse' end""")
     return raw(spark, sf).select("insert_id", text.api_of(kind).alias("api"))
 
