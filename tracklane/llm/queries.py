@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm import bpe, chat, packing, tokenfiles
+from tracklane.llm import bpe, chat, minhash, packing, quality, secrets, subspace, tokenfiles, toxicity, vafile
+from tracklane.llm.labels import held_out
 from tracklane.llm.vocab import public_file
 from tracklane.session import shared_folder
 
@@ -81,8 +82,95 @@ def prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _closure(links: str, nodes: str) -> str:
+    """SQL for the smallest id that each of ``nodes`` reaches over ``links`` (a, b), both ways round."""
+    return f"""
+reached as (
+  select id as a, id as b from {nodes}
+  union
+  select r.a, l.b from reached r join {links} l on l.a = r.b
+), lowest as (select a as id, min(b) as component_id from reached group by a)"""
+
+
+@query("op4_subspace_links", sql=f"""
+with recursive usable as (
+  select vec_id as id, label, embedding::double[] as v from embeddings
+  where label is not null and embedding is not null and list_bool_or(list_transform(embedding, lambda x: x <> 0))
+    and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), links as (
+  select p.id as a, q.id as b from usable p join usable q on p.label = q.label and p.id <> q.id and len(p.v) = len(q.v)
+  where list_dot_product(p.v, q.v) / (sqrt(list_dot_product(p.v, p.v)) * sqrt(list_dot_product(q.v, q.v))) >= 0.93
+), nodes as (select vec_id as id from embeddings), {_closure("links", "nodes")}
+select e.vec_id, (select count(*) from links where a = e.vec_id) as n_links, component_id, e.vec_id = component_id as kept
+from embeddings e join lowest on e.vec_id = lowest.id
+""")
+def subspace_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace.links(table(spark, sf_dir, "embeddings"))
+
+
+def _judged(docs: DataFrame, at_least: float) -> DataFrame:
+    return docs.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= at_least).cast("int").alias("predicted"))
+
+
+@query("op5_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
+@query("op6_vafile_topk", sql="""
+with ints as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+  where embedding is not null and list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))
+), ranked as (
+  select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score,
+    row_number() over (partition by q.vec_id order by list_dot_product(q.v, c.v) desc, c.vec_id) as rank
+  from ints q join ints c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 50 = 0
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+""")
+def vafile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op7_quality")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _judged(quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
+@query("op8_markov_secrets")
+def markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id", *map(of_kind, secrets.KINDS[:3]), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"),
+        secrets.as_text(F.col("found")).alias("spans"),
+    )
+
+
 @query("op9_token_files")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     tokenfiles.write(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"), folder)
     return tokenfiles.checksums(spark, folder)
+
+
+@query("op10_minhash_join", sql=f"""
+with recursive words as (
+  select doc_id as id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents
+), shingles as (
+  select distinct id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' ')) end) as s from words
+), sizes as (select id, count(*) as n from shingles group by id),
+links as (
+  select a, b from (
+    select p.id as a, q.id as b, count(*) as both_ from shingles p join shingles q on p.s = q.s and p.id <> q.id group by all
+  ) join sizes x on x.id = a join sizes y on y.id = b where 100 * both_ >= 80 * (x.n + y.n - both_)
+), nodes as (select doc_id as id from documents), {_closure("links", "nodes")}
+select d.doc_id, coalesce(n, 0)::bigint as n_shingles, component_id, d.doc_id = component_id as kept
+from documents d join lowest on d.doc_id = lowest.id left join sizes on d.doc_id = sizes.id
+""")
+def minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), minhash.NearCopies(words=4))
