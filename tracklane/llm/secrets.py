@@ -98,8 +98,8 @@ def train(docs: DataFrame, rule: Markov = Markov(), text: str = "text") -> list[
     return out
 
 
-def scan(docs: DataFrame, rule: Markov = Markov(), text: str = "text") -> DataFrame:
-    """Adds ``base`` and ``found``, arrays of (start, kind_no, kind, end): the base spans, and these with the
+def scan(docs: DataFrame, rule: Markov = Markov(), text: str = "text", base: str = "base", found: str = "found") -> DataFrame:
+    """Adds (or replaces) the columns named ``base`` and ``found``, arrays of (start, kind_no, kind, end): the base spans, and these with the
     spans of the Markov models that overlap none of them. Null texts are empty; rows stay as they are."""
     body = F.coalesce(F.col(text), F.lit(""))
     table = F.from_json(F.lit(json.dumps(train(docs, rule, text))), "array<double>")  # folded into one constant
@@ -111,11 +111,13 @@ def scan(docs: DataFrame, rule: Markov = Markov(), text: str = "text") -> DataFr
         return F.aggregate(steps, F.lit(0.0), lambda total, i: total + F.get(table, code(i) * len(SYMBOLS) + code(i + 1)))
 
     likely = _spans(body, token, 3, lambda m: ratio(m) > rule.margin)
-    with_base = docs.withColumn("base", base_spans(body)).withColumn("likely", likely)
+    both = F.struct(base_spans(body).alias("base"), likely.alias("likely"))
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (base, found)]
+    together = docs.select(F.struct(*kept).alias("row"), both.alias("spans"))
     apart = F.filter(
-        "likely", lambda x: ~F.exists("base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+        "spans.likely", lambda x: ~F.exists("spans.base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
     )
-    return with_base.withColumn("found", F.array_sort(F.concat("base", apart))).drop("likely")
+    return together.select("row.*", F.col("spans.base").alias(base), F.array_sort(F.concat("spans.base", apart)).alias(found))
 
 
 def as_text(spans: Column) -> Column:
