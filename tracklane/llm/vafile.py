@@ -3,7 +3,8 @@
 Vectors are kept in blocks of bounded size: quantised cells, one byte a component, and apart from them the exact
 integers. A scan of the cells gives bounds of every score. The k-th best lower bound over all blocks leaves few
 candidates per query; their exact vectors are read in the order of their upper bounds, until the k-th result
-found is certain. Queries come in blocks too, so a task holds a block of vectors and a bounded set of queries.
+found is certain. Queries come in blocks too, numbered
+within the vectors of their length, so a task holds a block of vectors and a bounded set of queries.
 """
 
 from __future__ import annotations
@@ -64,19 +65,19 @@ def top_k(vectors: DataFrame, is_query: Column, rule: VaFile = VaFile(), id: str
             f"width int, block int, asking int, query_id {kind}, query bigint, wanted binary, at array<int>, lower array<double>, upper array<double>",
         )
     )
-    best = bounded.select("query", F.explode(F.slice(F.sort_array("lower", asc=False), 1, rule.k)).alias("lower"))
-    order = Window.partitionBy("query").orderBy(F.desc("lower"))
+    best = bounded.select("width", "query", F.explode(F.slice(F.sort_array("lower", asc=False), 1, rule.k)).alias("lower"))
+    order = Window.partitionBy("width", "query").orderBy(F.desc("lower"))
     # The k-th best lower bound of a query; none where it has fewer candidates.
-    sure = best.withColumn("place", F.row_number().over(order)).where(F.col("place") == rule.k).select("query", F.col("lower").alias("sure"))
-    open_ = bounded.join(sure, "query", "left").select(
+    sure = best.withColumn("place", F.row_number().over(order)).where(F.col("place") == rule.k).select("width", "query", F.col("lower").alias("sure"))
+    open_ = bounded.join(sure, ["width", "query"], "left").select(
         *place, "query_id", "query", "wanted",
         F.filter(F.arrays_zip("upper", "at"), lambda c: F.coalesce(c["upper"] >= F.col("sure"), F.lit(True))).alias("open"),
     ).where(F.size("open") > 0)
     exact = stored.select("width", "block", "ids", "exact").withColumn("asking", F.explode(F.sequence(F.lit(0), F.lit(sets - 1))))
     scored = open_.groupBy(*place).cogroup(exact.groupBy(*place)).applyInArrow(
-        lambda a, b: _visit(a, b, rule), f"query bigint, query_id {kind}, vec_id {kind}, score bigint"
+        lambda a, b: _visit(a, b, rule), f"width int, query bigint, query_id {kind}, vec_id {kind}, score bigint"
     )
-    ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    ranked = Window.partitionBy("width", "query").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= rule.k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -151,7 +152,7 @@ def _visit(open_: pa.Table, exact: pa.Table, rule: VaFile) -> pa.Table:
                 if len(best) == rule.k and c["upper"] < -best[-1][0]:
                     break
                 best = sorted([*best, (-int(vectors[c["at"]] @ wanted), ids[c["at"]])])[: rule.k]
-            out += [(row["query"], row["query_id"], name, -score) for score, name in best]
-    columns = list(zip(*out)) or [[], [], [], []]
-    types = [pa.int64(), id_type, id_type, pa.int64()]
-    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["query", "query_id", "vec_id", "score"])
+            out += [(width, row["query"], row["query_id"], name, -score) for score, name in best]
+    columns = list(zip(*out)) or [[]] * 5
+    types = [pa.int32(), pa.int64(), id_type, id_type, pa.int64()]
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["width", "query", "query_id", "vec_id", "score"])
