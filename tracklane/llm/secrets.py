@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -30,10 +31,12 @@ SPAN = "array<struct<start:bigint,kind_no:int,kind:string,end:bigint>>"
 
 @dataclass(frozen=True)
 class Markov:
-    """``min_length`` of a scored token, ``ordinary_length`` of a word that is a sample of the ordinary ones,
-    ``smoothing`` counts spread over all next symbols, ``margin`` of the log-likelihood ratio (nats)."""
+    """``min_length`` and ``distinct`` symbols of a scored token, ``ordinary_length`` of a word that is a sample of
+    the ordinary ones, ``smoothing`` counts added to those after each symbol, spread evenly in the random model
+    and by overall frequency in the ordinary one, ``margin`` of the log-likelihood ratio (nats)."""
 
     min_length: int = 16
+    distinct: int = 7
     ordinary_length: int = 12
     smoothing: float = 100.0
     margin: float = 10.0
@@ -76,7 +79,7 @@ def train(docs: DataFrame, rule: Markov = Markov(), text: str = "text") -> list[
     value = F.filter(F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(2)), lambda m: F.char_length(m) >= 8)
     access = F.regexp_extract_all(body, F.lit(ACCESS.replace("+", "{12,}")), F.lit(0))
     hexes = F.regexp_extract_all(body, F.lit(HEX.replace("+", "{32,}")), F.lit(0))
-    words = F.regexp_extract_all(body, F.lit(f"(?<![A-Za-z0-9+/_=-])[A-Za-z]{{{rule.ordinary_length},}}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    words = F.regexp_extract_all(body, F.lit(f"(?<![A-Za-z0-9+/_=-])[A-Za-z/_-]{{{rule.ordinary_length},}}(?![A-Za-z0-9+/_=-])"), F.lit(0))
     samples = docs.select(
         F.explode(F.concat(
             F.transform(F.concat(value, access, hexes), lambda s: F.struct(F.lit(1).alias("random"), s.alias("s"))),
@@ -87,15 +90,16 @@ def train(docs: DataFrame, rule: Markov = Markov(), text: str = "text") -> list[
         "random", F.explode(F.expr("transform(sequence(1, char_length(s) - 1), i -> substring(s, i, 2))")).alias("pair")
     )
     counts = {(r["random"], r["pair"]): r["n"] for r in pairs.groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")).collect()}
-    size, out = len(SYMBOLS), []
-    for a in SYMBOLS:
-        logs = []
-        for label in (1, 0):
-            row = [counts.get((label, a + b), 0) for b in SYMBOLS]
-            total = sum(row) + rule.smoothing
-            logs.append([math.log((n + rule.smoothing / size) / total) for n in row])
-        out += [r - o for r, o in zip(*logs)]
-    return out
+    size = len(SYMBOLS)
+    of_next = {b: 1 + sum(counts.get((0, a + b), 0) for a in SYMBOLS) for b in SYMBOLS}
+    overall = {1: dict.fromkeys(SYMBOLS, 1 / size), 0: {b: n / sum(of_next.values()) for b, n in of_next.items()}}
+    logs = {}
+    for label in (1, 0):
+        for a in SYMBOLS:
+            after = sum(counts.get((label, a + b), 0) for b in SYMBOLS) + rule.smoothing
+            for b in SYMBOLS:
+                logs[label, a + b] = math.log((counts.get((label, a + b), 0) + rule.smoothing * overall[label][b]) / after)
+    return [logs[1, a + b] - logs[0, a + b] for a in SYMBOLS for b in SYMBOLS]
 
 
 def scan(docs: DataFrame, rule: Markov = Markov(), text: str = "text", base: str = "base", found: str = "found") -> DataFrame:
@@ -110,14 +114,18 @@ def scan(docs: DataFrame, rule: Markov = Markov(), text: str = "text", base: str
         steps = F.sequence(F.lit(1), F.char_length(m) - 1)
         return F.aggregate(steps, F.lit(0.0), lambda total, i: total + F.get(table, code(i) * len(SYMBOLS) + code(i + 1)))
 
-    likely = _spans(body, token, 3, lambda m: ratio(m) > rule.margin)
+    varied = lambda m: F.size(F.array_distinct(F.split(m, ""))) >= rule.distinct
+    likely = _spans(body, token, 3, lambda m: varied(m) & (ratio(m) > rule.margin))
     both = F.struct(base_spans(body).alias("base"), likely.alias("likely"))
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in (base, found)]
-    together = docs.select(F.struct(*kept).alias("row"), both.alias("spans"))
+    row, spans = (f"{n}_{uuid.uuid4().hex}" for n in ("row", "spans"))  # whatever the columns of docs are called
+    together = docs.select(F.struct(*kept).alias(row), both.alias(spans))
     apart = F.filter(
-        "spans.likely", lambda x: ~F.exists("spans.base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+        f"{spans}.likely", lambda x: ~F.exists(f"{spans}.base", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+    )
+    return together.select(
+        f"{row}.*", F.col(f"{spans}.base").alias(base), F.array_sort(F.concat(f"{spans}.base", apart)).alias(found)
     )
-    return together.select("row.*", F.col("spans.base").alias(base), F.array_sort(F.concat("spans.base", apart)).alias(found))
 
 
 def as_text(spans: Column) -> Column:
