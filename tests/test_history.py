@@ -135,3 +135,10 @@ def test_nearest_time_and_neighbours(table, track):
         i = ids.index(r.event_id)
         assert (r.prev_id, r.next_id) == (ids[i - 1] if i else None, ids[i + 1] if i + 1 < len(ids) else None)
         assert (r.first_id, r.last_id) == (ids[0], ids[-1])
+
+
+def test_trips_of_one_list_keep_its_order(spark):
+    rows = [(1, 1, 10, ["b", "a"]), (1, 2, 20, None), (1, 3, 30, ["a", "b"])]
+    log = spark.createDataFrame(rows, "vehicle_id long, event_id long, event_ms long, current_trips array<string>")
+    got = {r.event_id: r.current_trips_filled for r in state.trip_backfill(log).collect()}
+    assert got[2] == ["b"]

@@ -113,6 +113,23 @@ def test_store_replaces_only_one_dataset(spark, tmp_path):
     assert store.delete("b") and spark.read.parquet(store.path).count() == 1
 
 
+def test_store_takes_any_id_and_stays_below_its_table(spark, tmp_path):
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other" / "file").write_text("stays")
+    store = datasets.DatasetStore(spark, str(tmp_path / "s"))
+    log = spark.createDataFrame([("updateVehicle", 1), ("getTrip", 2)], "api string, n int")
+    ids = ["0", "7", "007", "_clipboard", "../other", "a/b", "ä=%", "x" * 300]
+    for i in ids:
+        store.put(i, log)
+    for i in ids:
+        assert [r.dataset_id for r in store.get(i).collect()] == [i, i]
+    store.put("007", log.limit(0))
+    assert store.get("007").count() == 0 and store.get("7").count() == 2
+    assert store.delete("../other") and not store.delete("../other") and (tmp_path / "other" / "file").exists()
+    store.put("7", store.get("7").filter("n = 1"))
+    assert store.get("7").count() == 1
+
+
 def test_prune_report(spark):
     df = spark.createDataFrame([(1, None), (None, 5), (9, 1), (None, None)], "t int, u int")
     assert tuple(datasets.prune_report(df, 1, 6, "t", "u").first()) == (2, 2)

@@ -131,7 +131,7 @@ def test_decode_path(text):
         assert got == pytest.approx(want, abs=1e-5)
 
 
-@pytest.mark.parametrize("text", ["", "not a path at all", '{"a": 1}'])
+@pytest.mark.parametrize("text", ["", "not a path at all", '{"a": 1}', '[{"latitude": 1, "longitude": 2}, {"latitude": 3', '{"latitude": "1", "longitude": 2}', "{}}"])
 def test_bad_path_is_an_error_value(text):
     assert route.decode_path(text) == (None, "not a path")
 
@@ -165,8 +165,13 @@ def test_route_intervals(spark):
     assert gone == [(0, 100, "STYLE_NO_DATA"), (100, 200, "STYLE_NO_DATA"), (200, 250, "STYLE_NO_DATA"), (250, 300, "TRAFFIC_JAM"), (300, total, "STYLE_NORMAL")]
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_traffic_segments_against_loop(spark, few):
+def test_one_very_long_stretch(spark):
+    df = spark.createDataFrame([(1, 1, 0, 1 << 24, "JAM")], "route_id int, ord int, offset_m int, length_m int, style string")
+    got = sorted(tuple(r)[1:] for r in route.traffic_segments(df, ["ord"], 20_000_000).collect())
+    assert got == [(0, 1 << 24, "JAM"), (1 << 24, 20_000_000, "STYLE_NORMAL")]
+
+
+def test_traffic_segments_against_loop(spark):
     rnd = random.Random(2)
     rows = [(rnd.randint(1, 3), i, rnd.choice([None, rnd.randint(0, 1100)]), rnd.randint(0, 300), f"S{i % 4}") for i in range(60)]
     df = spark.createDataFrame(rows, "route_id int, ord int, offset_m int, length_m int, style string")
@@ -176,7 +181,7 @@ def test_traffic_segments_against_loop(spark, few):
         cuts = sorted(c for c in {0, 1000, *[m[0] for m in mine], *[m[1] for m in mine]} if c <= 1000)
         for a, b in zip(cuts, cuts[1:]):
             want.add((rid, a, b, next((m[2] for m in mine if m[0] <= a < m[1]), "STYLE_NORMAL")))
-    got = {tuple(r) for r in route.traffic_segments(df, ["ord"], 1000, few=few).select("route_id", "start_m", "end_m", "style").collect()}
+    got = {tuple(r) for r in route.traffic_segments(df, ["ord"], 1000).select("route_id", "start_m", "end_m", "style").collect()}
     assert got == want
 
 

@@ -175,13 +175,14 @@ def log_with_anomalies(
 ) -> DataFrame:
     """Log rows, jump rows and missing-update rows in one table, placed at the start of the anomaly.
 
-    A jump is kept or dropped by its end time, a missing update by its start time.
+    A jump is kept or dropped by its end time, a missing update by its start time. The log's columns stay;
+    anomalies bring ``jump_speed``, or ``gap_ms`` and ``state_transition``.
     """
     inside = lambda c: F.lit(True) if start_ms is None else F.col(c).between(start_ms, end_ms)
     return (
-        log.filter(inside("event_ms")).select(*keys, "event_ms", "api")
+        log.filter(inside("event_ms"))
         .unionByName(jumps.filter(inside("end_ms")).select(
-            *keys, F.col("start_ms").alias("event_ms"), F.lit("Jump").alias("api"), F.col("velocity_mps").alias("speed")),
+            *keys, F.col("start_ms").alias("event_ms"), F.lit("Jump").alias("api"), F.col("velocity_mps").alias("jump_speed")),
             allowMissingColumns=True)
         .unionByName(gaps.filter(inside("start_ms")).select(
             *keys, F.col("start_ms").alias("event_ms"), F.lit("Missing Updates").alias("api"),

@@ -18,14 +18,17 @@ SAME_PLACE_DEG = 1e-5
 
 def located(log: DataFrame, lat: str = "resp_lat", lng: str = "resp_lng", raw_lat: str | None = None, raw_lng: str | None = None) -> DataFrame:
     """Rows with a response position (else raw position), as ``lat``/``lng``."""
-    a = F.coalesce(F.col(lat), F.col(raw_lat)) if raw_lat else F.col(lat)
-    o = F.coalesce(F.col(lng), F.col(raw_lng)) if raw_lng else F.col(lng)
-    return log.select("*", a.cast("double").alias("lat"), o.cast("double").alias("lng")).filter("lat is not null and lng is not null")
+    own = F.col(lat).isNotNull() & F.col(lng).isNotNull()  # a point comes whole from one of the two
+    a = F.when(own, F.col(lat)).otherwise(F.col(raw_lat)) if raw_lat else F.col(lat)
+    o = F.when(own, F.col(lng)).otherwise(F.col(raw_lng)) if raw_lng else F.col(lng)
+    kept = [c for c in log.columns if c not in ("lat", "lng")]
+    return log.select(*kept, a.cast("double").alias("lat"), o.cast("double").alias("lng")).filter("lat is not null and lng is not null")
 
 
 def layer(log: DataFrame, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Apply a custom layer function to the located rows."""
-    return located(log).transform(make)
+    """Apply a custom layer function to the located rows; a log with carried response points is placed by them."""
+    carried = {"filled_resp_lat", "filled_resp_lng"} <= set(log.columns)
+    return (located(log, "filled_resp_lat", "filled_resp_lng") if carried else located(log)).transform(make)
 
 
 def gps_accuracy(rows: DataFrame) -> DataFrame:
@@ -34,7 +37,8 @@ def gps_accuracy(rows: DataFrame) -> DataFrame:
     return rows.filter("accuracy is not null and accuracy <> 0").select("*", kind.alias("sensor_class"))
 
 
-def clock_skew(rows: DataFrame, client: str = "client_ms", server: str = "event_ms") -> DataFrame:
+def clock_skew(rows: DataFrame, client: str = "client_ms", server: str = "server_ms") -> DataFrame:
+    """Device clock against the response's server time."""
     both = rows.filter(F.col(client).isNotNull() & F.col(server).isNotNull())
     gap = F.abs(F.col(client) - F.col(server)) / 1000.0
     return both.select("*", gap.alias("delta_seconds"), (F.col(client) > F.col(server)).alias("client_ahead"))
@@ -47,9 +51,10 @@ def heading_vectors(rows: DataFrame, metres: float = HEADING_MARK_M) -> DataFram
     return known.select("*", lat.alias("to_lat"), lng.alias("to_lng"))
 
 
-def speed_points(rows: DataFrame) -> DataFrame:
-    known = rows.filter("speed is not null")
-    return known.select("*", F.when(F.col("speed") < 0, "negative").otherwise("positive").alias("speed_sign"), F.abs("speed").alias("magnitude"))
+def speed_points(rows: DataFrame, speed: str = "resp_speed") -> DataFrame:
+    """Sign and size of the response's speed."""
+    known = rows.filter(F.col(speed).isNotNull())
+    return known.select("*", F.when(F.col(speed) < 0, "negative").otherwise("positive").alias("speed_sign"), F.abs(speed).alias("magnitude"))
 
 
 def nav_status_points(rows: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import json
 import re
 import struct
 
@@ -18,10 +17,6 @@ from tracklane.plans.history import Track, scan
 
 # Fixed values
 NO_DATA, NORMAL = "STYLE_NO_DATA", "STYLE_NORMAL"
-# Whole-metre offsets up to 2^LEVELS metres
-LEVELS = 22
-# Stretches per route that one row may hold as an array
-FEW_STRETCHES = 256
 
 # Python hands over plain number arrays, which Arrow moves without per-point objects
 NUMBERS = T.ArrayType(T.DoubleType())
@@ -64,32 +59,36 @@ def _varint_points(text: str) -> list[tuple[float, float]] | None:
     return [(a / 1e5, o / 1e5) for a, o in total.tolist()]
 
 
+# Braces, and a named coordinate with its number; names may be quoted or bare.
+_LIST_TOKEN = re.compile(r"""[{}]|["']?\b(latitude|longitude)\b["']?\s*:\s*([-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?)(?=\s*[,}\s])""")
+
+
 def _listed_points(text: str) -> list[tuple[float, float]] | None:
-    """Points written as JSON objects or in the loose form with bare keys."""
-    text = re.sub(r"\s+", " ", re.sub(r"(\w+):", r'"\1":', text))
-    if not (text.startswith("[") and text.endswith("]")):
-        text = f"[{text}]"
-    try:
-        items = json.loads(text)
-    except ValueError:
-        return None
-    number = lambda v: isinstance(v, (int, float)) and not isinstance(v, bool)
-    good = [(float(i["latitude"]), float(i["longitude"])) for i in items
-            if isinstance(i, dict) and number(i.get("latitude")) and number(i.get("longitude"))]
-    return good or None
+    """Points written out as objects: the two coordinates that stand between the braces of each."""
+    points, open_ = [], []
+    for token in _LIST_TOKEN.finditer(text):
+        if token[0] == "{":
+            open_.append({})
+        elif token[0] == "}":
+            if not open_:
+                return None
+            found = open_.pop()
+            if len(found) == 2 and not open_:
+                points.append((found["latitude"], found["longitude"]))
+        elif open_:
+            open_[-1][token[1]] = float(token[2])
+    return None if open_ else points or None
 
 
 def decode_path(text: str | None) -> tuple[list[tuple[float, float]] | None, str | None]:
+    """Points and error of one path. A list is told by its first sign, the compact form by its version byte and
+    exact length; what is neither is read as delta text."""
     if text is None:
         return None, None
     text = text.strip()
-    listed = text[:1] in ("[", "{") and ":" in text
-    points = None
-    if text and not listed and " " not in text and '"' not in text:
-        points = _s2_points(text)
-        if points is None and "\n" not in text:
-            points = _varint_points(text)
-    points = points or (_listed_points(text) if text else None)
+    points = _listed_points(text) if text[:1] in ("[", "{") else None
+    if points is None:
+        points = _s2_points(text) or _varint_points(text)
     return (points, None) if points else (None, "not a path")
 
 
@@ -235,42 +234,17 @@ def route_intervals(
 # --- stretches as a table: any number of stretches per route ------------------------------------
 
 
-def traffic_segments(stretches: DataFrame, order: list[str], total_m: int, route: str = "route_id", few: int = FEW_STRETCHES) -> DataFrame:
+def traffic_segments(stretches: DataFrame, order: list[str], total_m: int, route: str = "route_id") -> DataFrame:
     """Styled intervals of routes whose stretches are rows with whole-metre ``offset_m``, ``length_m``.
 
-    The style at a cut is that of the first listed stretch over it. Routes of up to ``few`` stretches
-    are handled as arrays. Longer ones never gather in one task, see :func:`_long_route_segments`.
+    The style at a cut is that of the first listed stretch over it. Cuts of a route are not compared with
+    all its stretches: a stretch is written as at most two blocks per power-of-two size, each block keeps
+    only its first stretch, and a cut looks up the one block of each size over it.
     """
     offset = F.coalesce(F.col("offset_m"), F.lit(0)).cast("long")
     rows = stretches.select(
         route, offset.alias("_a"), (offset + F.col("length_m")).cast("long").alias("_b"), F.struct(*order).alias("_ord"), "style"
     )
-    long = rows.groupBy(route).agg(F.count("*").alias("_n")).filter(F.col("_n") > few).select(route)
-    if long.isEmpty():
-        return _short_route_segments(rows, total_m, route)
-    return _short_route_segments(rows.join(long, route, "left_anti"), total_m, route).unionByName(
-        _long_route_segments(rows.join(long, route, "left_semi"), total_m, route)
-    )
-
-
-def _short_route_segments(rows: DataFrame, total_m: int, route: str) -> DataFrame:
-    total = F.lit(total_m).cast("long")
-    listed = rows.groupBy(route).agg(F.array_sort(F.collect_list(F.struct("_ord", "_a", "_b", "style"))).alias("_list"))
-    cuts = F.concat(F.array(F.lit(0).cast("long"), total), F.transform("_list", lambda s: s["_a"]), F.transform("_list", lambda s: s["_b"]))
-    listed = listed.select(route, "_list", F.array_sort(F.array_distinct(F.filter(cuts, lambda c: c <= total))).alias("_cuts"))
-    n = F.size("_cuts") - 1
-    pairs = F.arrays_zip(F.slice("_cuts", F.lit(1), n).alias("s"), F.slice("_cuts", F.lit(2), n).alias("e"))
-    parts = listed.select(route, "_list", F.explode(pairs).alias("_i"))
-    over = F.filter("_list", lambda s: (F.col("_i.s") >= s["_a"]) & (F.col("_i.s") < s["_b"]))
-    style = F.coalesce(F.try_element_at(over, F.lit(1))["style"], F.lit(NORMAL))
-    return parts.select(route, F.col("_i.s").alias("start_m"), F.col("_i.e").alias("end_m"), style.alias("style"))
-
-
-def _long_route_segments(rows: DataFrame, total_m: int, route: str) -> DataFrame:
-    """Without comparing all cuts of a route with all its stretches: a stretch is written as at most two
-    blocks per power-of-two size, each block keeps only its first stretch, and a cut looks up the one
-    block of each size over it.
-    """
     rows = rows.select(route, "_a", "_b", F.struct("_ord", "style").alias("_first"))
     cuts = rows.select(route, F.explode(F.array(F.lit(0).cast("long"), F.lit(total_m).cast("long"), F.col("_a"), F.col("_b"))).alias("_cut"))
     cuts = cuts.filter(F.col("_cut") <= total_m).distinct()
@@ -278,7 +252,7 @@ def _long_route_segments(rows: DataFrame, total_m: int, route: str) -> DataFrame
     lo = F.expr("shiftright(_a + shiftleft(1L, _k) - 1, _k)")
     hi = F.expr("shiftright(least(_b, %d), _k)" % (total_m + 1))
     top = max(total_m, 1).bit_length()
-    levels = F.explode(F.sequence(F.lit(0), F.lit(min(top, LEVELS)))).alias("_k")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_k")
     ends = rows.groupBy(route, "_a", "_b").agg(F.min("_first").alias("_first"))
     blocks = ends.filter(F.col("_a") < F.col("_b")).select(route, "_a", "_b", "_first", levels)
     blocks = blocks.select(route, "_first", "_k", lo.alias("_l"), hi.alias("_h")).filter("_l < _h")

@@ -70,8 +70,8 @@ def sensor_origin(sensor: Column, has_position: Column, has_header: Column, upda
 
 def trip_bounds(log: DataFrame, trips: str = "current_trips", track: Track = Track()) -> DataFrame:
     """First and last time of every trip seen in the trip lists of any call."""
-    seen = log.select(*track.keys, track.time, *track.ties, F.explode(trips).alias("trip_id"))
-    place = F.struct(track.time, *track.ties)
+    seen = log.select(*track.keys, track.time, *track.ties, F.posexplode(trips).alias("pos", "trip_id"))
+    place = F.struct(track.time, *track.ties, "pos")  # trips of one row come in the order of its list
     return seen.groupBy(*track.keys, "trip_id").agg(
         F.min(track.time).alias("start_ms"), F.max(track.time).alias("end_ms"), F.min(place).alias("first_seen")
     )
@@ -80,6 +80,8 @@ def trip_bounds(log: DataFrame, trips: str = "current_trips", track: Track = Tra
 def trip_backfill(log: DataFrame, trips: str = "current_trips", track: Track = Track()) -> DataFrame:
     """Give rows without a trip list the first-seen trip whose time span covers them.
 
+    Lists must be as the log has them (``listed_trips`` of a typed log), not sorted.
+
     The log is in time order, so "first seen" means "earliest start": a trip can only cover the time
     after every earlier trip has ended. That leaves disjoint spans ``(latest earlier end, own end]``,
     and each row needs just the span that started last before it - no range join.
@@ -88,9 +90,9 @@ def trip_backfill(log: DataFrame, trips: str = "current_trips", track: Track = T
     spans = scan(
         bounds.select(
             *track.keys, "trip_id", F.col("start_ms").alias(track.time), "end_ms",
-            *[F.col(f"first_seen.{t}").alias(t) for t in track.ties],
+            *[F.col(f"first_seen.{t}").alias(t) for t in (*track.ties, "pos")],
         ),
-        track.by(ties=(*track.ties, "trip_id")),
+        track.by(ties=(*track.ties, "pos")),
         prior_max={"_covered": F.col("end_ms")},
     )
     begin = F.greatest(F.col(track.time), F.col("_covered") + 1)

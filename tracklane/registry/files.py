@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -113,8 +114,11 @@ def _(spark, sf):
 
 
 @query("dataset_store", "fleet_log", sql="""
-select 'a' as dataset_id, count(*) as rows from fleet_log where api <> 'getVehicle' union all select 'b', count(*) from fleet_log where api = 'updateVehicle'""")
+select 'a' as dataset_id, count(*) as rows from fleet_log where api <> 'getVehicle' union all select 'b', count(*) from fleet_log where api = 'updateVehicle'
+union all select '0', count(*) from fleet_log where api = 'createTrip' union all select '007', count(*) from fleet_log where api = 'updateTrip'
+union all select '_clipboard', count(*) from fleet_log where api = 'getVehicle' union all select 'x/../0 %=', count(*) from fleet_log""")
 def _(spark, sf):
+    """Ids of every kind, a replaced, an emptied and a deleted dataset."""
     store = datasets.DatasetStore(spark, fresh(spark, "store"))
     log = log_rows(spark, sf)
     store.put("a", log.filter("api = 'createTrip'"))
@@ -122,4 +126,10 @@ def _(spark, sf):
     store.copy("a", "b", ["updateVehicle"])
     store.copy("a", "c")
     store.delete("c")
-    return spark.read.parquet(store.path).groupBy("dataset_id").agg(F.count("*").alias("rows"))
+    for name, api in (("0", "createTrip"), ("007", "updateTrip"), ("_clipboard", "getVehicle"), ("7", "getVehicle")):
+        store.put(name, log.filter(F.col("api") == api))
+    store.put("x/../0 %=", log)
+    store.put("7", log.limit(0))
+    names = ("a", "b", "c", "0", "007", "7", "_clipboard", "x/../0 %=")
+    found = reduce(lambda x, y: x.unionByName(y), [store.get(n) for n in names])
+    return found.groupBy("dataset_id").agg(F.count("*").alias("rows"))

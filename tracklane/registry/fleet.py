@@ -361,7 +361,7 @@ def _(spark, sf):
     pairs = detect.pairs_table(log, TRACK)
     jumps, gaps = detect.velocity_jumps(log, TRACK, pairs=pairs), detect.missing_updates(log, TRACK, pairs=pairs)
     out = detect.log_with_anomalies(log, jumps, gaps, 300_000, 2_000_000)
-    return out.select("vehicle_id", "event_ms", "api", r3("speed"), "gap_ms").orderBy("event_ms", "vehicle_id", "api")
+    return out.select("vehicle_id", "event_ms", "api", r3("jump_speed", "speed"), "gap_ms").orderBy("event_ms", "vehicle_id", "api")
 
 
 @query("nearest_time", "fleet_log", sql="""
@@ -401,7 +401,7 @@ def _(spark, sf):
 @query("clock_skew", "fleet_log", sql="""
 select event_id, abs(client_ms - event_ms) / 1000.0 as delta_seconds, client_ms > event_ms as client_ahead from fleet_log where resp_lat is not null""")
 def _(spark, sf):
-    return layers.layer(fleet(spark, sf), layers.clock_skew).select("event_id", "delta_seconds", "client_ahead")
+    return layers.layer(fleet(spark, sf), lambda rows: layers.clock_skew(rows, server="event_ms")).select("event_id", "delta_seconds", "client_ahead")
 
 
 @query("heading_vectors", "fleet_log", sql=f"""
@@ -418,7 +418,7 @@ def _(spark, sf):
 select event_id, resp_lat as lat, resp_lng as lng, case when speed < 0 then 'negative' else 'positive' end as speed_sign, abs(speed) as magnitude
 from fleet_log where resp_lat is not null and speed is not null""")
 def _(spark, sf):
-    return layers.layer(fleet(spark, sf), layers.speed_points).select("event_id", "lat", "lng", "speed_sign", "magnitude")
+    return layers.layer(fleet(spark, sf), lambda rows: layers.speed_points(rows, "speed")).select("event_id", "lat", "lng", "speed_sign", "magnitude")
 
 
 @query("nav_status_points", "fleet_log", sql="""

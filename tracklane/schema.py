@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 # Fixed values
-VEHICLE_APIS = ["createVehicle", "getVehicle", "updateVehicle"]
-DELIVERY_APIS = ["createDeliveryVehicle", "getDeliveryVehicle", "updateDeliveryVehicle"]
-TRIP_APIS = ["createTrip", "getTrip", "updateTrip"]
-TASK_APIS = ["createTask", "getTask", "updateTask"]
-APIS = VEHICLE_APIS + DELIVERY_APIS + TRIP_APIS + TASK_APIS
+APIS = [
+    "createVehicle", "getVehicle", "updateVehicle", "createDeliveryVehicle", "getDeliveryVehicle", "updateDeliveryVehicle",
+    "createTrip", "getTrip", "updateTrip", "createTask", "getTask", "updateTask",
+]
 UPDATE_APIS = ["updateVehicle", "updateDeliveryVehicle"]
 
 # Log names asked for from a log store, and those of the wider entity search

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklane.functions.text import api_of, time_left
+from tracklane.session import settle
 from tracklane.sources.files import turn_path
 
 # Fixed values
@@ -114,26 +116,40 @@ def drop_secrets(meta: DataFrame) -> DataFrame:
 
 
 class DatasetStore:
-    """Datasets as partitions of one Parquet table, addressed by ``dataset_id``."""
+    """Datasets as partitions of one Parquet table, addressed by ``dataset_id``.
+
+    The partition of a dataset is named by the hexadecimal form of its id (its hash, for a long one), so any text
+    is an id of its own and no id reaches outside the table.
+    """
+
+    PART = "_dataset"
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    @staticmethod
+    def _part(dataset_id: str) -> str:
+        name = dataset_id.encode()
+        return f"d{name.hex()}" if len(name) <= 100 else f"h{hashlib.sha256(name).hexdigest()}"
+
     def put(self, dataset_id: str, log: DataFrame) -> None:
-        """Replace one dataset and leave the others alone."""
-        log.drop("dataset_id").withColumn("dataset_id", F.lit(dataset_id)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("dataset_id").parquet(self.path)
+        """Replace one dataset, by nothing if ``log`` is empty, and leave the others alone."""
+        named = log.drop("dataset_id", self.PART).withColumns({"dataset_id": F.lit(dataset_id), self.PART: F.lit(self._part(dataset_id))})
+        stored = settle(named)  # the log may be read from the very partition that is replaced
+        if stored.isEmpty():  # an empty frame writes no partition, so the old one would stay
+            self.delete(dataset_id)
+        else:
+            stored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(self.PART).parquet(self.path)
 
     def get(self, dataset_id: str) -> DataFrame:
         """Rows of one dataset; only its partition is read."""
-        return self.spark.read.parquet(self.path).filter(F.col("dataset_id") == dataset_id)
+        return self.spark.read.parquet(self.path).filter(F.col(self.PART) == self._part(dataset_id)).drop(self.PART)
 
     def copy(self, source: str, target: str, apis: list[str] | None = None) -> None:
         self.put(target, copy_filtered(self.get(source), target, apis))
 
     def delete(self, dataset_id: str) -> bool:
-        """Drop one dataset's partition."""
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/dataset_id={dataset_id}")
+        """Drop one dataset's partition; false if there is none."""
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{self.PART}={self._part(dataset_id)}")
         system = hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return system.delete(hadoop, True)

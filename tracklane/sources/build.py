@@ -104,7 +104,7 @@ def build_log(rows: DataFrame, solution: str | Column = "ODRD", row: str = "row"
         "eta_ms": F.unix_millis(parse_time(_either(delivery, req, "etatofirstwaypoint"))),
         "remaining_distance_m": _either(delivery, req, "remainingdistancemeters"),
         "trip_id": _filled(req["tripid"], req["trip"]["name"]), "request_trip": req["tripid"],
-        "current_trips": F.array_sort(resp["currenttrips"]), "vehicle_state": state,
+        "current_trips": F.array_sort(resp["currenttrips"]), "listed_trips": resp["currenttrips"], "vehicle_state": state,
         "trip_status": renamed(resp["status"], resp["tripstatus"], "TRIP_STATUS_"),
         "trip_types": F.coalesce(trim_each(resp["supportedtrips"], "_TRIP"), resp["supportedtriptypes"]),
         "journey_segments": journey,
