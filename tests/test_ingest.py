@@ -7,9 +7,10 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
+from tracklane.operators import layers
 from tracklane.operators.filters import task_rows
 from tracklane.sinks import datasets
-from tracklane.sources import files, merge, payload
+from tracklane.sources import build, files, merge, payload
 from tracklane.streaming import live
 
 
@@ -150,3 +151,53 @@ def test_streamed_sessions(spark, tmp_path):
     run.awaitTermination()
     got = {tuple(r) for r in spark.sql("select * from sessions_out").collect()}
     assert {(1, 0, 30_000, 2), (1, 200_000, 200_000, 1), (2, 10_000, 10_000, 1)} <= got
+
+
+@pytest.mark.parametrize("text, rows", [
+    ('{"rawLogs": [{"a": 1}, {"a": 2}], "vehicle": "v"}', ['{"a": 1}', '{"a": 2}']),
+    ('{"x": {"rawLogs": [1]}}', ['{"x": {"rawLogs": [1]}}']),
+    (' [ {"a": "],["} , 2 ] ', ['{"a": "],["}', "2"]),
+    ('{"a": 1},\n{"a": 2}', ['{"a": 1}', '{"a": 2}']),
+    ('{"rawLogs": []}', []), ("[]", []), ('{"rawLogs": null}', ['{"rawLogs": null}']), ('{"rawLogs": {"a": 1}}', ['{"a": 1}']), ("{}", ["{}"]),
+])
+def test_row_spans(text, rows):
+    assert [text[a:b] for a, b in files.row_spans(text)] == rows
+
+
+@pytest.mark.parametrize("text", ["", "nonsense", '{"a": 1', '[{"a": 1}', '{"a": 1} {"a": 2}', '{"rawLogs": [1, 2', '{"a" 1}', "[1,]"])
+def test_broken_texts_have_no_rows(text):
+    with pytest.raises(ValueError):
+        files.row_spans(text)
+
+
+def test_broken_files_are_errors_and_never_null_rows(spark, tmp_path):
+    (tmp_path / "good.json").write_text('{"rawLogs": [{"a": 1}, {"a": 2}]}')
+    (tmp_path / "bad.json").write_text('{"rawLogs": [{"a": 1}, ')
+    with pytest.raises(Exception, match="Not a dataset"):
+        files.scan_dataset_json(spark, str(tmp_path)).collect()
+    rows = files.scan_dataset_json(spark, str(tmp_path), strict=False).collect()
+    assert sorted(r.row for r in rows) == ['{"a": 1}', '{"a": 2}']
+    assert [r.file.rsplit("/", 1)[1] for r in files.scan_errors(spark, str(tmp_path)).collect()] == ["bad.json"]
+
+
+def test_a_file_of_any_size_keeps_all_rows(spark, tmp_path):
+    row = '{"a": "' + "x" * 1000 + '"}'
+    (tmp_path / "big.json").write_text('{"rawLogs": [' + ",".join([row] * 140_000) + "]}")
+    rows = files.scan_dataset_json(spark, str(tmp_path))
+    assert tuple(rows.selectExpr("count(row)", "count(distinct pos)", "min(length(row))").first()) == (140_000, 140_000, len(row))
+
+
+def test_ingest_wraps_bare_rows_and_finds_the_solution(spark, tmp_path):
+    call = {"@type": "type.example.com/x.v1.UpdateVehicleLog", "request": {"vehicleId": "v1"}, "response": {}}
+    task = {"timestamp": "2024-01-01T00:00:02Z", "jsonPayload": {"@type": "type.example.com/x.v1.UpdateDeliveryVehicleLog", "response": {"name": "p/deliveryVehicles/d"}}}
+    (tmp_path / "a.json").write_text(json.dumps([{"timestamp": "2024-01-01T00:00:01Z", **call}, {"timestamp": "2024-01-01T00:00:03Z", "jsonPayload": call}, call]))
+    (tmp_path / "b.json").write_text(json.dumps({"rawLogs": [task]}))
+    got = sorted((r.solution_type, r.vehicle_id, r.event_ms) for r in build.ingest(spark, str(tmp_path)).fillna(0, ["event_ms"]).collect())
+    assert got == [("LMFS", "d", 1704067202000), ("ODRD", "v1", 0), ("ODRD", "v1", 1704067201000), ("ODRD", "v1", 1704067203000)]
+
+
+def test_points_are_not_put_together_from_two(spark):
+    rows = [(1, 1.0, None, 3.0, 4.0), (2, 1.0, 2.0, 3.0, 4.0), (3, None, 2.0, None, 4.0)]
+    log = spark.createDataFrame(rows, "id int, resp_lat double, resp_lng double, raw_lat double, raw_lng double")
+    got = {r.id: (r.lat, r.lng) for r in layers.located(log, raw_lat="raw_lat", raw_lng="raw_lng").collect()}
+    assert got == {1: (3.0, 4.0), 2: (1.0, 2.0)}

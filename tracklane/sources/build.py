@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.functions.text import api_of, parse_time, renamed, trim_each, trim_text
 from tracklane.operators.state import location_fallback, sensor_origin
 from tracklane.operators.tasks import name_tail, task_id_of
 from tracklane.schema import APIS
+from tracklane.sources.files import scan_dataset_json
+from tracklane.sources.merge import solution_type
 from tracklane.sources.payload import normalise_payload
 
 POINT = "struct<latitude:double,longitude:double>"
@@ -123,3 +125,21 @@ def build_log(rows: DataFrame, solution: str | Column = "ODRD", row: str = "row"
     }.items():
         cols[f"{name}_lat"], cols[f"{name}_lng"] = point["latitude"], point["longitude"]
     return typed.select("dataset_id", "event_id", "solution_type", "api", *[c.alias(n) for n, c in cols.items()], "payload")
+
+
+def ingest(spark: SparkSession, path: str, per_line: bool = False, strict: bool = True) -> DataFrame:
+    """Typed log of all datasets under ``path``: rows cut out, bare payloads wrapped, solution type found.
+
+    A bare payload is a row that names its type at the top; its time moves out with it.
+    """
+    rows = scan_dataset_json(spark, path, per_line, strict)
+    bare = F.get_json_object("row", "$['@type']").isNotNull() & F.get_json_object("row", "$.jsonPayload").isNull()
+    stamp = F.coalesce(F.to_json(F.struct(F.get_json_object("row", "$.timestamp").alias("timestamp"))), F.lit("{}"))
+    head = F.when(stamp == "{}", F.lit("{")).otherwise(F.concat(F.expr("left({0}, length({0}) - 1)".format("_stamp")), F.lit(",")))
+    wrapped = rows.withColumn("_stamp", stamp).withColumn(
+        "row", F.when(bare, F.concat(head, F.lit('"jsonPayload":'), F.col("row"), F.lit("}"))).otherwise(F.col("row"))
+    )
+    rows = wrapped.drop("_stamp")
+    # LMFS where any call of a dataset is about a delivery vehicle
+    kind = solution_type(rows, F.when(F.lower("row").rlike('"[^"]*deliveryvehicle(log)?"'), F.lit("_delivery_vehicle")).otherwise(F.lit("")), ("file",))
+    return build_log(rows.join(kind, "file"), F.col("solution_type"))
