@@ -13,18 +13,24 @@ from tracklane.session import shared_folder
 from tracklane.streaming import live
 
 THRESHOLD_MS = 60_000
+LATE = "20 minutes"  # over the ten minutes of a part and five of delay
 
 
 def replay(spark, sf, make):
-    """Write the log as files in time order, stream them file by file, and return what was written."""
+    """Write the log as files in the order of arrival, up to five minutes after the event, stream them file by
+    file, and return what was written. A last row an hour later lets the watermark pass all others."""
     base = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
     log = fleet(spark, sf).select("event_id", "vehicle_id", "event_ms", "raw_lat", "raw_lng", "trip_status", F.timestamp_millis("event_ms").alias("event_time"))
-    # time ranges become files; the file source takes them by modification time, so they are written in turn
-    edges = [None, 600_000, 1_200_000, 1_800_000, None]
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        part = log if lo is None else log.filter(F.col("event_ms") >= lo)
-        part = part if hi is None else part.filter(F.col("event_ms") < hi)
-        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    end = log.agg(F.max("event_ms").alias("event_ms")).select(
+        F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("vehicle_id"), (F.col("event_ms") + 3_600_000).alias("event_ms"),
+        F.lit(0.0).alias("raw_lat"), F.lit(0.0).alias("raw_lng"), F.lit("END").alias("trip_status"),
+    ).withColumn("event_time", F.timestamp_millis("event_ms"))
+    arrived = F.col("event_ms") + F.pmod(F.xxhash64("event_id"), F.lit(300_000))
+    # the file source takes files by modification time, so they are written in turn
+    edges = [600_000, 1_200_000, 1_800_000]
+    parts = [log.filter(arrived < edges[0]), *(log.filter((arrived >= a) & (arrived < b)) for a, b in zip(edges, edges[1:])), log.filter(arrived >= edges[-1]), end]
+    for part in parts:
+        part.write.mode("append").parquet(f"{base}/in")
     out = make(live.unbounded_log(spark, f"{base}/in", log.schema, 1))
     run = (
         out.writeStream.format("parquet").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out")
@@ -37,19 +43,27 @@ def replay(spark, sf, make):
 @query("stream_missing_updates", "fleet_log", sql=f"""
 with {PAIRS} select vehicle_id, start_ms, end_ms, interval_ms, start_lat, start_lng, end_lat, end_lng from pairs where interval_ms >= {THRESHOLD_MS}""")
 def _(spark, sf):
-    return replay(spark, sf, lambda log: live.missing_updates(log, THRESHOLD_MS))
+    return replay(spark, sf, lambda log: live.missing_updates(log, THRESHOLD_MS, LATE))
 
 
 @query("stream_status_changes", "fleet_log", sql=f"""
 with s as (select *, lag(trip_status) over {W} as was from fleet_log where trip_status is not null)
 select vehicle_id, event_ms, event_id, trip_status as new_status from s where was is distinct from trip_status""")
 def _(spark, sf):
-    return replay(spark, sf, live.status_changes)
+    return replay(spark, sf, lambda log: live.status_changes(log, LATE))
 
 
-@query("session_segments", "fleet_log", sql=f"""
+SESSIONS_SQL = f"""
 with g as (select *, case when event_ms - lag(event_ms) over {W} < 60000 then 0 else 1 end as b from fleet_log),
 s as (select *, sum(b) over {W} as n from g)
-select vehicle_id, min(event_ms) as first_ms, max(event_ms) as last_ms, count(*) as updates from s group by vehicle_id, n""")
+select vehicle_id, min(event_ms) as first_ms, max(event_ms) as last_ms, count(*) as updates from s group by vehicle_id, n"""
+
+
+@query("session_segments", "fleet_log", sql=SESSIONS_SQL)
 def _(spark, sf):
     return segments.sessions(fleet(spark, sf), 60_000, TRACK)
+
+
+@query("stream_sessions", "fleet_log", sql=SESSIONS_SQL)
+def _(spark, sf):
+    return replay(spark, sf, lambda log: live.sessions(log, late=LATE))

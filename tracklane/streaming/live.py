@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,67 +14,59 @@ GAP_SCHEMA = "vehicle_id long, start_ms long, end_ms long, interval_ms long, sta
 STATUS_SCHEMA = "vehicle_id long, event_ms long, event_id long, new_status string"
 
 
-def missing_updates(log: DataFrame, threshold_ms: int, late: str = "10 minutes") -> DataFrame:
-    """Gaps of at least ``threshold_ms`` between fixes. State per vehicle: its last fix.
+def _in_order(rows: DataFrame, columns: list[str], follow: Callable, schema: str, late: str) -> DataFrame:
+    """Each vehicle's rows in the order of their events, whatever the order they arrive in.
 
-    The threshold is given (take it from the last batch run): a running median is not kept. Rows later
-    than the watermark, or older than the vehicle's last fix, are dropped.
+    State per vehicle: the rows that the watermark has not passed, and the last one that it has. When it
+    passes a row, ``follow(last, row)`` gives a result row or None; ``last`` is None for the first. Rows that
+    come later than the watermark are dropped by Spark, which counts them in its progress reports.
     """
-    fixes = log.filter("raw_lat is not null and raw_lng is not null").withWatermark("event_time", late)
+    at = F.unix_millis("event_time").alias("_at")
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        # one micro-batch of one vehicle, bounded by the source's rate limit
-        rows = pd.concat(list(batches)).sort_values(["event_ms", "event_id"])
-        if last is not None:
-            rows = rows[(rows["event_ms"] > last[0]) | ((rows["event_ms"] == last[0]) & (rows["event_id"] > last[1]))]
-        if not len(rows):
-            return
-        ms = rows["event_ms"].to_numpy()
-        before = pd.DataFrame({"ms": rows["event_ms"].shift(), "lat": rows["raw_lat"].shift(), "lng": rows["raw_lng"].shift()})
-        if last is not None:
-            before.iloc[0] = [last[0], last[2], last[3]]
-        out = pd.DataFrame({
-            "vehicle_id": key[0], "start_ms": before["ms"].to_numpy(), "end_ms": ms, "interval_ms": ms - before["ms"].to_numpy(),
-            "start_lat": before["lat"].to_numpy(), "start_lng": before["lng"].to_numpy(),
-            "end_lat": rows["raw_lat"].to_numpy(), "end_lng": rows["raw_lng"].to_numpy(),
-        })
-        tail = rows.iloc[-1]
-        state.update((int(tail["event_ms"]), int(tail["event_id"]), float(tail["raw_lat"]), float(tail["raw_lng"])))
-        out = out[out["interval_ms"] >= threshold_ms]
-        if len(out):
-            yield out.astype({"start_ms": "int64", "end_ms": "int64", "interval_ms": "int64"})
-
-    return fixes.groupBy("vehicle_id").applyInPandasWithState(
-        step, GAP_SCHEMA, "ms long, id long, lat double, lng double", "append", GroupStateTimeout.NoTimeout
-    )
+        held, last = map(json.loads, state.get) if state.exists else ([], None)
+        if not state.hasTimedOut:
+            for batch in batches:
+                held += batch[["event_ms", "event_id", "_at", *columns]].values.tolist()
+        mark = state.getCurrentWatermarkMs()
+        due = sorted((r for r in held if r[2] <= mark), key=lambda r: r[:2])
+        held = [r for r in held if r[2] > mark]
+        out = []
+        for row in due:
+            out.append(follow(key[0], last, row))
+            last = row
+        state.update((json.dumps(held), json.dumps(last)))
+        if held:
+            state.setTimeoutTimestamp(max(mark + 1, min(int(r[2]) for r in held)))
+        if found := [r for r in out if r is not None]:
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")])
+
+    kept = rows.withWatermark("event_time", late).select("vehicle_id", "event_time", at, "event_ms", "event_id", *columns)
+    return kept.groupBy("vehicle_id").applyInPandasWithState(step, schema, "held string, last string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def missing_updates(log: DataFrame, threshold_ms: int, late: str = "10 minutes") -> DataFrame:
+    """Gaps of at least ``threshold_ms`` between fixes, given out once the watermark has passed their end.
+
+    The threshold is given (take it from the last batch run): a running median is not kept.
+    """
+
+    def gap(vehicle, last, row):
+        if last is None or row[0] - last[0] < threshold_ms:
+            return None
+        return vehicle, int(last[0]), int(row[0]), int(row[0] - last[0]), *map(float, (*last[3:], *row[3:]))
+
+    fixes = log.filter("raw_lat is not null and raw_lng is not null")
+    return _in_order(fixes, ["raw_lat", "raw_lng"], gap, GAP_SCHEMA, late)
 
 
 def status_changes(log: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Changes of trip status per vehicle. State per vehicle: its last status and place in the log."""
-    rows = log.filter("trip_status is not null and trip_status <> ''").withWatermark("event_time", late)
+    """Changes of trip status per vehicle, given out once the watermark has passed them."""
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        part = pd.concat(list(batches)).sort_values(["event_ms", "event_id"])
-        if last is not None:
-            part = part[(part["event_ms"] > last[0]) | ((part["event_ms"] == last[0]) & (part["event_id"] > last[1]))]
-        if not len(part):
-            return
-        before = part["trip_status"].shift()
-        if last is not None:
-            before.iloc[0] = last[2]
-        changed = part[part["trip_status"] != before]
-        tail = part.iloc[-1]
-        state.update((int(tail["event_ms"]), int(tail["event_id"]), tail["trip_status"]))
-        if len(changed):
-            yield pd.DataFrame({
-                "vehicle_id": key[0], "event_ms": changed["event_ms"], "event_id": changed["event_id"], "new_status": changed["trip_status"]
-            })
-
-    return rows.groupBy("vehicle_id").applyInPandasWithState(
-        step, STATUS_SCHEMA, "ms long, id long, status string", "append", GroupStateTimeout.NoTimeout
-    )
+    def change(vehicle, last, row):
+        return None if last is not None and last[3] == row[3] else (vehicle, int(row[0]), int(row[1]), row[3])
+
+    return _in_order(log.filter("trip_status is not null and trip_status <> ''"), ["trip_status"], change, STATUS_SCHEMA, late)
 
 
 def sessions(log: DataFrame, gap: str = "60 seconds", late: str = "10 minutes") -> DataFrame:
