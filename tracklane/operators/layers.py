@@ -72,10 +72,21 @@ def same_place(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column
     return known & (F.abs(lat1 - lat2) < SAME_PLACE_DEG) & (F.abs(lng1 - lng2) < SAME_PLACE_DEG)
 
 
-def geo_bounds(log: DataFrame, lat: str, lng: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """North, south, east and west edge of the points; NULL where there are none."""
+EDGES = ("north", "south", "east", "west")
+
+
+def geo_bounds(log: DataFrame, lat: str, lng: str, keys: tuple[str, ...] = (), paths: DataFrame | None = None) -> DataFrame:
+    """North, south, east and west edge of the points; NULL where there are none.
+
+    ``paths`` holds points (``keys``, ``lat``, ``lng``) whose bounds stand in where the log has no point.
+    """
     a, o = F.when(F.col(lng).isNotNull(), F.col(lat)), F.when(F.col(lat).isNotNull(), F.col(lng))
-    return log.groupBy(*keys).agg(F.max(a).alias("north"), F.min(a).alias("south"), F.max(o).alias("east"), F.min(o).alias("west"))
+    own = log.groupBy(*keys).agg(F.max(a).alias("north"), F.min(a).alias("south"), F.max(o).alias("east"), F.min(o).alias("west"))
+    if paths is None:
+        return own
+    other = geo_bounds(paths, "lat", "lng", keys).withColumnsRenamed({e: f"_{e}" for e in EDGES})
+    both = own.join(other, list(keys), "full") if keys else own.withColumn("_one", F.lit(1)).join(other.withColumn("_one", F.lit(1)), "_one", "full")
+    return both.select(*keys, *[F.when(F.col("north").isNotNull(), F.col(e)).otherwise(F.col(f"_{e}")).alias(e) for e in EDGES])
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,7 @@ from tracklane.functions import geo
 from tracklane.operators import filters, layers, route, tasks
 from tracklane.registry.base import fleet, query, r3
 from tracklane.registry.files import fresh
-from tracklane.sources import build, files
+from tracklane.sources import build, files, merge
 from tracklane.views import read_view
 
 
@@ -124,3 +124,24 @@ def _(spark, sf):
     log = fleet(spark, sf).withColumns({"server_ms": F.col("event_ms") + 5, "resp_speed": F.col("value") - 50})
     rows = layers.layer(log, lambda r: layers.speed_points(layers.clock_skew(r)))
     return rows.select("event_id", "delta_seconds", "client_ahead", "speed_sign")
+
+
+@query("key_inventory_nested", "fleet_log", sql="""
+select * from (select 'timestamp' as key, count(*) as rows, 0 as rank from fleet_log union all select 'vehicle.id', count(*), 1 from fleet_log
+  union all select 'vehicle.fix.lat', count(raw_lat), 1 from fleet_log union all select 'trips', count(*), 1 from fleet_log) where rows > 0""")
+def _(spark, sf):
+    fix = F.struct(F.col("raw_lat").alias("lat"))
+    body = F.to_json(F.struct(F.col("event_ms").alias("timestamp"), F.struct(F.col("vehicle_id").alias("id"), fix.alias("fix")).alias("vehicle"), F.array(F.struct("k")).alias("trips")))
+    return merge.key_inventory(fleet(spark, sf), body, nested=True)
+
+
+@query("geo_bounds_paths", "fleet_log", sql="""
+with p as (select vehicle_id, case when vehicle_id % 2 = 0 then resp_lat end as a, case when vehicle_id % 2 = 0 then resp_lng end as o, raw_lat, raw_lng from fleet_log)
+select vehicle_id, coalesce(max(a), max(raw_lat)) as north, coalesce(min(a), min(raw_lat)) as south, coalesce(max(o), max(raw_lng)) as east, coalesce(min(o), min(raw_lng)) as west
+from p group by 1""")
+def _(spark, sf):
+    """Vehicles without response points are bounded by the points of their paths."""
+    log = fleet(spark, sf)
+    known = log.withColumns({c: F.when(F.col("vehicle_id") % 2 == 0, F.col(c)) for c in ("resp_lat", "resp_lng")})
+    paths = log.select("vehicle_id", F.col("raw_lat").alias("lat"), F.col("raw_lng").alias("lng"))
+    return layers.geo_bounds(known, "resp_lat", "resp_lng", ("vehicle_id",), paths)

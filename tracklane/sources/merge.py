@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +53,34 @@ def dataset_identity(rows: DataFrame, vehicle: Column, order: list[str], times:
     )
 
 
-def key_inventory(rows: DataFrame, payload: Column) -> DataFrame:
-    """Every key path of the JSON payloads with its row count, ``timestamp`` first when sorted by ``rank``."""
-    keys = rows.select(F.explode(F.json_object_keys(payload)).alias("key"))
+def _leaf_paths(text: str | None) -> list[str] | None:
+    """Dotted paths to everything in a JSON object that is not an object itself; None for other texts."""
+    try:
+        value = json.loads(text) if text is not None else None
+    except ValueError:
+        return None
+    if not isinstance(value, dict):
+        return None
+    found, open_ = [], [("", value)]
+    while open_:
+        path, node = open_.pop()
+        for key, item in node.items():
+            if isinstance(item, dict):
+                open_.append((f"{path}{key}.", item))
+            else:
+                found.append(path + key)
+    return found
+
+
+def key_inventory(rows: DataFrame, payload: Column, nested: bool = False) -> DataFrame:
+    """Every key of the JSON payloads with its row count, ``timestamp`` first when sorted by ``rank``; with
+    ``nested`` the dotted paths of all that is no object."""
+
+    @F.pandas_udf("array<string>")
+    def paths(texts: pd.Series) -> pd.Series:
+        return texts.map(_leaf_paths, na_action=None)
+
+    keys = rows.select(F.explode(paths(payload) if nested else F.json_object_keys(payload)).alias("key"))
     return keys.groupBy("key").agg(F.count("*").alias("rows")).select("*", F.when(F.col("key") == "timestamp", 0).otherwise(1).alias("rank"))
 
 
