@@ -145,3 +145,20 @@ def _(spark, sf):
     known = log.withColumns({c: F.when(F.col("vehicle_id") % 2 == 0, F.col(c)) for c in ("resp_lat", "resp_lng")})
     paths = log.select("vehicle_id", F.col("raw_lat").alias("lat"), F.col("raw_lng").alias("lng"))
     return layers.geo_bounds(known, "resp_lat", "resp_lng", ("vehicle_id",), paths)
+
+
+@query("restricted_merge_nested", "raw_log", sql="""
+with r as (select parent_insert_id, event_id from raw_log where event_type = 'error')
+select insert_id, 's' || r.event_id as segment, 'p' || r.event_id as pickup, case when k % 2 = 1 then 'w' || r.event_id end as waypoints, cast(null as varchar) as other
+from raw_log p left join r on r.parent_insert_id = p.insert_id where event_type <> 'error'""")
+def _(spark, sf):
+    """Restricted rows of a JSON dataset laid over sections, vehicles and trips that both sides have."""
+    body = F.expr("""case when event_type = 'error' then concat('{"insertId":"', insert_id, '","jsonPayload":{"@type":"UpdateVehicleRestrictedLog","parentInsertId":"', parent_insert_id,
+      '","request":{"vehicle":{"waypoints":"w', event_id, '"}},"response":{"currentRouteSegment":"s', event_id, '","other":"x","waypoints":{},"trip":{"pickupPoint":"p', event_id, '"}}}}')
+      else concat('{"insertId":"', insert_id, '","jsonPayload":{"@type":"UpdateVehicleLog",', case when k % 2 = 1 then '"request":{},' else '' end, '"response":{"name":"n"}}}') end""")
+    rows = read_view(spark, sf, "raw_log").select(F.lit("d").alias("file"), F.col("event_id").alias("pos"), body.alias("row"))
+    part = lambda path: F.get_json_object("row", f"$.jsonPayload.{path}")
+    return merge.merge_restricted_rows(rows).select(
+        F.get_json_object("row", "$.insertId").alias("insert_id"), part("response.currentRouteSegment").alias("segment"),
+        part("response.trip.pickupPoint").alias("pickup"), part("request.vehicle.waypoints").alias("waypoints"), part("response.waypoints").alias("other"),
+    )

@@ -10,7 +10,7 @@ from tracklane.operators.state import location_fallback, sensor_origin
 from tracklane.operators.tasks import name_tail, task_id_of
 from tracklane.schema import APIS
 from tracklane.sources.files import scan_dataset_json
-from tracklane.sources.merge import solution_type
+from tracklane.sources.merge import merge_restricted_rows, solution_type
 from tracklane.sources.payload import normalise_payload
 
 POINT = "struct<latitude:double,longitude:double>"
@@ -128,7 +128,8 @@ def build_log(rows: DataFrame, solution: str | Column = "ODRD", row: str = "row"
 
 
 def ingest(spark: SparkSession, path: str, per_line: bool = False, strict: bool = True) -> DataFrame:
-    """Typed log of all datasets under ``path``: rows cut out, bare payloads wrapped, solution type found.
+    """Typed log of all datasets under ``path``: rows cut out, bare payloads wrapped, restricted rows laid over
+    their parents, solution type found.
 
     A bare payload is a row that names its type at the top; its time moves out with it.
     """
@@ -139,7 +140,7 @@ def ingest(spark: SparkSession, path: str, per_line: bool = False, strict: bool
     wrapped = rows.withColumn("_stamp", stamp).withColumn(
         "row", F.when(bare, F.concat(head, F.lit('"jsonPayload":'), F.col("row"), F.lit("}"))).otherwise(F.col("row"))
     )
-    rows = wrapped.drop("_stamp")
+    rows = merge_restricted_rows(wrapped.drop("_stamp"))
     # LMFS where any call of a dataset is about a delivery vehicle
     kind = solution_type(rows, F.when(F.lower("row").rlike('"[^"]*deliveryvehicle(log)?"'), F.lit("_delivery_vehicle")).otherwise(F.lit("")), ("file",))
     return build_log(rows.join(kind, "file"), F.col("solution_type"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.schema import LMFS, ODRD, RESTRICTED_ATTRIBUTES
+from tracklane.sources.payload import without_empty_objects
 
 
 def restricted_merge(
@@ -33,9 +34,46 @@ def restricted_merge(
     )
 
 
-def restricted_sections(rows: DataFrame, section_paths: tuple[str, ...] = ("", "vehicle.", "trip.")) -> list[str]:
-    """Field paths a restricted row may overlay, inside a request or response section."""
-    return [p + a for p in section_paths for a in RESTRICTED_ATTRIBUTES]
+def _overlaid(parent: str, restricted: str) -> str:
+    """The parent row with the restricted attributes of each section that both rows have, on the section itself
+    and on its vehicle and trip."""
+    row, over = json.loads(parent), without_empty_objects(json.loads(restricted).get("jsonPayload") or {})
+    body = row.get("jsonPayload") or {}
+    for section in ("request", "response"):
+        base, given = body.get(section), over.get(section)
+        if not isinstance(base, dict) or not isinstance(given, dict):
+            continue
+        for part in ("", "vehicle", "trip"):
+            source = given.get(part) if part else given
+            picked = {a: source[a] for a in RESTRICTED_ATTRIBUTES if a in source} if isinstance(source, dict) else {}
+            if picked and part:
+                base[part] = {**(base.get(part) or {}), **picked}
+            elif picked:
+                base.update(picked)
+    return json.dumps(row, ensure_ascii=False)
+
+
+def merge_restricted_rows(rows: DataFrame, keys: tuple[str, ...] = ("file",), pos: str = "pos", row: str = "row") -> DataFrame:
+    """JSON rows with the restricted rows of their dataset laid over them; restricted rows go.
+
+    Of several restricted rows for one parent the last wins. Rows that none belongs to are not touched.
+    """
+    field = lambda path: F.get_json_object(row, path)
+    restricted = F.coalesce(field("$.jsonPayload['@type']").contains("Restricted"), F.lit(False))
+    marked = rows.withColumn("_restricted", restricted)
+    over = marked.filter("_restricted").select(*keys, field("$.jsonPayload.parentInsertId").alias("_id"), pos, row).groupBy(*keys, "_id").agg(
+        F.max_by(row, pos).alias("_over")
+    )
+    # rows without an id have no overlay; a key from their place keeps them from meeting in one task
+    own = F.coalesce(field("$.insertId"), F.concat(F.lit("\x00"), F.xxhash64(*keys, pos).cast("string")))
+
+    @F.pandas_udf("string")
+    def laid(parents: pd.Series, overs: pd.Series) -> pd.Series:
+        return pd.Series([p if o is None else _overlaid(p, o) for p, o in zip(parents, overs)], dtype=object)
+
+    found = marked.filter("not _restricted").withColumn("_id", own).join(over, [*keys, "_id"], "left")
+    merged = F.when(F.col("_over").isNull(), F.col(row)).otherwise(laid(F.col(row), F.col("_over")))
+    return found.select(*[merged.alias(row) if c == row else F.col(c) for c in rows.columns])
 
 
 def solution_type(rows: DataFrame, log_name: Column, keys: tuple[str, ...] = ("dataset_id",)) -> DataFrame:
