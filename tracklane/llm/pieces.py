@@ -27,13 +27,13 @@ def cut(text: str) -> list[str]:
     return text.split(" ")
 
 
-class _Cache(dict):
+class Cache(dict):
     """Results for short strings; emptied when it holds ``limit`` of them."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int):
+    def __init__(self, make: Callable[[str], object], limit: int):
         self.make, self.limit = make, limit
 
-    def __missing__(self, key: str) -> bytes:
+    def __missing__(self, key: str):
         made = self.make(key)
         if len(key) <= LONG_PIECE:
             if len(self) >= self.limit:
@@ -52,8 +52,8 @@ class TextEncoder:
     def __init__(self, encode_word: Callable[[str], bytes], pattern: str, limit: int = 1_000_000):
         self._matches = regex.compile(pattern).findall
         self._word = encode_word
-        self._words = _Cache(encode_word, limit // 10)  # of pieces that are not one word
-        self._pieces = _Cache(self._spaced, limit)
+        self._words = Cache(encode_word, limit // 10)  # of pieces that are not one word
+        self._pieces = Cache(self._spaced, limit)
 
     def _spaced(self, piece: str) -> bytes:
         # Latin letters alone are one match, as is a mark behind them; the pattern sees to everything else.

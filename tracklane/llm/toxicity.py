@@ -9,7 +9,6 @@ passage, so a long text hides nothing; a second small fit turns it into a probab
 from __future__ import annotations
 
 import pickle
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,44 +45,75 @@ class ToxicityFit:
     seed: int = 11
 
 
-def grams(word: str, fit: ToxicityFit) -> list[int]:
-    """Buckets of the n-grams of a word between its edges, and of the word itself."""
-    body = f"<{word.strip(EDGES).lower()}>"
-    found = {body, *(body[i : i + n] for n in range(fit.shortest, fit.longest + 1) for i in range(len(body) - n + 1))}
-    return [zlib.crc32(g.encode()) & (fit.buckets - 1) for g in sorted(found)]
+def grams(words: list[str], fit: ToxicityFit) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, bucket) of the n-grams of each word between its edges, and of each word itself, by word.
+
+    Hashes are polynomials of code points, so all words are done in a few passes over one array."""
+    bodies = [f"<{w.strip(EDGES).lower()}>" for w in words]
+    points = np.frombuffer("".join(bodies).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, bodies), np.int64, len(bodies))
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(bodies)), sizes)
+    left = ends[owner] - np.arange(len(points))  # characters up to the end of the word
+    rolled, owners, hashes = np.zeros(len(points), np.uint32), [], []
+    for n in range(1, fit.longest + 1):
+        moved = np.zeros(len(points), np.uint32)
+        moved[: max(0, len(points) - n + 1)] = points[n - 1 :]
+        rolled = rolled * np.uint32(0x01000193) + moved
+        if n >= fit.shortest:
+            at = np.flatnonzero((left >= n) & (n < sizes[owner]))
+            owners.append(owner[at])
+            hashes.append(rolled[at] + np.uint32(n))
+    place = (np.arange(len(points)) - (ends - sizes)[owner]).astype(np.uint32)
+    whole = points * (place * np.uint32(0x9E3779B1) + np.uint32(0x85EBCA6B))
+    owners.append(np.arange(len(bodies)))
+    hashes.append(np.add.reduceat(whole, ends - sizes, dtype=np.uint32) if len(bodies) else np.zeros(0, np.uint32))
+    owners, mixed = np.concatenate(owners), np.concatenate(hashes)
+    mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+    mixed = (mixed ^ (mixed >> np.uint32(12))) & np.uint32(fit.buckets - 1)
+    order = np.argsort(owners, kind="stable")
+    return owners[order], mixed[order].astype(np.int64)
 
 
 class Scorer:
     """Passage logits of whole texts. A word's part of a logit is the mean of its n-grams' parts."""
 
-    def __init__(self, fit: ToxicityFit, parts: np.ndarray, bias: float, scale: float, shift: float, limit: int = 400_000):
-        self.fit, self.parts, self.bias, self.scale, self.shift, self.limit = fit, parts.tolist(), bias, scale, shift, limit
+    def __init__(self, fit: ToxicityFit, parts: np.ndarray, bias: float, scale: float, shift: float, limit: int = 1_000_000):
+        self.fit, self.parts, self.bias, self.scale, self.shift, self.limit = fit, parts, bias, scale, shift, limit
         self.known: dict[str, float] = {}
 
-    def _word(self, word: str) -> float:
-        parts = self.parts
-        found = [parts[g] for g in grams(word, self.fit)]
-        return sum(found) / max(len(found), self.fit.fewest)
-
-    def logit(self, text: str | None) -> float:
-        """The highest passage logit; passages overlap by half. A text without words has the bias alone."""
-        words = (text or "").split()
-        if not words:
-            return self.bias
-        if len(self.known) > self.limit:
+    def _learn(self, lists: list[list[str]]) -> None:
+        """Parts of the words not met before; a full memory is emptied."""
+        used = set().union(*lists)
+        new = used.difference(self.known)
+        if len(self.known) + len(new) > self.limit:
             self.known.clear()
-        known = self.known
-        for w in words:
-            if w not in known:
-                known[w] = self._word(w)
-        sums = np.concatenate([[0.0], np.cumsum(np.fromiter(map(known.__getitem__, words), float, len(words)))])
+            new = used
+        words = list(new)
+        owner, bucket = grams(words, self.fit)
+        counts = np.maximum(np.bincount(owner, minlength=len(words)), self.fit.fewest)
+        self.known.update(zip(words, (np.bincount(owner, self.parts[bucket], len(words)) / counts).tolist()))
+
+    def logits(self, texts: list[str | None]) -> np.ndarray:
+        """The highest passage logit of each text; passages overlap by half. A text without words has the bias alone."""
+        out = np.full(len(texts), self.bias)
         n = self.fit.passage_words
-        starts = np.arange(0, max(1, len(words) - n // 2), n // 2)
-        ends = np.minimum(starts + n, len(words))
-        return float(((sums[ends] - sums[starts]) / (ends - starts)).max()) + self.bias
+        for at in range(0, len(texts), 64):
+            lists = [(t or "").split() for t in texts[at : at + 64]]
+            self._learn(lists)
+            for i, words in enumerate(lists, at):
+                if words:
+                    sums = np.concatenate([[0.0], np.cumsum(np.fromiter(map(self.known.__getitem__, words), float, len(words)))])
+                    starts = np.arange(0, max(1, len(words) - n // 2), n // 2)
+                    ends = np.minimum(starts + n, len(words))
+                    out[i] += ((sums[ends] - sums[starts]) / (ends - starts)).max()
+        return out
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.shift, -40, 40)))
 
     def score(self, text: str | None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.scale * self.logit(text) + self.shift, -40, 40))))
+        return float(self.scores([text])[0])
 
 
 def _adam(step: int, value: np.ndarray, slope: np.ndarray, held: list[np.ndarray], rate: float) -> None:
@@ -102,11 +132,11 @@ def fit_model(texts: list[str], labels: np.ndarray, fit: ToxicityFit) -> Scorer:
         return Scorer(fit, np.zeros(fit.buckets), 0.0, 1.0, float(np.log(edge / (1 - edge))))
     vocabulary: dict[str, int] = {}
     rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], np.int64) for t in texts]
-    bags = [grams(w, fit) for w in vocabulary]
-    gram, gram_word = np.concatenate([np.array(b) for b in bags]), np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    gram_size = np.maximum(np.bincount(gram_word), fit.fewest).astype(float)
+    many = len(vocabulary)
+    gram_word, gram = grams(list(vocabulary), fit)
+    gram_size = np.maximum(np.bincount(gram_word, minlength=many), fit.fewest).astype(float)
     # N-grams of few documents say nothing about others; their embeddings stay zero.
-    first_gram = np.concatenate([[0], np.cumsum([len(b) for b in bags])])
+    first_gram = np.searchsorted(gram_word, np.arange(many + 1))
     holders = np.zeros(fit.buckets, np.int64)
     for r in rows:
         held = [gram[first_gram[w] : first_gram[w + 1]] for w in np.unique(r)]
@@ -132,12 +162,12 @@ def fit_model(texts: list[str], labels: np.ndarray, fit: ToxicityFit) -> Scorer:
         return np.stack([np.bincount(where, values[:, j], count) for j in range(fit.width)], 1)
 
     for step in range(1, fit.rounds + 1):
-        words = total(gram_word, embed[gram], len(bags)) / gram_size[:, None]
+        words = total(gram_word, embed[gram], many) / gram_size[:, None]
         bag = np.add.reduceat(words[word], first) / sizes[:, None]
         logits = bag @ weight + bias
         odds = np.exp(logits - logits.max(1, keepdims=True))
         slope = (odds / odds.sum(1, keepdims=True) - target) * share
-        of_word = total(word, (slope @ weight.T / sizes[:, None])[in_passage], len(bags)) / gram_size[:, None]
+        of_word = total(word, (slope @ weight.T / sizes[:, None])[in_passage], many) / gram_size[:, None]
         of_gram = total(gram, of_word[gram_word], len(embed))
         for value, s, held in ((embed, of_gram, state[0]), (weight, bag.T @ slope, state[1]), (bias, slope.sum(0), state[2])):
             _adam(step, value, s + fit.decay * value, held, fit.rate)
@@ -145,7 +175,7 @@ def fit_model(texts: list[str], labels: np.ndarray, fit: ToxicityFit) -> Scorer:
     embed[common] = small_ones
     turn = weight[:, 1] - weight[:, 0]
     scorer = Scorer(fit, embed @ turn, float(bias[1] - bias[0]), 1.0, 0.0)
-    scorer.scale, scorer.shift = _scaled(np.array([scorer.logit(t) for t in texts]), labels)
+    scorer.scale, scorer.shift = _scaled(scorer.logits(texts), labels)
     return scorer
 
 
@@ -169,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: ToxicityFit = ToxicityFit(),
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         rows.sort(key=lambda r: (r[2], r[0] or ""))
         s = fit_model([r[0] or "" for r in rows], np.array([r[1] for r in rows], int), fit)
-        numbers = (np.array(s.parts, np.float32), s.bias, s.scale, s.shift)
+        numbers = (s.parts.astype(np.float32), s.bias, s.scale, s.shift)
         yield pa.record_batch([pa.array([pickle.dumps(numbers)], pa.binary())], names=["model"])
 
     made = sample(docs, labels, label, fit.rows).repartition(1).mapInArrow(run, "model binary").first()
@@ -185,6 +215,6 @@ def score(docs: DataFrame, model: bytes, fit: ToxicityFit = ToxicityFit(), text:
         parts, bias, scale, shift = pickle.loads(sent.value)
         scorer = Scorer(fit, parts.astype(float), bias, scale, shift)
         for texts in batches:
-            yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+            yield pd.Series(scorer.scores(texts.tolist()), dtype="float64")
 
     return docs.select(*kept, F.pandas_udf(run, "double")(F.col(text)).alias(name))
