@@ -6,20 +6,22 @@ pairs of each are put in one order, rarest first, they share one among the first
 only this prefix is joined, and a pair that no other class has needs no posting at all. Collisions of two
 classes that meet are counted on their signatures, and links confirmed on their full shingle sets.
 
-A first round links each posting list to its smallest class, which settles groups of copies without meeting in
-all pairs. A second round joins only classes of a list that are not yet in one component.
+First each posting list is linked to one of its classes, its hub (for ``rounds`` rounds with other hubs). This
+settles groups of copies without meeting in all pairs. The last round joins those classes of a list that are not
+yet in one component, so no link between components is lost. A sketch of one byte per coordinate goes along
+with each posting: two classes meet only if as many bytes are equal as coordinates must be.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklane.llm.bpe import small
@@ -36,6 +38,7 @@ class NearCopies:
     threshold: int = 80
     coordinates: int = 48
     matches: int = 26
+    rounds: int = 1
     seed: int = 7
 
 
@@ -121,30 +124,29 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies(), text: str = "t
     rows = settle(signatures(docs, rule, text, id).withColumnRenamed(id, "doc"))
     usable = rows.where("doc IS NOT NULL AND print IS NOT NULL")
     classes = settle(usable.groupBy("print").agg(F.min("doc").alias("rep"), F.first("signature").alias("signature")))
-    posted = settle(_postings(classes, rule))
-    texts = docs.select(F.col(id).alias("rep"), F.col(text).alias("text"))
-
-    hubs = posted.groupBy("entry").agg(F.min_by("print", "rep").alias("hub"))
-    first = posted.join(hubs, "entry").where("print != hub").select(F.col("hub").alias("p"), F.col("print").alias("q")).distinct()
-    tried = settle(_alike(first, classes, rule))
-    links = settle(_confirmed(tried, classes, texts, rule))
-    joined = components(_by_rep(links, classes))
-
-    placed = posted.join(joined, posted["rep"] == joined["node"], "left").select(
-        "entry", "print", F.coalesce("component", "rep").alias("part")
-    )
-    mixed = placed.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("entry")
-    open_ = settle(placed.join(mixed, "entry"))
-    left = open_.select("entry", F.col("print").alias("p"), F.col("part").alias("p_part"))
-    right = open_.select("entry", F.col("print").alias("q"), F.col("part").alias("q_part"))
-    second = left.join(right, "entry").where("p_part < q_part").select("p", "q").distinct()
-    done = tried.select("p", "q").unionByName(tried.select(F.col("q").alias("p"), F.col("p").alias("q")))
-    more = settle(_confirmed(settle(_alike(second.join(done, ["p", "q"], "left_anti"), classes, rule)), classes, texts, rule))
+    lanes = -(-rule.coordinates // 8)
+    sketches = classes.select("print", *[_lane(g, rule.coordinates).alias(f"lane{g}") for g in range(lanes)])
+    posted = settle(_postings(classes, rule).join(sketches, "print"))
+    # Only these can be in a pair; a class is found again by its print, should rows share an id.
+    texts = settle(docs.select(F.col(id).alias("rep"), F.col(text).alias("text")).join(posted.select("rep").distinct(), "rep"))
+
+    tried, links, parts = [], [], None
+    for turn in range(rule.rounds + 1):
+        placed = posted.withColumn("part", F.col("rep"))
+        if parts is not None:
+            placed = posted.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
+        pairs = _across(placed, rule) if turn == rule.rounds else _to_hubs(placed, turn)
+        for before in tried:
+            pairs = pairs.join(before, ["p", "q"], "left_anti")
+        alike = settle(_alike(pairs, classes, rule))
+        tried.append(alike.select("p", "q"))
+        links.append(settle(_confirmed(alike, texts, rule)))
+        linked = reduce(DataFrame.unionByName, links)
+        parts = components(linked.select("a", "b"))
 
     # Rows of a class, of a link and of an id hold together; components runs over ids.
-    all_links = _by_rep(links.unionByName(more), classes)
     copies = usable.join(classes.select("print", "rep"), "print").where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b"))
-    groups = components(all_links.unionByName(copies))
+    groups = components(linked.select("a", "b").unionByName(copies))
     found = rows.join(groups, rows["doc"] == groups["node"], "left")
     component = F.coalesce("component", "doc")
     return found.select(
@@ -167,6 +169,42 @@ def _postings(classes: DataFrame, rule: NearCopies) -> DataFrame:
     return ranked.select("rep", "print", F.explode(F.slice("entries", F.lit(1), room)).alias("e")).select("e.entry", "rep", "print")
 
 
+def _to_hubs(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs of the hub of an entry and its classes in other parts: no more than there are postings."""
+    order = F.struct("rep", "print") if turn == 0 else F.struct(F.xxhash64("print", "entry", F.lit(turn)), "print")
+    hubs = placed.groupBy("entry").agg(F.min_by(F.struct("print", "part"), order).alias("hub"))
+    met = placed.join(hubs, "entry").where("part != hub.part")
+    return met.select(F.least("print", "hub.print").alias("p"), F.greatest("print", "hub.print").alias("q")).distinct()
+
+
+def _lane(g: int, coordinates: int) -> Column:
+    """The low bytes of up to eight coordinates in one number."""
+    count = min(8, coordinates - 8 * g)
+    parts = [F.shiftleft(F.get("signature", F.lit(8 * g + j)).cast("long").bitwiseAND(255), 8 * j) for j in range(count)]
+    return reduce(Column.bitwiseOR, parts)
+
+
+def _equal_bytes(one: str, two: str, coordinates: int) -> Column:
+    """How many coordinates have equal low bytes: no fewer than are equal."""
+    found = []
+    for k in range(coordinates):
+        g, j = divmod(k, 8)
+        mask = 255 << 8 * j if j < 7 else -(1 << 56)
+        apart = F.col(f"{one}.lane{g}").bitwiseXOR(F.col(f"{two}.lane{g}"))
+        found.append((apart.bitwiseAND(F.lit(mask).cast("long")) == 0).cast("int"))
+    return reduce(Column.__add__, found)
+
+
+def _across(placed: DataFrame, rule: NearCopies) -> DataFrame:
+    """Pairs of an entry that are not in one part and whose sketches are alike."""
+    mixed = placed.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("entry")
+    open_ = settle(placed.join(mixed, "entry"))
+    alike = _equal_bytes("x", "y", rule.coordinates) >= rule.matches
+    apart = F.expr("x.entry = y.entry AND x.print < y.print AND x.part != y.part")
+    met = open_.alias("x").join(open_.alias("y"), apart & alike)
+    return met.select(F.col("x.print").alias("p"), F.col("y.print").alias("q")).distinct()
+
+
 def _alike(pairs: DataFrame, classes: DataFrame, rule: NearCopies) -> DataFrame:
     """Pairs (p, q) with enough equal coordinates, with the ids ``a`` and ``b`` of their classes."""
     p = classes.select(F.col("print").alias("p"), F.col("rep").alias("a"), F.col("signature").alias("s"))
@@ -175,12 +213,11 @@ def _alike(pairs: DataFrame, classes: DataFrame, rule: NearCopies) -> DataFrame:
     return pairs.join(p, "p").join(q, "q").where(equal >= rule.matches).select("p", "q", "a", "b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: NearCopies) -> DataFrame:
-    """Pairs whose full shingle sets are as alike as the rule asks."""
-    ends = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    needed = settle(texts.join(ends, "rep"))
-    one = needed.select(F.col("rep").alias("a"), F.col("text").alias("a_text"))
-    two = needed.select(F.col("rep").alias("b"), F.col("text").alias("b_text"))
+def _confirmed(pairs: DataFrame, texts: DataFrame, rule: NearCopies) -> DataFrame:
+    """Pairs whose full shingle sets are as alike as the rule asks, as the ids ``a`` and ``b``."""
+    one = texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text"))
+    two = texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text"))
+    kind = texts.schema["rep"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _shingler(rule)
@@ -200,13 +237,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, rule: Nea
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 # Rows may share an id; the pair is about those whose sets have its prints.
                 keep.append(100 * common >= rule.threshold * (len(a) + len(b) - common) and _print(a) == p and _print(b) == q)
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["p", "q"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(one, "a").join(two, "b").select("p", "q", "a_text", "b_text")
-    return both.mapInArrow(run, "p binary, q binary").distinct()
-
+            yield pa.RecordBatch.from_arrays(batch.columns[4:], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-def _by_rep(links: DataFrame, classes: DataFrame) -> DataFrame:
-    p = classes.select(F.col("print").alias("p"), F.col("rep").alias("a"))
-    q = classes.select(F.col("print").alias("q"), F.col("rep").alias("b"))
-    return links.join(p, "p").join(q, "q").select("a", "b")
+    both = pairs.join(one, "a").join(two, "b").select("p", "q", "a_text", "b_text", "a", "b")
+    return both.mapInArrow(run, f"a {kind}, b {kind}").distinct()
