@@ -64,7 +64,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of token ids in sequences of at most 2048."""
-    return packing.pack(docs, public_file("byte_bpe_50k.json"))
+    return packing.pack(docs, public_file("byte_bpe_50k.json"), added=True)
 
 
 STAGES = [

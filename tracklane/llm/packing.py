@@ -58,11 +58,14 @@ def balance(lengths: list[int], rule: Packing) -> list[tuple[int, int, int, int,
     return placed
 
 
-def pack(docs: DataFrame, path: str, rule: Packing = Packing(), text: str = "text", id: str = "doc_id") -> DataFrame:
+def pack(
+    docs: DataFrame, path: str, rule: Packing = Packing(), text: str = "text", id: str = "doc_id", added: bool = False
+) -> DataFrame:
     """One row per run: ``id``, ``start``, ``length``, ``ids`` (little-endian unsigned 32-bit), ``doc_tokens``,
     ``sequence_id``, ``offset``, ``sequence_length``.
 
-    A null or empty text is its end id alone. Repeated rows are packed like others, each on its own.
+    A null or empty text is its end id alone. Repeated rows are packed like others, each on its own. ``added``
+    tokens of the vocabulary are found in texts, or else taken as ordinary text.
     """
     kind = docs.schema[id].dataType.simpleString()
     schema = (
@@ -71,7 +74,7 @@ def pack(docs: DataFrame, path: str, rule: Packing = Packing(), text: str = "tex
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = library_encoder(path), np.array([rule.end_id], "<u4").tobytes()
+        encoder, end = library_encoder(path, added), np.array([rule.end_id], "<u4").tobytes()
         first = TaskContext.get().partitionId() << 40
         names, ids, id_type, tokens = [], [], None, 0
 

@@ -62,7 +62,7 @@ def chat_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_cost_packing")
 def cost_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing_digest(packing.pack(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json")))
+    return packing_digest(packing.pack(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"), added=True))
 
 
 def packing_digest(packed: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_token_files")
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    tokenfiles.write(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"), folder)
+    tokenfiles.write(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"), folder, added=True)
     return tokenfiles.checksums(spark, folder)
 
 

@@ -44,18 +44,20 @@ class Layout:
 
 
 def write(
-    docs: DataFrame, path: str, folder: str, end_id: int = 0, layout: Layout = Layout(), text: str = "text", id: str = "doc_id"
+    docs: DataFrame, path: str, folder: str, end_id: int = 0, layout: Layout = Layout(), text: str = "text", id: str = "doc_id",
+    added: bool = False,
 ) -> None:
     """Encode ``docs`` and write them to ``folder`` in ascending order of ``id`` (null first, then by text hash).
 
     A null or empty text is its end id alone; repeated rows are written one by one. The order's hash spreads an
-    id that very many rows share.
+    id that very many rows share. ``added`` tokens of the vocabulary are found in texts, or else taken as ordinary
+    text.
     """
     kind = docs.schema[id].dataType.simpleString()
     order = [F.col(id).asc_nulls_first(), F.xxhash64(text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = library_encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = library_encoder(path, added), np.array([end_id], "<u4").tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for rows in small(batch):
