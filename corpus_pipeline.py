@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tracklane.llm import minhash, packing, quality, secrets, toxicity
 from tracklane.llm.vocab import public_file
-from tracklane.session import shared_folder
+from tracklane.session import settle, shared_folder
 
 QUALITY_AT_LEAST = 0.3
 TOXICITY_BELOW = 0.5
@@ -40,10 +40,17 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five words, 80 %). Documents without words
-    or without an id are no copies and stay. Of rows that share an id, all stay or go together."""
-    kept = minhash.near_copies(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """One document of each group of near copies (five words, 80 %): that with the smallest id, null ids last, the
+    first row of those that share it. Documents without words are no copies and stay.
+
+    Rows are compared under a number of their own, written with them once, so ids may be repeated or null."""
+    row = "row_" + uuid.uuid4().hex
+    numbered = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = minhash.near_copies(numbered, id=row).select(row, "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", row)
+    first = groups.join(numbered.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order).alias("first"))
+    kept = first.select(F.col("first")[row].alias(row))
+    return numbered.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
