@@ -118,6 +118,15 @@ def test_vafile_of_nothing(spark):
     assert vafile.top_k(one, F.col("vec_id") % 5 == 0).count() == 0
 
 
+def test_vafile_leaves_out_empty_vectors(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(5, []), (10, [1.0, 2.0]), (11, [2.0, 1.0]), (15, []), (16, [])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in vafile.top_k(frame, F.col("vec_id") % 5 == 0).collect())
+    assert got == brute_top([r for r in rows if r[1]], 5, lambda q: q % 5 == 0) and len(got) == 1
+
+
 def text_rows(seed):
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(300)]

@@ -37,10 +37,10 @@ def top_k(vectors: DataFrame, is_query: Column, rule: VaFile = VaFile(), id: str
     """``query_id``, ``rank`` from 1, ``vec_id``, ``score``: the best ``k`` of all other vectors, all where there
     are fewer; ties go to the smaller id.
 
-    Rows without an id or vector, or with null or non-finite components, take no part, and vectors meet those of
+    Rows without an id or vector, with an empty one, or with null or non-finite components, take no part, and vectors meet those of
     their own length only. A row is no candidate of a query with its id. Scores must fit 64-bit integers.
     """
-    finite = F.expr(f"`{vec}` IS NOT NULL AND forall(`{vec}`, x -> x IS NOT NULL AND abs(x) < double('infinity'))")
+    finite = F.expr(f"`{vec}` IS NOT NULL AND size(`{vec}`) > 0 AND forall(`{vec}`, x -> x IS NOT NULL AND abs(x) < double('infinity'))")
     whole = settle(
         vectors.where(finite & F.col(id).isNotNull())
         .select(F.col(id).alias("id"), F.transform(vec, lambda x: F.floor(x.cast("double") * rule.scale).cast("long")).alias("v"), is_query.alias("asks"))
