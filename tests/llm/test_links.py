@@ -170,3 +170,10 @@ def test_minhash_join(spark, words):
 def test_minhash_of_nothing(spark):
     assert minhash.near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(r) for r in minhash.near_copies(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 1, True)]
+
+
+def test_minhash_seldom_misses_a_pair_at_the_limit():
+    rule = NearCopies()
+    p = rule.threshold / 100
+    missed = sum(math.comb(rule.coordinates, k) * p**k * (1 - p) ** (rule.coordinates - k) for k in range(rule.matches))
+    assert missed < 1 / 29_000_000

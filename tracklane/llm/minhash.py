@@ -31,13 +31,13 @@ from tracklane.session import settle
 
 @dataclass(frozen=True)
 class NearCopies:
-    """``threshold`` in percent. A pair at 80 % has 38.4 of 48 equal coordinates on average and fewer than 26
-    once in 300,000 times."""
+    """``threshold`` in percent. A pair at 80 % has 38.4 of 48 equal coordinates on average and fewer than 22
+    once in 30 million times."""
 
     words: int = 5
     threshold: int = 80
     coordinates: int = 48
-    matches: int = 26
+    matches: int = 22
     rounds: int = 1
     seed: int = 7
 
