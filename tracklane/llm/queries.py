@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm import bpe, chat, minhash, packing, quality, secrets, subspace, tokenfiles, toxicity, vafile
+from tracklane.llm import bpe, chat, divergence, minhash, packing, quality, secrets, subspace, tokenfiles, toxicity, vafile
 from tracklane.llm.labels import held_out
 from tracklane.llm.vocab import public_file
 from tracklane.session import shared_folder
@@ -174,3 +174,39 @@ from documents d join lowest on d.doc_id = lowest.id left join sizes on d.doc_id
 """)
 def minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), minhash.NearCopies(words=4))
+
+
+TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+
+@query("op12_source_divergence", sql=rf"""
+with docs as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as doc, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents
+), found as (select lang, source, doc, unnest(regexp_extract_all(text, '{TERM}')) as term from docs),
+counts as (select lang, source, term, count(*)::hugeint as n from found group by all),
+kept as (select lang, term, count(*)::hugeint as lang_n from found group by all having count(distinct doc) >= 3),
+groups as (select distinct lang, source from docs),
+of_lang as (select lang, count(*)::hugeint as v, sum(lang_n)::hugeint as lang_total from kept group by lang),
+totals as (
+  select g.lang, g.source, coalesce(sum(c.n), 0)::hugeint as total from groups g
+  left join (select c.* from counts c join kept using (lang, term)) c using (lang, source) group by all
+), shares as (
+  select t.lang, t.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (t.total + l.v) as p,
+    1 + (1000000000::hugeint * (k.lang_n + 1)) // (l.lang_total + l.v) as q
+  from totals t join kept k using (lang) join of_lang l using (lang) left join counts c on c.lang = t.lang and c.source = t.source and c.term = k.term
+), pairs as (
+  select a.lang, a.source, b.source as item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join shares x on x.lang = a.lang and x.source = a.source
+  left join shares y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all
+), ranked as (
+  select lang, source, 'pair' as part, item, coalesce(value, 0)::bigint as value from pairs
+  union all select lang, source, 'term', term, (((p - q) * (p - q)) // q)::bigint from shares where n > 0 and p > q
+), numbered as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item collate "C") as rank from ranked
+)
+select lang, source, part, item, value, rank from numbered where part = 'pair' or rank <= 200
+""")
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
