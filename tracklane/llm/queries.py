@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm import bpe, chat, divergence, minhash, packing, quality, secrets, subspace, tokenfiles, toxicity, vafile
+from tracklane.llm import bpe, chat, divergence, minhash, packing, quality, secrets, subspace, tokenfiles, toxicity, trie, vafile
 from tracklane.llm.labels import held_out
 from tracklane.llm.vocab import public_file
 from tracklane.session import shared_folder
@@ -176,6 +176,46 @@ def minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), minhash.NearCopies(words=4))
 
 
+@query("op11_conversation_trie", sql=r"""
+with turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos
+  from conversations where conv_id is not null
+), bytes as (  -- CRC-32 bit by bit: each byte is put in, then eight shifts (-1)
+  select conv_id, count(*) as n, list_concat([4294967295], flatten(list_transform(string_split(conv_id::varchar, ''),
+    lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))) as b from turns group by conv_id
+), heads as (
+  select conv_id, n, conv_id - conv_id % 20 as root,
+    xor(list_reduce(b, lambda c, x: case when x >= 0 then xor(c, x) else xor(c >> 1, 3988292384 * (c & 1)) end), 4294967295) % 4 as h from bytes
+), leads as (select c.conv_id, c.root, c.h, least(c.h, coalesce(r.n, 0)) as lead from heads c left join heads r on r.conv_id = c.root),
+steps as (
+  select l.conv_id, t.pos as depth, t.role, t.text from leads l join turns t on t.conv_id = l.root and t.pos <= l.lead
+  union all select l.conv_id, t.pos - l.h + l.lead, t.role, t.text from leads l join turns t on t.conv_id = l.conv_id and t.pos > l.h
+), keys as (
+  select conv_id, depth, text, md5(string_agg(length(role) || ':' || role || length(text) || ':' || text, '')
+    over (partition by conv_id order by depth rows unbounded preceding)) as k from steps
+  union all select conv_id, 0, '', '' from leads
+), paths as (select *, lead(k) over (partition by conv_id order by depth) is null as ends from keys),
+nodes as (
+  select k, depth, min(conv_id) as m, count(*) as n, len(regexp_extract_all(any_value(text), '[^\x20\x09-\x0D]+')) as words,
+    sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where ends), '')) as ends
+  from paths group by k, depth
+), up as (  -- each node and all that it lies below, itself included, along the path of its smallest member
+  select x.k, x.depth, x.n, x.words, p.k as above, p.depth as above_depth from nodes x join paths p on p.conv_id = x.m and p.depth <= x.depth
+), parents as (select u.k, u.depth, a.m as parent, a.k as parent_k from up u join nodes a on a.k = u.above and a.depth = u.above_depth where u.above_depth = u.depth - 1),
+kids as (select parent_k as k, depth - 1 as depth, count(*) as n_children from parents group by all),
+below as (
+  select above as k, above_depth as depth, sum((u.n - 1) * u.words) as saved, count(*) filter (where c.k is null) as n_leaves
+  from up u left join kids c on c.k = u.k and c.depth = u.depth group by all
+)
+select x.m as conv_id, x.depth, p.parent as parent_conv_id, x.n as n_convs, coalesce(c.n_children, 0) as n_children, b.n_leaves,
+  b.saved::bigint as saved_tokens, x.ends as ends_sha256
+from nodes x join below b using (k, depth) left join parents p using (k, depth) left join kids c using (k, depth)
+""")
+def conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(*trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
 
