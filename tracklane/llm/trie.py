@@ -399,15 +399,12 @@ def trie(convs: DataFrame, steps: DataFrame, layout: Layout = Layout()) -> DataF
         (F.col("saved") + (F.col("n") - 1) * (F.col("words") + F.col("behind"))).alias("saved_tokens"),
         F.when(is_last, F.coalesce("ends", F.lit(NO_ENDS))).otherwise(NO_ENDS).alias("ends_sha256"),
     )
-    total = convs.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")
-    root = (
-        total.withColumn("at", F.lit(1))
-        .join(spines.where("m IS NULL").withColumn("at", F.lit(1)).select("at", "leaves", "saved", "children"), "at", "left")
-        .join(ends.where("m IS NULL").withColumn("at", F.lit(1)).select("at", "ends"), "at", "left")
-        .select(
-            "conv_id", F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("parent_conv_id"), "n_convs",
-            F.coalesce("children", F.lit(0)).alias("n_children"), F.coalesce("leaves", F.lit(1)).alias("n_leaves"),
-            F.coalesce("saved", F.lit(0)).alias("saved_tokens"), F.coalesce("ends", F.lit(NO_ENDS)).alias("ends_sha256"),
-        )
+    total = convs.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"))
+    top = total.unionByName(spines.where("m IS NULL").select("leaves", "saved", "children"), True)
+    top = top.unionByName(ends.where("m IS NULL").select("ends"), True)  # three rows at most
+    root = top.agg(*[F.max(c).alias(c) for c in top.columns]).where("n_convs > 0").select(
+        "conv_id", F.lit(0).cast("bigint").alias("depth"), F.lit(None).cast("bigint").alias("parent_conv_id"), "n_convs",
+        F.coalesce("children", F.lit(0)).alias("n_children"), F.coalesce("leaves", F.lit(1)).alias("n_leaves"),
+        F.coalesce("saved", F.lit(0)).alias("saved_tokens"), F.coalesce("ends", F.lit(NO_ENDS)).alias("ends_sha256"),
     )
     return root.unionByName(inner)
