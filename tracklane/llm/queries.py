@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.llm import bpe, chat, divergence, minhash, packing, quality, secrets, subspace, tokenfiles, toxicity, trie, vafile
+from tracklane.llm import bpe, chat, divergence, minhash, packing, pii, quality, secrets, subspace, tokenfiles, toxicity, trie, vafile
 from tracklane.llm.labels import held_out
 from tracklane.llm.vocab import public_file
-from tracklane.session import shared_folder
+from tracklane.session import settle, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -250,3 +250,13 @@ select lang, source, part, item, value, rank from numbered where part = 'pair' o
 """)
 def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op13_boosted_pii")
+def boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = settle(pii.candidates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind_no"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return pii.select(found, pii.train(found)).select(
+        "doc_id", *map(of_kind, range(pii.BASE)), F.sha2(pii.as_text(F.col("base")), 256).alias("base_sha256"),
+        pii.as_text(F.col("spans")).alias("spans"),
+    )
