@@ -108,6 +108,15 @@ def test_unknown_ones_like_known_ones_are_added(spark):
     assert model.thresholds[0] is not None
 
 
+def test_all_generators_may_add(spark):
+    flat = {f: 0 for f in pii.FEATURES}
+    model = pii.Model((("kind", 3, 1.0, 0.0),), 0.0, (0.5, 0.5, 0.5))
+    assert model.value(flat) == 1.0
+    got, _ = spans(table(spark, ["a [at] b.c and 10 . 0 . 0 . 1 or 030 1234567 1.2.3.4 x@y 12.3456.789"]), model)
+    # The number 030 1234567 runs into the base span behind it.
+    assert got[0] == [(0, "likely_email", 10), (15, "likely_ip", 29), (45, "ip", 52), (53, "likely_email", 56), (57, "likely_number", 68)]
+
+
 def test_nothing_known_adds_nothing(spark):
     got, model = spans(table(spark, ["call 030 1234567 or 12345678", "a [at] b.c", None]))
     assert set(map(tuple, got.values())) == {()} and model.thresholds == (None, None, None)

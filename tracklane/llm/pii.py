@@ -73,20 +73,15 @@ class Boosting:
 
 
 def running(values: Column, add: Callable[[Column, Column], Column], nothing: Column) -> Column:
-    """For each place of an array, ``add`` over all values up to it. Level k adds up runs of 4^k; a level that the array
-    is too short for is left out. 14 levels do for more places than an array of a JVM holds."""
+    """For each place of an array, ``add`` over all values up to it. Step k adds up runs of 4^k; a step that the array is
+    too short for is left out. 14 steps do for more places than an array of a JVM holds."""
 
-    def level(step: int) -> Callable[[Column], Column]:
-        def widened(a: Column) -> Column:
-            before = lambda i, j: F.coalesce(_at(a, i - j * step), nothing)
-            one = lambda v, i: add(add(add(v, before(i, 1)), before(i, 2)), before(i, 3))
-            return F.when(F.size(a) > step, F.transform(a, one)).otherwise(a)
+    def widened(a: Column, step: Column) -> Column:
+        before = lambda i, j: F.coalesce(_at(a, i - step * j), nothing)
+        one = lambda v, i: add(add(add(v, before(i, 1)), before(i, 2)), before(i, 3))
+        return F.when(F.size(a) > step, F.transform(a, one)).otherwise(a)
 
-        return widened
-
-    for k in range(14):
-        values = once(values, level(4**k))
-    return values
+    return F.aggregate(F.array(*[F.lit(4**k) for k in range(14)]), values, widened)
 
 
 def once(value: Column, made: Callable[[Column], Column]) -> Column:
@@ -342,16 +337,15 @@ def _joined(pair: Column) -> Column:
 def select(found: DataFrame, model: Model, base: str = "base", proposed: str = "proposed", spans: str = "spans") -> DataFrame:
     """Puts ``spans`` in place of ``proposed``: base spans and chosen candidates by start, then by kind. A candidate that
     meets a base span, or a chosen one of an earlier generator, is left out."""
-    taken = F.col(base)
-    for no in range(FEATURES["kind"]):
-        if model.thresholds[no] is None:
-            continue
-        passed = F.transform(
-            F.filter(F.get(proposed, F.lit(no)), lambda x: ~x["known"] & model.chosen(x)),
-            _span(BASE + no),
-        )
-        taken = once(F.struct(passed.alias("passed"), taken.alias("taken")), _joined)
-    return found.select(*[F.col(f"`{c}`") for c in found.columns if c not in (proposed, spans)], taken.cast(SPAN).alias(spans))
+    kept = [F.col(f"`{c}`") for c in found.columns if c not in (proposed, spans)]
+    row, raw, taken = (f"{n}_{uuid.uuid4().hex}" for n in ("row", "raw", "taken"))
+    out = found.select(F.struct(*kept).alias(row), F.col(proposed).alias(raw), F.col(base).cast(SPAN).alias(taken))
+    for no, lowest in enumerate(model.thresholds):
+        if lowest is not None:
+            good = F.filter(F.get(raw, F.lit(no)), lambda x: ~x["known"] & model.chosen(x))
+            both = F.struct(F.transform(good, _span(BASE + no)).alias("passed"), F.col(taken).alias("taken"))
+            out = out.select(row, raw, once(both, _joined).cast(SPAN).alias(taken))  # one step at a time: expressions stay small
+    return out.select(f"{row}.*", F.col(taken).alias(spans))
 
 
 def as_text(spans: Column) -> Column:
