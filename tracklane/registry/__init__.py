@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tracklane.registry.base import ORACLES, QUERIES
 
-PARTS = ("fleet", "orders", "raw", "files", "live", "rows")
+PARTS = ("fleet", "identity", "orders", "raw", "files", "live", "rows")
 
 
 def load():

@@ -41,6 +41,22 @@ select event_id, vehicle_id, event_ms, k, value,
 from base
 """
 
+# The fleet log as its calls carry it: most trip and task calls don't name a vehicle; half of the trips are served by
+# several vehicles, one after the other.
+FLEET_CALLS = f"""
+with log as ({FLEET_LOG}),
+named as (select *, case when k >= 20 then concat('trip-', cast(case when vehicle_id % 2 = 0 then vehicle_id % 40 else vehicle_id end as {{STR}}), '-',
+  cast(cast(floor(event_ms / 600000.0) as bigint) as {{STR}})) end as trip, concat('task-', cast(vehicle_id % 3 as {{STR}}), '-', cast(k % 25 as {{STR}})) as task from log)
+select event_id, event_ms, k, case when api = 'getVehicle' then 'updateTask' else api end as api,
+  case when api in ('createTrip', 'updateTrip') and k % 3 <> 0 then null when api = 'getVehicle' and k % 7 <> 0 then null else vehicle_id end as vehicle_id,
+  case when api = 'updateVehicle' or (api = 'getVehicle' and k % 4 <> 0) then null else trip end as trip_id,
+  case when api = 'getVehicle' then task end as task_id,
+  case when api = 'updateVehicle' then split(trip, ',') end as current_trips,
+  case when api = 'updateVehicle' and k % 5 = 0 then split(task, ',') end as tasks,
+  raw_lat, raw_lng, resp_lat, resp_lng, trip_status
+from named
+"""
+
 TASK_LOG = """
 select concat(cast(l_orderkey as {STR}), '-', cast(l_linenumber as {STR})) as task_id,
   l_orderkey as vehicle_id, l_linenumber as stop_no, l_shipdate as event_time,
@@ -85,6 +101,7 @@ from {orders}
 
 VIEWS = {
     "fleet_log": FLEET_LOG,
+    "fleet_calls": FLEET_CALLS,
     "task_log": TASK_LOG,
     "road_stretch": ROAD_STRETCH,
     "raw_log": RAW_LOG,
