@@ -8,13 +8,14 @@ import zipfile
 from functools import reduce
 
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklane.registry.base import fleet, query
 from tracklane.session import shared_folder
 from tracklane.sinks import datasets
-from tracklane.sources import files
+from tracklane.sources import build, files, ranges
 
 ENVELOPE_ROWS = 500
 
@@ -52,6 +53,66 @@ def _(spark, sf):
     return parsed(files.scan_dataset_json(spark, path, per_line=True))
 
 
+# Envelopes, arrays and loose rows; brackets and quotes inside texts; fields before and behind the rows.
+FRAMES = {
+    0: ('{"vehicle": "car } 0", "other": [{"rawLogs": [1, {"a": "]"}]}], "mapId": "m]\\\\", "rawLogs": [',
+        '], "projectId": "p\\"[", "logSource": "BigQuery", "solutionType": "LMFS", "bounds": {"north": 3.5, "south": 1, "east": 2, "west": -4}, "retentionDate": "1970-06-01T00:00:00Z"}'),
+    1: ("[", "]"), 2: (" [", "] "), 3: ('{"rawLogs": [', '], "retentionDate": "1970-01-02T00:00:00Z", "vehicle": "car 3"}'), 4: ("", ""),
+}
+RANGE_BYTES = 1 << 16
+
+
+def big_datasets(spark, sf):
+    """Five files, however large the tables: vehicles by the remainder of their number. They are read in small ranges."""
+    log = fleet(spark, sf).withColumn("dataset", F.col("vehicle_id") % 5)
+    point = F.when(F.col("raw_lat").isNotNull(), F.struct(F.col("raw_lat").alias("latitude"), F.col("raw_lng").alias("longitude")))
+    kind = F.when((F.col("dataset") == 2) & (F.col("k") % 50 == 7), "update_delivery_vehicle").otherwise("update_vehicle")
+    row = F.to_json(F.struct(
+        F.date_format(F.timestamp_millis("event_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.concat(F.lit("p/logs/_"), kind).alias("logName"),
+        F.struct(F.struct(F.struct(point.alias("rawLocation")).alias("lastLocation")).alias("response"), F.lit('x}"]\\').alias("note"), "event_id").alias("jsonPayload"),
+    ))
+    first = F.row_number().over(Window.partitionBy("dataset").orderBy("event_id")) == 1
+    body = log.select("dataset", F.lit(1).alias("at"), "event_id", F.concat(F.when(first, "").otherwise(","), row).alias("value"))
+    there = log.select("dataset").distinct()
+    text = lambda i: F.coalesce(*[F.when(F.col("dataset") == d, f[i]) for d, f in FRAMES.items()]).alias("value")
+    ends = [there.select("dataset", F.lit(at).alias("at"), F.lit(0).cast("long").alias("event_id"), text(i)) for i, at in ((0, 0), (1, 2))]
+    path = fresh(spark, "large")
+    lines = reduce(lambda a, b: a.unionByName(b), [body, *ends]).repartition("dataset").sortWithinPartitions("dataset", "at", "event_id")
+    lines.select("dataset", "value").write.partitionBy("dataset").text(path)
+    return ranges.cut(spark, path, RANGE_BYTES)
+
+
+DATASET = F.regexp_extract("file", "dataset=([0-9]+)", 1).cast("long").alias("dataset")
+
+
+@query("scan_dataset_ranges", "fleet_log", sql="""
+select vehicle_id % 5 as dataset, event_id, row_number() over (partition by vehicle_id % 5 order by event_id) - 1 as pos, raw_lat from fleet_log""")
+def _(spark, sf):
+    rows = files.dataset_rows(big_datasets(spark, sf))
+    at = lambda p: F.get_json_object("row", f"$.jsonPayload.{p}")
+    return rows.select(DATASET, at("event_id").cast("long").alias("event_id"), "pos", at("response.lastLocation.rawLocation.latitude").cast("double").alias("raw_lat"))
+
+
+@query("dataset_meta", "fleet_log", sql="""
+with d as (
+  select vehicle_id % 5 as dataset, count(*) as rows, min(event_ms) as oldest_ms, max(raw_lat) as north, min(raw_lat) as south, max(raw_lng) as east, min(raw_lng) as west,
+    coalesce(bool_or(k % 50 = 7), false) as delivery from fleet_log group by 1
+)
+select dataset, case dataset when 0 then 'car } 0' when 3 then 'car 3' when 1 then '' when 2 then '' when 4 then '' end as vehicle,
+  case dataset when 0 then 'p"[' when 3 then null else '' end as project_id, case dataset when 0 then 'BigQuery' when 3 then null else 'Direct Cloud Logging' end as log_source,
+  case when dataset = 0 or (dataset = 2 and delivery) then 'LMFS' else 'ODRD' end as solution_type, case when dataset = 0 then 'm]' || chr(92) end as map_id,
+  case dataset when 0 then 3.5 when 3 then null else north end as north, case dataset when 0 then 1.0 when 3 then null else south end as south,
+  case dataset when 0 then 2.0 when 3 then null else east end as east, case dataset when 0 then -4.0 when 3 then null else west end as west, rows, oldest_ms,
+  greatest(case dataset when 0 then 13046400000 else 0 end, oldest_ms + 55 * 86400000::bigint, 1209600000 + 3600000) as retention_ms
+from d""")
+def _(spark, sf):
+    found = build.dataset_meta(big_datasets(spark, sf), F.lit("1970-01-15T00:00:00Z").cast("timestamp"))
+    return found.withColumnRenamed("dataset_id", "file").select(
+        DATASET, "vehicle", "project_id", "log_source", "solution_type", "map_id", "north", "south", "east", "west", "rows",
+        F.unix_millis("oldest").alias("oldest_ms"), F.unix_millis("retention_date").alias("retention_ms"),
+    )
+
+
 @query("scan_loose_json", "fleet_log", sql=ROWS_SQL)
 def _(spark, sf):
     path = fresh(spark, "loose")

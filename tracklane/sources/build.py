@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane.functions.text import api_of, parse_time, renamed, trim_each, trim_text
+from tracklane.operators.identity import Calls, resolve_vehicle
 from tracklane.operators.state import location_fallback, sensor_origin
 from tracklane.operators.tasks import name_tail, task_id_of
-from tracklane.schema import APIS
-from tracklane.sources.files import scan_dataset_json
+from tracklane.plans.joins import beside
+from tracklane.schema import APIS, LMFS, ODRD
+from tracklane.session import settle
+from tracklane.sources import ranges
+from tracklane.sources.files import dataset_rows, scan_dataset_json
 from tracklane.sources.merge import merge_restricted_rows, solution_type
 from tracklane.sources.payload import normalise_payload
 
@@ -127,20 +131,68 @@ def build_log(rows: DataFrame, solution: str | Column = "ODRD", row: str = "row"
     return typed.select("dataset_id", "event_id", "solution_type", "api", *[c.alias(n) for n, c in cols.items()], "payload")
 
 
-def ingest(spark: SparkSession, path: str, per_line: bool = False, strict: bool = True) -> DataFrame:
+def with_vehicles(log: DataFrame) -> DataFrame:
+    """The typed log with the vehicles of its unnamed calls (:func:`tracklane.operators.identity.resolve_vehicle`),
+    dataset by dataset. A dataset of one vehicle gives it to all of its calls."""
+    named = F.flatten(F.transform("journey_segments", lambda s: F.transform(F.coalesce(s["stop"]["tasks"], F.array()), lambda t: t["taskid"])))
+    calls = Calls(trips="current_trips", tasks="_tasks", keys=("dataset_id",), alone=True)
+    return resolve_vehicle(log.withColumn("_tasks", named), calls).drop("_tasks")
+
+
+def ingest(spark: SparkSession, path: str, per_line: bool = False, strict: bool = True, vehicles: bool = True) -> DataFrame:
     """Typed log of all datasets under ``path``: rows cut out, bare payloads wrapped, restricted rows laid over
-    their parents, solution type found.
+    their parents, solution type found, with ``vehicles`` those of unnamed calls too.
 
-    A bare payload is a row that names its type at the top; its time moves out with it.
+    A bare payload is a row that names its type at the top; its time moves out with it. An envelope that states its
+    solution type is believed.
     """
-    rows = scan_dataset_json(spark, path, per_line, strict)
+    found = None if per_line else ranges.cut(spark, path)
+    rows = scan_dataset_json(spark, path, True, strict) if per_line else dataset_rows(found, strict)
     bare = F.get_json_object("row", "$['@type']").isNotNull() & F.get_json_object("row", "$.jsonPayload").isNull()
     stamp = F.coalesce(F.to_json(F.struct(F.get_json_object("row", "$.timestamp").alias("timestamp"))), F.lit("{}"))
     head = F.when(stamp == "{}", F.lit("{")).otherwise(F.concat(F.expr("left({0}, length({0}) - 1)".format("_stamp")), F.lit(",")))
     wrapped = rows.withColumn("_stamp", stamp).withColumn(
         "row", F.when(bare, F.concat(head, F.lit('"jsonPayload":'), F.col("row"), F.lit("}"))).otherwise(F.col("row"))
     )
-    rows = merge_restricted_rows(wrapped.drop("_stamp"))
+    rows = settle(merge_restricted_rows(wrapped.drop("_stamp")))  # read twice from here
     # LMFS where any call of a dataset is about a delivery vehicle
     kind = solution_type(rows, F.when(F.lower("row").rlike('"[^"]*deliveryvehicle(log)?"'), F.lit("_delivery_vehicle")).otherwise(F.lit("")), ("file",))
-    return build_log(rows.join(kind, "file"), F.col("solution_type"))
+    if found is not None:
+        stated = found.around.select("file", F.get_json_object("text", "$.solutionType").alias("_stated"))
+        kind = kind.join(stated, "file", "left").select("file", F.coalesce(F.nullif("_stated", F.lit("")), "solution_type").alias("solution_type"))
+    log = build_log(beside(rows, kind, ["file"]), F.col("solution_type"))
+    return with_vehicles(log) if vehicles else log
+
+
+def dataset_meta(found: ranges.Cut, now: Column) -> DataFrame:
+    """One row for each dataset file of :func:`ranges.cut`: ``dataset_id``, ``vehicle``, ``project_id``, ``log_source``, ``solution_type``,
+    ``map_id``, ``north``, ``south``, ``east``, ``west``, ``rows``, ``oldest``, ``retention_date``; keys and tokens are left where they are.
+
+    An envelope keeps its own fields; other forms get the defaults of a direct load, a solution type by their log
+    names and bounds by the measured points of responses. Retention is the envelope's date, 55 days from the oldest
+    row, or an hour from ``now``, whichever is last. Texts with an error raise it.
+    """
+    rows = dataset_rows(found).select("file", normalise_payload(F.col("row")).alias("p"))
+    at = lambda *paths: F.coalesce(*[F.get_json_object("p", f"$.{x}") for x in paths])
+    time = parse_time(at("timestamp", "inserttimestamp", "jsonpayload.timestamp"))
+    side = lambda c: at(*[f"{root}response.lastlocation.rawlocation.{c}" for root in ("jsonpayload.", "")]).cast("double")
+    point = F.struct(side("latitude").alias("lat"), side("longitude").alias("lng"))
+    told = rows.select("file", time.alias("time"), at("logname").contains("_delivery_vehicle").alias("delivery"), point.alias("at"))
+    both = F.col("at.lat").isNotNull() & F.col("at.lng").isNotNull()
+    sums = told.groupBy("file").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("time").alias("oldest"), F.coalesce(F.bool_or("delivery"), F.lit(False)).alias("delivery"),
+        *[f(F.when(both, F.col(c))).alias(n) for n, f, c in (
+            ("north", F.max, "at.lat"), ("south", F.min, "at.lat"), ("east", F.max, "at.lng"), ("west", F.min, "at.lng"))],
+    )
+    whole = found.around.join(sums, "file", "full")
+    own = lambda path: F.get_json_object("text", path)
+    envelope = F.coalesce(own(f"$.{ranges.ROWS}").isNotNull(), F.lit(False))
+    of = lambda path, default: F.when(envelope, own(path)).otherwise(default)
+    least = F.greatest(F.col("oldest") + F.make_dt_interval(F.lit(55)), now + F.make_dt_interval(hours=F.lit(1)))
+    return whole.select(
+        F.col("file").alias("dataset_id"), of("$.vehicle", F.lit("")).alias("vehicle"), of("$.projectId", F.lit("")).alias("project_id"),
+        of("$.logSource", F.lit("Direct Cloud Logging")).alias("log_source"),
+        F.coalesce(F.nullif(own("$.solutionType"), F.lit("")), F.when(F.col("delivery"), LMFS).otherwise(ODRD)).alias("solution_type"), own("$.mapId").alias("map_id"),
+        *[of(f"$.bounds.{n}", F.col(n)).cast("double").alias(n) for n in ("north", "south", "east", "west")],
+        F.coalesce("rows", F.lit(0)).alias("rows"), "oldest", F.greatest(parse_time(own("$.retentionDate")), least).alias("retention_date"),
+    )

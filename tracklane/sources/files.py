@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
-import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -15,73 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracklane.functions.text import api_of
+from tracklane.plans.joins import beside
 from tracklane.schema import APIS
+from tracklane.session import settle
+from tracklane.sources import ranges
+from tracklane.sources.jsontext import row_spans
 
-
-_SPACE = re.compile(r"\s*")
 ROWS_AT_ONCE = 1000
 
 
-def _item_spans(text: str, at: int, close: str) -> tuple[list[tuple[int, int]], int]:
-    """Spans of the values between ``at`` and the closing sign, or the end of the text for an empty one."""
-    spans, end = [], _SPACE.match(text, at).end()
-    if close and text[end : end + 1] == close:
-        return spans, end + 1
-    decode = json.JSONDecoder().raw_decode
-    while True:
-        start = end
-        _, end = decode(text, start)
-        spans.append((start, end))
-        end = _SPACE.match(text, end).end()
-        sign = text[end : end + 1]
-        if sign == close:
-            return spans, end + len(close)
-        if sign != ",":
-            raise ValueError(f"expected a comma at character {end}")
-        end = _SPACE.match(text, end + 1).end()
-
-
-def _envelope_rows(text: str, at: int) -> tuple[int | None, int]:
-    """Where the value of ``rawLogs`` of the object at ``at`` starts, and where the object ends."""
-    decode, rows = json.JSONDecoder().raw_decode, None
-    end = _SPACE.match(text, at + 1).end()
-    while text[end : end + 1] != "}":
-        name, end = decode(text, end)
-        end = _SPACE.match(text, end).end()
-        if not isinstance(name, str) or text[end : end + 1] != ":":
-            raise ValueError(f"expected a name and a colon at character {end}")
-        start = _SPACE.match(text, end + 1).end()
-        value, end = decode(text, start)
-        if name == "rawLogs" and value is not None:
-            rows = start
-        end = _SPACE.match(text, end).end()
-        if text[end : end + 1] == ",":
-            end = _SPACE.match(text, end + 1).end()
-        elif text[end : end + 1] != "}":
-            raise ValueError(f"expected a comma at character {end}")
-    return rows, end + 1
-
-
-def row_spans(text: str) -> list[tuple[int, int]]:
-    """Spans of the log rows in a dataset text: an envelope with ``rawLogs``, an array, one object, or several
-    separated by commas. Raises ValueError on anything else."""
-    start = _SPACE.match(text).end()
-    if text[start : start + 1] == "{":
-        rows, end = _envelope_rows(text, start)
-        if _SPACE.match(text, end).end() == len(text):
-            if rows is None:
-                return [(start, end)]
-            start = rows
-            if text[start] != "[":
-                return [(start, json.JSONDecoder().raw_decode(text, start)[1])]
-            return _item_spans(text, start + 1, "]")[0]
-    elif text[start : start + 1] == "[":
-        spans, end = _item_spans(text, start + 1, "]")
-        if _SPACE.match(text, end).end() == len(text):
-            return spans
-    return _item_spans(text, start, "")[0]
-
-
 def _split(texts: DataFrame) -> DataFrame:
     """``(file, pos, row, error)``: the rows of each text, a bounded number at a time, or its error."""
 
@@ -100,31 +40,46 @@ def _split(texts: DataFrame) -> DataFrame:
     return texts.mapInPandas(run, "file string, pos int, row string, error string")
 
 
-def _texts(spark: SparkSession, path: str, per_line: bool) -> DataFrame:
-    return spark.read.text(path, wholetext=not per_line).select(F.input_file_name().alias("file"), "value")
-
-
 def scan_dataset_json(spark: SparkSession, path: str, per_line: bool = False, strict: bool = True) -> DataFrame:
     """``(file, pos, row)``: one row per log row of every dataset under ``path``.
 
-    A dataset is a whole file, or a line with ``per_line`` (large stores pack many datasets per file). Texts
-    are cut in a stream, so there is no limit on their number of rows. A text that is no dataset raises an
-    error; without ``strict`` it is left out here and listed by :func:`scan_errors`.
+    A dataset is a whole file, read by a task per byte range, whatever its size (finding the ranges runs jobs right
+    here); or it is a line with ``per_line`` (large stores pack many datasets per file), read in a stream. A text that
+    is no dataset raises an error; without ``strict`` it is left out here and listed by :func:`scan_errors`.
     """
-    return _exploded(_texts(spark, path, per_line), strict)
+    if per_line:
+        return _exploded(_lines(spark, path), strict)
+    return dataset_rows(ranges.cut(spark, path), strict)
+
+
+def dataset_rows(found: ranges.Cut, strict: bool = True) -> DataFrame:
+    """``(file, pos, row)`` of datasets that were cut; all rows of a text with an error go, or raise it."""
+    if strict:
+        return _raising(found.rows)
+    rows = settle(found.rows)
+    bad = rows.filter("error is not null").select("file").distinct()
+    return beside(rows.filter("error is null"), bad, ["file"], "left_anti").select("file", "pos", "row")
 
 
 def scan_errors(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """``(file, error)`` of every text under ``path`` that is no dataset."""
-    return _split(_texts(spark, path, per_line)).filter("error is not null").select("file", "error")
+    if per_line:
+        return _split(_lines(spark, path)).filter("error is not null").select("file", "error")
+    return ranges.cut(spark, path).rows.filter("error is not null").groupBy("file").agg(F.min("error").alias("error"))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select(F.input_file_name().alias("file"), "value")
+
+
+def _raising(rows: DataFrame) -> DataFrame:
+    broken = F.raise_error(F.concat(F.lit("Not a dataset: "), F.col("file"), F.lit(": "), F.col("error")))
+    return rows.select("file", "pos", F.when(F.col("error").isNotNull(), broken.cast("string")).otherwise(F.col("row")).alias("row"))
 
 
 def _exploded(texts: DataFrame, strict: bool = True) -> DataFrame:
     rows = _split(texts)
-    if strict:
-        broken = F.raise_error(F.concat(F.lit("Not a dataset: "), F.col("file"), F.lit(": "), F.col("error")))
-        return rows.select("file", "pos", F.when(F.col("error").isNotNull(), broken.cast("string")).otherwise(F.col("row")).alias("row"))
-    return rows.filter("error is null").select("file", "pos", "row")
+    return _raising(rows) if strict else rows.filter("error is null").select("file", "pos", "row")
 
 
 def scan_dataset_lines(spark: SparkSession, path: str) -> DataFrame:
