@@ -69,8 +69,8 @@ def test_one_slow_pair_is_no_jump_and_same_time_is_ignored(spark):
     assert [r.event_id for r in detect.velocity_jumps(log).collect()] == [5]
 
 
-@pytest.mark.parametrize("track", [dwell.DWELL_TRACK, dwell.DWELL_TRACK.by(slot=100_000, max_rows=50), dwell.DWELL_TRACK.by(max_rows=100)])
-def test_dwell_equals_sequential_clustering(spark, track):
+@pytest.mark.parametrize("tile_cells", [64, 5, 2])
+def test_dwell_equals_sequential_clustering(spark, tile_cells):
     rnd = random.Random(3)
     rows = []
     for v in (1, 2):
@@ -95,10 +95,18 @@ def test_dwell_equals_sequential_clustering(spark, track):
                 found.append([row[3], row[4], 1, row[2], row[2]])
         want |= {(v, round(c[0], 9), c[2], c[3], c[4]) for c in found if c[2] >= 3}
     log = spark.createDataFrame(rows, "event_id long, vehicle_id long, event_ms long, raw_lat double, raw_lng double")
-    got = {(x.vehicle_id, round(x.lat, 9), x.updates, x.start_ms, x.end_ms) for x in dwell.dwell_locations(log, track, min_updates=3).collect()}
+    got = {(x.vehicle_id, round(x.lat, 9), x.updates, x.start_ms, x.end_ms) for x in dwell.dwell_locations(log, min_updates=3, tile_cells=tile_cells).collect()}
     assert got == want
 
 
+def test_dwell_places_of_a_crawling_vehicle(spark):
+    """Steps of 10 m: who leads hangs on all before, over many tiles."""
+    rows = [(i, 1, i * 1000, 37.0 + i * 10 / 111_319.5, -122.0) for i in range(120)]
+    log = spark.createDataFrame(rows, "event_id long, vehicle_id long, event_ms long, raw_lat double, raw_lng double")
+    got = sorted((x.start_ms, x.updates) for x in dwell.dwell_locations(log, metres=25, min_updates=1, tile_cells=8).collect())
+    assert got == [(i * 3000, 3) for i in range(40)]
+
+
 def test_tasks_before_their_first_version_are_listed(spark):
     rows = [("a", 10, "OPEN", None, None, 37.0, -122.0, None, None), ("a", 20, "CLOSED", "SUCCEEDED", "LAST", 37.0, -122.0, 37.001, -122.0), ("b", 30, "OPEN", None, None, 37.0, -122.0, None, None)]
     df = spark.createDataFrame(rows, "task_id string, event_ms long, state string, outcome string, outcome_source string, planned_lat double, planned_lng double, outcome_lat double, outcome_lng double")

@@ -305,6 +305,39 @@ def _(spark, sf):
     return dwell.dwell_locations(fleet(spark, sf))
 
 
+def jittered(spark, sf):
+    """Fixes 5 to 30 m apart, so that places overlap and who leads hangs on the order."""
+    return fleet(spark, sf).withColumns({
+        "raw_lat": F.when(F.col("raw_lat").isNotNull(), F.expr("cast(37.7 as double) + ((k * 7 + event_id) % 11) * cast(0.00005 as double)")),
+        "raw_lng": F.when(F.col("raw_lat").isNotNull(), F.expr("cast(-122.4 as double) - ((k * 5 + event_id * 3) % 13) * cast(0.00006 as double)")),
+    })
+
+
+@query("dwell_locations_jittered", "fleet_log", sql=f"""
+with recursive fix as (
+  select vehicle_id, event_ms, event_id, cast(37.7 as double) + ((k * 7 + event_id) % 11) * cast(0.00005 as double) as lat,
+    cast(-122.4 as double) - ((k * 5 + event_id * 3) % 13) * cast(0.00006 as double) as lng from fleet_log where raw_lat is not null
+), numbered as (select *, row_number() over (partition by vehicle_id order by event_ms, event_id) as n from fix),
+led as (
+  select vehicle_id, 1::bigint as n, [struct_pack(lat := lat, lng := lng, at := event_ms)] as leaders, 1 as cluster from numbered where n = 1
+  union all
+  select vehicle_id, n, case when hit = 0 then list_append(leaders, struct_pack(lat := lat, lng := lng, at := event_ms)) else leaders end,
+    case when hit = 0 then len(leaders) + 1 else hit end
+  from (
+    select f.*, l.leaders, coalesce(list_position(list_transform(l.leaders, lambda x: {geo.sql_distance('x.lat', 'x.lng', 'f.lat', 'f.lng')} <= 20), true), 0) as hit
+    from led l join numbered f on f.vehicle_id = l.vehicle_id and f.n = l.n + 1
+  )
+), sums as (
+  select l.vehicle_id, l.cluster, count(*) as updates, max(f.event_ms) as end_ms, max(len(l.leaders)) as many from led l join numbered f using (vehicle_id, n) group by 1, 2
+), leaders as (select vehicle_id, arg_max(leaders, n) as leaders from led group by 1)
+select s.vehicle_id, round(leaders[cluster].lat, 6) as lat, round(leaders[cluster].lng, 6) as lng, leaders[cluster].at as start_ms, end_ms,
+  end_ms - leaders[cluster].at as duration_ms, updates, updates * 3 as weight
+from sums s join leaders using (vehicle_id) where updates >= 2""")
+def _(spark, sf):
+    found = dwell.dwell_locations(jittered(spark, sf), min_updates=2)
+    return found.withColumns({"lat": F.round("lat", 6), "lng": F.round("lng", 6)})
+
+
 @query("anomaly_context", "fleet_log", sql=f"""
 with {GAPS} select l.vehicle_id, l.event_ms, l.event_id, count(*) as windows from fleet_log l join gaps g on g.vehicle_id = l.vehicle_id
 and l.event_ms between g.start_ms - 60000 and g.end_ms + 60000 group by 1, 2, 3""")

@@ -130,6 +130,8 @@ def with_views(sql: str, *names: str) -> str:
             text = text.replace("{" + table + "}", table)
         parts.append(f"{name} as ({text})")
     body = sql.strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ", ".join(parts) + ", " + body[15:]
     if body.lower().startswith("with "):
         return "with " + ", ".join(parts) + ", " + body[5:]
     return "with " + ", ".join(parts) + " " + body
