@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklane.functions import geo
-from tracklane.operators import detect, dwell, filters, layers, route, segments, state, tasks, trips, view
+from tracklane.operators import detect, dwell, filters, layers, route, segments, state, tasks, traffic, trips, view
 from tracklane.plans.history import Track
 
 
@@ -175,7 +175,7 @@ def test_route_intervals(spark):
 
 def test_one_very_long_stretch(spark):
     df = spark.createDataFrame([(1, 1, 0, 1 << 24, "JAM")], "route_id int, ord int, offset_m int, length_m int, style string")
-    got = sorted(tuple(r)[1:] for r in route.traffic_segments(df, ["ord"], 20_000_000).collect())
+    got = sorted(tuple(r)[1:] for r in traffic.traffic_segments(df, ["ord"], 20_000_000).collect())
     assert got == [(0, 1 << 24, "JAM"), (1 << 24, 20_000_000, "STYLE_NORMAL")]
 
 
@@ -189,10 +189,35 @@ def test_traffic_segments_against_loop(spark):
         cuts = sorted(c for c in {0, 1000, *[m[0] for m in mine], *[m[1] for m in mine]} if c <= 1000)
         for a, b in zip(cuts, cuts[1:]):
             want.add((rid, a, b, next((m[2] for m in mine if m[0] <= a < m[1]), "STYLE_NORMAL")))
-    got = {tuple(r) for r in route.traffic_segments(df, ["ord"], 1000).select("route_id", "start_m", "end_m", "style").collect()}
+    got = {tuple(r) for r in traffic.traffic_segments(df, ["ord"], 1000).select("route_id", "start_m", "end_m", "style").collect()}
     assert got == want
 
 
+@pytest.mark.parametrize("split", [False, True])
+def test_traffic_with_fractions_totals_and_a_travelled_part(spark, split):
+    """Against a loop; with ``split`` the routes, one of them with most stretches, lie in many tasks."""
+    rnd = random.Random(5)
+    totals = {1: 1000.5, 2: 400.25, 3: 77.0, 4: 10.0, 5: 0.0}
+    gone = {1: 210.75, 3: 500.0, 4: None}
+    rows = [(rnd.choice([1, 1, 1, 2, 3]), i // 2, i, rnd.choice([None, round(rnd.uniform(-5, 1100), 2)]), rnd.choice([None, 0.0, round(rnd.uniform(0, 300), 2)]), f"S{i % 5}") for i in range(400)]
+    df = spark.createDataFrame(rows, "route_id int, a int, b int, offset_m double, length_m double, style string").repartition(5)
+    routes = spark.createDataFrame([(r, t, gone.get(r)) for r, t in totals.items()], "route_id int, total_m double, gone_m double")
+    want = set()
+    for rid, total in totals.items():
+        mine = [(r[3] or 0, (r[3] or 0) + (r[4] or 0), r[5]) for r in sorted(rows, key=lambda r: r[1:3]) if r[0] == rid]
+        mine = [(0, gone.get(rid), "STYLE_NO_DATA")] * bool(gone.get(rid)) + mine
+        cuts = sorted(c for c in {0, total, *[m[0] for m in mine], *[m[1] for m in mine]} if c <= total)
+        for a, b in zip(cuts, cuts[1:]):
+            want.add((rid, a, b, next((m[2] for m in mine if m[0] <= a < m[1]), "STYLE_NORMAL")))
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, str(not split).lower())
+    try:
+        got = [tuple(r) for r in traffic.traffic_segments(df, ["a", "b"], routes).collect()]
+    finally:
+        spark.conf.unset(name)
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_nearest_place_is_strict_and_first_on_ties(spark):
     log = spark.createDataFrame([(1, 1, 20, 0.0, 0.0), (2, 1, 10, 0.0, 0.0), (3, 2, 5, 0.0, 179.9995), (4, 1, 1, 0.0, 0.0030)], "event_id long, vehicle_id long, event_ms long, lat double, lng double")
     probes = spark.createDataFrame([(1, 1, 0.0, 0.001), (2, 2, 0.0, -179.9995), (3, 1, 1.0, 1.0)], "probe_id int, vehicle_id long, probe_lat double, probe_lng double")

@@ -229,45 +229,3 @@ def route_intervals(
     style = F.when(F.col("_short"), F.lit(NO_DATA)).otherwise(F.coalesce(F.try_element_at(over, F.lit(1))["style"], F.lit(NORMAL)))
     path = F.when(F.col("_short"), F.col(points)).otherwise(slice_line(F.col("_line"), F.col("_i.s"), F.col("_i.e")))
     return line.select(*keep, F.col("_i.s").alias("start_m"), F.col("_i.e").alias("end_m"), style.alias("style"), path.alias("path"))
-
-
-# --- stretches as a table: any number of stretches per route ------------------------------------
-
-
-def traffic_segments(stretches: DataFrame, order: list[str], total_m: int, route: str = "route_id") -> DataFrame:
-    """Styled intervals of routes whose stretches are rows with whole-metre ``offset_m``, ``length_m``.
-
-    The style at a cut is that of the first listed stretch over it. Cuts of a route are not compared with
-    all its stretches: a stretch is written as at most two blocks per power-of-two size, each block keeps
-    only its first stretch, and a cut looks up the one block of each size over it.
-    """
-    offset = F.coalesce(F.col("offset_m"), F.lit(0)).cast("long")
-    rows = stretches.select(
-        route, offset.alias("_a"), (offset + F.col("length_m")).cast("long").alias("_b"), F.struct(*order).alias("_ord"), "style"
-    )
-    rows = rows.select(route, "_a", "_b", F.struct("_ord", "style").alias("_first"))
-    cuts = rows.select(route, F.explode(F.array(F.lit(0).cast("long"), F.lit(total_m).cast("long"), F.col("_a"), F.col("_b"))).alias("_cut"))
-    cuts = cuts.filter(F.col("_cut") <= total_m).distinct()
-
-    lo = F.expr("shiftright(_a + shiftleft(1L, _k) - 1, _k)")
-    hi = F.expr("shiftright(least(_b, %d), _k)" % (total_m + 1))
-    top = max(total_m, 1).bit_length()
-    levels = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_k")
-    ends = rows.groupBy(route, "_a", "_b").agg(F.min("_first").alias("_first"))
-    blocks = ends.filter(F.col("_a") < F.col("_b")).select(route, "_a", "_b", "_first", levels)
-    blocks = blocks.select(route, "_first", "_k", lo.alias("_l"), hi.alias("_h")).filter("_l < _h")
-    blocks = blocks.select(
-        route, "_first", "_k",
-        F.explode(F.array(F.when(F.col("_l") % 2 == 1, F.col("_l")), F.when(F.col("_h") % 2 == 1, F.col("_h") - 1))).alias("_block"),
-    ).filter("_block is not null")
-    blocks = blocks.groupBy(route, "_k", "_block").agg(F.min("_first").alias("_first"))
-
-    asks = cuts.select(route, "_cut", levels).select(route, "_cut", "_k", F.expr("shiftright(_cut, _k)").alias("_block"))
-    found = asks.join(blocks, [route, "_k", "_block"], "left").groupBy(route, "_cut").agg(F.min("_first").alias("_first"))
-    styled = found.select(route, F.col("_cut").alias("start_m"), F.coalesce(F.col("_first.style"), F.lit(NORMAL)).alias("style"))
-    # the interval ends at the next cut; a route has at most total_m + 1 cuts
-    return (
-        scan(styled, Track(keys=(route,), time="start_m", ties=(), slot=1 << 40), prior={"end_m": (F.col("start_m"), None)}, reverse=True)
-        .filter("end_m is not null")
-        .select(route, "start_m", "end_m", "style")
-    )

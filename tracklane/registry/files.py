@@ -82,7 +82,8 @@ def big_datasets(spark, sf):
     return ranges.cut(spark, path, RANGE_BYTES)
 
 
-DATASET = F.regexp_extract("file", "dataset=([0-9]+)", 1).cast("long").alias("dataset")
+def dataset_no():
+    return F.regexp_extract("file", "dataset=([0-9]+)", 1).cast("long").alias("dataset")
 
 
 @query("scan_dataset_ranges", "fleet_log", sql="""
@@ -90,7 +91,7 @@ select vehicle_id % 5 as dataset, event_id, row_number() over (partition by vehi
 def _(spark, sf):
     rows = files.dataset_rows(big_datasets(spark, sf))
     at = lambda p: F.get_json_object("row", f"$.jsonPayload.{p}")
-    return rows.select(DATASET, at("event_id").cast("long").alias("event_id"), "pos", at("response.lastLocation.rawLocation.latitude").cast("double").alias("raw_lat"))
+    return rows.select(dataset_no(), at("event_id").cast("long").alias("event_id"), "pos", at("response.lastLocation.rawLocation.latitude").cast("double").alias("raw_lat"))
 
 
 @query("dataset_meta", "fleet_log", sql="""
@@ -108,7 +109,7 @@ from d""")
 def _(spark, sf):
     found = build.dataset_meta(big_datasets(spark, sf), F.lit("1970-01-15T00:00:00Z").cast("timestamp"))
     return found.withColumnRenamed("dataset_id", "file").select(
-        DATASET, "vehicle", "project_id", "log_source", "solution_type", "map_id", "north", "south", "east", "west", "rows",
+        dataset_no(), "vehicle", "project_id", "log_source", "solution_type", "map_id", "north", "south", "east", "west", "rows",
         F.unix_millis("oldest").alias("oldest_ms"), F.unix_millis("retention_date").alias("retention_ms"),
     )
 

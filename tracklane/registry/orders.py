@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tracklane.functions import geo
-from tracklane.operators import route, tasks, trips
+from tracklane.operators import route, tasks, traffic, trips
 from tracklane.plans.history import Track
 from tracklane.registry.base import fleet, fleet_trips, query, r3
 from tracklane.views import read_view
@@ -116,7 +116,27 @@ select d.route_id, d.start_m, d.end_m, coalesce(arg_min(s.style, s.ord), 'STYLE_
 from d left join s on s.route_id = d.route_id and d.start_m >= s.offset_m and d.start_m < s.offset_m + s.length_m
 where d.end_m is not null group by 1, 2, 3""")
 def _(spark, sf):
-    return route.traffic_segments(read_view(spark, sf, "road_stretch"), list(STRETCH), 1000)
+    return traffic.traffic_segments(read_view(spark, sf, "road_stretch"), list(STRETCH), 1000)
+
+
+@query("traffic_segments_real", "road_stretch", sql="""
+with s as (select route_id, row_number() over (partition by route_id order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as ord,
+    offset_m + cast(l_partkey % 8 as double) / 8 as a, offset_m + cast(l_partkey % 8 as double) / 8 + length_m + cast(l_suppkey % 4 as double) / 4 as b, style from road_stretch),
+r as (select route_id, 700 + (route_id % 64) * 7.125 as total, case when route_id % 3 = 0 then (route_id % 50) * 8.5 end as gone from road_stretch group by route_id),
+t as (select * from s union all select route_id, 0, 0, gone, 'STYLE_NO_DATA' from r where gone > 0),
+c as (select distinct route_id, total, unnest([0, total, a, b]) as cut from t join r using (route_id)),
+d as (select route_id, cut as start_m, lead(cut) over (partition by route_id order by cut) as end_m from c where cut <= total)
+select d.route_id, d.start_m, d.end_m, coalesce(arg_min(t.style, t.ord), 'STYLE_NORMAL') as style
+from d left join t on t.route_id = d.route_id and d.start_m >= t.a and d.start_m < t.b where d.end_m is not null group by 1, 2, 3""")
+def _(spark, sf):
+    """Fractional offsets, a length for each route, and a travelled part on some."""
+    rows = read_view(spark, sf, "road_stretch").withColumns({
+        "offset_m": F.expr("offset_m + cast(l_partkey % 8 as double) / 8"), "length_m": F.expr("length_m + cast(l_suppkey % 4 as double) / 4"),
+    })
+    routes = rows.select("route_id").distinct().select(
+        "route_id", F.expr("700 + (route_id % 64) * 7.125D").alias("total_m"), F.expr("case when route_id % 3 = 0 then (route_id % 50) * 8.5D end").alias("gone_m"),
+    )
+    return traffic.traffic_segments(rows, list(STRETCH), routes)
 
 
 @query("route_intervals", "road_stretch", sql="""
@@ -259,4 +279,4 @@ where d.end_m is not null group by 1, 2, 3""")
 def _(spark, sf):
     """Few routes with very many stretches each (one route per supplier)."""
     rows = read_view(spark, sf, "road_stretch").withColumn("route_id", F.col("l_suppkey"))
-    return route.traffic_segments(rows, list(STRETCH), 1000)
+    return traffic.traffic_segments(rows, list(STRETCH), 1000)
