@@ -225,6 +225,28 @@ def test_nearest_place_is_strict_and_first_on_ties(spark):
     assert got == {1: 2, 2: 3}  # the date line is no border, and nothing is near probe 3
 
 
+def test_nearest_place_against_all_pairs_in_dense_places(spark):
+    rnd = random.Random(9)
+    at = lambda c, spread: (37.0 + c * 0.0006 + rnd.gauss(0, spread), -122.0 - c * 0.0004 + rnd.gauss(0, spread))
+    log = [(i, 1 + i % 2, i * 7 % 301, *at(rnd.choice([0, 0, 0, 2, 9]), 0.00003)) for i in range(500)]
+    probes = [(i, 1 + i % 2, *at(rnd.choice([0, 0, 1, 5]), 0.00003)) for i in range(300)]
+    probes[7] = (7, log[6][1], *log[6][3:])
+    r = geo.EARTH_RADIUS_M
+
+    def metres(a, b, c, e):
+        a, b, c, e = map(math.radians, (a, b, c, e))
+        return 2 * r * math.asin(min(1, math.sqrt(math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((e - b) / 2) ** 2)))
+
+    want = {}
+    for i, v, lat, lng in probes:
+        near = min(((metres(lat, lng, x[3], x[4]), x[2], x[0]) for x in log if x[1] == v), default=None)
+        if near and near[0] < 250:
+            want[i] = near[2]
+    df = spark.createDataFrame(log, "event_id long, vehicle_id long, event_ms long, lat double, lng double")
+    asked = spark.createDataFrame(probes, "probe_id int, vehicle_id long, probe_lat double, probe_lng double")
+    assert {x.probe_id: x.nearest_event_id for x in trips.nearest_place(asked, df, "lat", "lng").collect()} == want
+
+
 def test_pickup_is_latest_planned_and_earliest_actual(spark):
     rows = [("t", 1, 1.0, 1.0, None, None), ("t", 2, 2.0, 2.0, 5.0, 5.0), ("t", 3, None, None, 6.0, 6.0)]
     df = spark.createDataFrame(rows, "trip_id string, event_ms long, pickup_lat double, pickup_lng double, actual_pickup_lat double, actual_pickup_lng double")
@@ -275,3 +297,31 @@ def test_anomaly_context_counts_overlapping_windows(spark):
     for track in (Track(), Track(slot=2000, max_rows=2)):
         got = {r.event_ms: r.windows for r in detect.anomaly_context(log, anomalies, track, 1000).collect()}
         assert got == {1000: 1, 2000: 2, 3000: 2, 4000: 2, 5000: 1}
+
+
+def _joined_rows(df):
+    """Rows made by the joins of a plan that was run."""
+    total, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            nodes.append(node.plan())
+        else:
+            if name.endswith("Join"):
+                total += node.metrics().apply("numOutputRows").value()
+            children = node.children()
+            nodes += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_nearest_place_of_a_parked_vehicle_makes_no_pairs(spark):
+    rnd = random.Random(4)
+    at = lambda: (37.0 + rnd.uniform(-4e-5, 4e-5), -122.0 + rnd.uniform(-5e-5, 5e-5))
+    log = spark.createDataFrame([(i, 1, i, *at()) for i in range(4000)], "event_id long, vehicle_id long, event_ms long, lat double, lng double")
+    probes = spark.createDataFrame([(i, 1, *at()) for i in range(4000)], "probe_id int, vehicle_id long, probe_lat double, probe_lng double")
+    found = trips.near_points(probes, log, "lat", "lng")
+    assert len({r.probe_lat for r in found.collect()}) == 4000
+    assert 4000 < _joined_rows(found) < 1_000_000

@@ -9,11 +9,13 @@ from tracklane.functions import geo
 from tracklane.operators.dwell import around, cell_columns
 from tracklane.plans.history import Track, key_columns, keyed
 from tracklane.plans.joins import beside
+from tracklane.session import settle
 
 # Fixed values
 NEAR_M = 250.0
 TOP_TRIP_ROWS = 10
 FIRST_TASKS = 20
+FINER = 5  # cells of the next level along each edge
 
 
 def label_ids(label: Column) -> Column:
@@ -119,30 +121,74 @@ def vehicle_log_bundle(vehicle: DataFrame, trips: DataFrame, delivery: DataFrame
     return own.unionByName(trips, allowMissingColumns=True).unionByName(tasks, allowMissingColumns=True)
 
 
-def nearest_place(
+def _cells_down_to(spots: DataFrame, keys: list[str], finest: float, levels: int, radius: float) -> list[DataFrame]:
+    """Occupied cells (keys, cx, cy, cz) with a point of each (``rep``), from the coarsest to the finest. Each is ``FINER``
+    cells of the next one wide."""
+    cell, rep = ["cx", "cy", "cz"], F.min("rep").alias("rep")
+    point = F.struct(F.col("_lat").alias("lat"), F.col("_lng").alias("lng")).alias("rep")
+    out = [spots.select(*keys, *cell_columns(F.col("_lat"), F.col("_lng"), finest, radius), point).groupBy(*keys, *cell).agg(rep)]
+    out[0] = settle(out[0])
+    for _ in range(levels):
+        up = [F.floor(F.col(c) / FINER).alias(c) for c in cell]
+        out.append(out[-1].select(*keys, *up, "rep").groupBy(*keys, *cell).agg(rep))
+    return out[::-1]
+
+
+def near_points(
     probes: DataFrame, log: DataFrame, lat: str, lng: str, track: Track = Track(),
-    within_m: float = NEAR_M, radius: float = geo.EARTH_RADIUS_M,
+    within_m: float = NEAR_M, radius: float = geo.EARTH_RADIUS_M, levels: int = 4,
 ) -> DataFrame:
-    """Log row of the same vehicle nearest to each probe point, strictly within the radius, first on ties.
+    """Points (key columns, ``probe_lat``, ``probe_lng``, ``distance_m``, ``_row``) among which is the nearest to each probe.
 
-    Equal points keep only their first row, then probes meet the cells around them.
+    Equal points keep only their first row. A probe goes down a pyramid of occupied cells, from those of ``within_m``
+    around it to the finest: of each it knows a point, so a cell that is farther away than the nearest known point is
+    left out. Points are looked at in the few finest cells that remain, so the work grows with probes and with points,
+    not with their product, however close together they lie.
     """
-    keys = key_columns(track)
+    keys, cell = key_columns(track), ["cx", "cy", "cz"]
     first = F.struct(track.time, *track.ties)
     spots = keyed(log, track).filter(F.col(lat).isNotNull() & F.col(lng).isNotNull()).groupBy(
         *keys, F.col(lat).alias("_lat"), F.col(lng).alias("_lng")
     ).agg(F.min(first).alias("_row"))
-    spots = spots.select("*", *cell_columns(F.col("_lat"), F.col("_lng"), within_m, radius))
-    cells = cell_columns(F.col("probe_lat"), F.col("probe_lng"), within_m, radius)
-    wanted = keyed(probes, track).select("*", *cells)
+    spots = settle(spots)  # read for cells and for their points
+    finest = within_m / FINER**levels
+    pyramid = _cells_down_to(spots, keys, finest, levels, radius)
+    probe = [*keys, "probe_lat", "probe_lng"]
     # equal probes of a vehicle share one search
-    asked = around(wanted.select(*keys, "probe_lat", "probe_lng", "cx", "cy", "cz").distinct(), [*keys, "probe_lat", "probe_lng"])
+    asked = keyed(probes, track).select(*probe).distinct().select("*", *cell_columns(F.col("probe_lat"), F.col("probe_lng"), within_m, radius))
+    kept = around(asked, probe).withColumn("_bound", F.lit(within_m))
+    to_rep = geo.distance_m(F.col("probe_lat"), F.col("probe_lng"), F.col("rep.lat"), F.col("rep.lng"), radius)
+    flat = F.cos(F.radians("probe_lat"))
+    place = dict(zip(cell, (flat * F.cos(F.radians("probe_lng")), flat * F.sin(F.radians("probe_lng")), F.sin(F.radians("probe_lat")))))
+    for level in range(levels + 1):
+        size = within_m / FINER**level
+        cells = pyramid[level]
+        if level:  # occupied cells inside those that were kept
+            up = [F.floor(F.col(c) / FINER).alias(f"_{c}") for c in cell]
+            kept = kept.select(*probe, "_bound", *[F.col(c).alias(f"_{c}") for c in cell])
+            found = kept.join(cells.select("*", *up), [*keys, *[f"_{c}" for c in cell]])
+        else:
+            found = kept.join(cells, [*keys, *cell])
+        # No point of the cell is nearer than its cube is, measured straight.
+        apart = lambda c: F.greatest(F.lit(0.0), F.col(c) * size - place[c] * radius, place[c] * radius - (F.col(c) + 1) * size)
+        found = found.select(*probe, *cell, "_bound", to_rep.alias("_rep"), F.sqrt(sum(apart(c) * apart(c) for c in cell)).alias("_cube"))
+        best = F.least(F.min("_rep").over(Window.partitionBy(*probe)), F.col("_bound"))
+        found = found.withColumn("_bound", best).filter(F.col("_cube") <= F.col("_bound") + 1e-6).select(*probe, *cell, "_bound")
+        kept = found
     metres = geo.distance_m(F.col("probe_lat"), F.col("probe_lng"), F.col("_lat"), F.col("_lng"), radius)
-    near = asked.join(spots, [*keys, "cx", "cy", "cz"]).select(*keys, "probe_lat", "probe_lng", metres.alias("distance_m"), "_row")
-    best = near.filter(F.col("distance_m") < within_m).groupBy(*keys, "probe_lat", "probe_lng").agg(
-        F.min(F.struct("distance_m", "_row")).alias("_best")
-    )
-    return beside(wanted, best, [*keys, "probe_lat", "probe_lng"]).select(
+    placed = spots.select("*", *cell_columns(F.col("_lat"), F.col("_lng"), finest, radius))
+    return kept.join(placed, [*keys, *cell]).select(*probe, metres.alias("distance_m"), "_row")
+
+
+def nearest_place(
+    probes: DataFrame, log: DataFrame, lat: str, lng: str, track: Track = Track(),
+    within_m: float = NEAR_M, radius: float = geo.EARTH_RADIUS_M, levels: int = 4,
+) -> DataFrame:
+    """Log row of the same vehicle nearest to each probe point, strictly within the radius, first on ties."""
+    probe = [*key_columns(track), "probe_lat", "probe_lng"]
+    near = near_points(probes, log, lat, lng, track, within_m, radius, levels)
+    best = near.filter(F.col("distance_m") < within_m).groupBy(*probe).agg(F.min(F.struct("distance_m", "_row")).alias("_best"))
+    return beside(keyed(probes, track), best, probe).select(
         *probes.columns, F.col("_best.distance_m").alias("distance_m"),
         *[F.col(f"_best._row.{t}").alias(f"nearest_{t}") for t in track.ties],
     )
