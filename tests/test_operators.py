@@ -99,6 +99,13 @@ def test_dwell_equals_sequential_clustering(spark, tile_cells):
     assert got == want
 
 
+def test_dwell_leaders_are_not_broadcast(spark):
+    """The driver holds no table that grows with the fixes, however small Spark takes it for."""
+    log = spark.range(200).selectExpr("id % 40 as vehicle_id", "id as event_ms", "id as event_id", "37.0 + id * 0.001 as raw_lat", "10.0D as raw_lng")
+    plan = dwell.dwell_locations(log, min_updates=1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "SortMergeJoin" in plan
+
+
 def test_dwell_places_of_a_crawling_vehicle(spark):
     """Steps of 10 m: who leads hangs on all before, over many tiles."""
     rows = [(i, 1, i * 1000, 37.0 + i * 10 / 111_319.5, -122.0) for i in range(120)]

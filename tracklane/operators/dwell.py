@@ -55,6 +55,12 @@ def around(df: DataFrame, keep: list[str]) -> DataFrame:
     return out.select(*keep, "cx", "cy", F.explode(F.transform(shift, lambda i: i + F.col("cz"))).alias("cz"))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """A side that grows with the table and is not to be broadcast: Spark takes it for as small as its Parquet files, which
+    hold repeated keys in a few bytes, and repeated rows (:func:`around`) for no more than it began with."""
+    return df.hint("merge")
+
+
 WAITING, LEADER, FOREIGN = 0, 1, 2
 
 
@@ -103,11 +109,11 @@ def _certain(candidates: DataFrame, keys: list[str], order: list[str], metres: f
     placed = candidates.select("*", *cell_columns(F.col("lat"), F.col("lng"), metres, radius))
     firsts = settle(placed.groupBy(*keys, *cell).agg(F.min(place).alias("place")))
     best = around(firsts, [*keys, "place"]).groupBy(*keys, *cell).agg(F.min("place").alias("best"))
-    lead = settle(firsts.join(best, [*keys, *cell]).filter("place = best").select(*keys, *cell, "place"))
-    close = around(lead, [*keys, "place"]).join(placed.withColumnsRenamed({"lat": "_lat", "lng": "_lng"}), [*keys, *cell])
+    lead = settle(firsts.join(shuffled(best), [*keys, *cell]).filter("place = best").select(*keys, *cell, "place"))
+    close = shuffled(around(lead, [*keys, "place"])).join(placed.withColumnsRenamed({"lat": "_lat", "lng": "_lng"}), [*keys, *cell])
     met = close.filter(geo.distance_m(F.col("place.lat"), F.col("place.lng"), F.col("_lat"), F.col("_lng"), radius) <= metres + 1e-6)
     covered = met.select(*keys, *[F.col(c) for c in order]).distinct()  # leaders too; distance to themselves is nothing
-    rest = settle(candidates.join(covered, [*keys, *order], "left_anti"))
+    rest = settle(candidates.join(shuffled(covered), [*keys, *order], "left_anti"))
     return lead.select(*keys, *[F.col(f"place.{c}").alias(c) for c in (*order, "lat", "lng")]), rest
 
 
@@ -122,10 +128,10 @@ def _find_leaders(candidates: DataFrame, track: Track, metres: float, radius: fl
     while not left.isEmpty():
         waiting = left.select(*columns, *cell).select("*", *tiles)
         # A tile hears of leaders and of waiting candidates up to a cell outside of it.
-        wanted = waiting.select(*keys, *tile).distinct()
+        wanted = shuffled(waiting.select(*keys, *tile).distinct())
         told = lambda df, state: around(df.select(*columns, *cell), columns).select(*columns, *tiles).distinct().withColumn("state", F.lit(state))
         known = told(reduce(DataFrame.unionByName, found), LEADER).join(wanted, [*keys, *tile], "left_semi")
-        foreign = told(left, FOREIGN).join(waiting.select(*keys, *order, *tile), [*keys, *order, *tile], "left_anti").join(wanted, [*keys, *tile], "left_semi")
+        foreign = told(left, FOREIGN).join(shuffled(waiting.select(*keys, *order, *tile)), [*keys, *order, *tile], "left_anti").join(wanted, [*keys, *tile], "left_semi")
         rows = waiting.select(*columns, *tile, F.lit(WAITING).alias("state")).unionByName(known).unionByName(foreign)
         group = [*keys, *tile]
         ordered = rows.repartition(*group).sortWithinPartitions(*group, *order)
@@ -155,7 +161,7 @@ def dwell_locations(
     cell = cell_columns(F.col("lat"), F.col("lng"), metres, radius)
     mark = F.struct(track.time, *track.ties, F.col("lat").alias("lead_lat"), F.col("lng").alias("lead_lng")).alias("_lead")
     lead_cells = around(leaders.select(*keys, mark, *cell), [*keys, "_lead"])
-    near = spots.select("*", *cell).join(lead_cells, [*keys, "cx", "cy", "cz"])
+    near = spots.select("*", *cell).join(shuffled(lead_cells), [*keys, "cx", "cy", "cz"])
     close = geo.distance_m(F.col("_lead.lead_lat"), F.col("_lead.lead_lng"), F.col("lat"), F.col("lng"), radius) <= metres + 1e-6  # a micrometre, so no fix falls between two roundings
     joined = near.filter(close).groupBy(*track.keys, "lat", "lng", "updates", "_end").agg(F.min("_lead").alias("_lead"))
     out = joined.groupBy(*track.keys, "_lead").agg(F.sum("updates").alias("updates"), F.max("_end").alias("end_ms"))
