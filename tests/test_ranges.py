@@ -112,3 +112,39 @@ def test_ingest_finds_vehicles_and_believes_the_envelope(spark, tmp_path):
     assert [got["a.json", i].vehicle_from for i in range(4)] == ["trip", "own", "own", "trip"]
     assert got["a.json", 0].solution_type == "LMFS" and got["b.json", 0].solution_type == "ODRD"
     assert (got["b.json", 2].vehicle_id, got["b.json", 2].vehicle_from) == ("v1", "alone")
+
+
+def test_what_tasks_get_about_ranges_needs_no_package(spark, tmp_path):
+    """Executors without this package read it; the class of a broadcast value would be looked up there."""
+    import pickletools
+
+    from pyspark.serializers import CPickleSerializer
+
+    files_ = ranges._plans(spark, write(tmp_path, texts(300)), None)
+    sent = CPickleSerializer().dumps({n: f.sent() for n, f in files_.items()})
+    assert not [a for _, a, _ in pickletools.genops(sent) if isinstance(a, str) and a.startswith("tracklane")]
+    for file in files_.values():
+        for start, state in file.starts.items():
+            found = ranges.Range(file.sent(), start)
+            assert found.state == state and found.is_first == (start == min(file.starts)) and found.is_last == (start == max(file.starts))
+    assert ranges.Range(None, 0).state is None and ranges.Range(next(iter(files_.values())).sent(), 1).state is None
+
+
+def test_a_dataset_is_one_file_on_any_number_of_partitions(spark, tmp_path):
+    """With the shuffles of a union's sides coalesced apart, the ends of a dataset became files of their own."""
+    from tracklane.registry import files as registered
+
+    n = 40_000
+    spark.range(n).selectExpr(
+        "id as event_id", "timestamp_micros(1704067200000000 + id * 1000000) as ts", "id % 50 as user_id", "'view' as event_type", "1.0D as value",
+        "concat('{\"k\": ', id % 100, '}') as props").write.parquet(str(tmp_path / "events.parquet"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        found = registered.big_datasets(spark, str(tmp_path))
+        assert found.rows.select("file").distinct().count() == 5
+        assert files.dataset_rows(found).count() == n
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

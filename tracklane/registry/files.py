@@ -71,13 +71,14 @@ def big_datasets(spark, sf):
         F.date_format(F.timestamp_millis("event_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"), F.concat(F.lit("p/logs/_"), kind).alias("logName"),
         F.struct(F.struct(F.struct(point.alias("rawLocation")).alias("lastLocation")).alias("response"), F.lit('x}"]\\').alias("note"), "event_id").alias("jsonPayload"),
     ))
-    first = F.row_number().over(Window.partitionBy("dataset").orderBy("event_id")) == 1
-    body = log.select("dataset", F.lit(1).alias("at"), "event_id", F.concat(F.when(first, "").otherwise(","), row).alias("value"))
-    there = log.select("dataset").distinct()
-    text = lambda i: F.coalesce(*[F.when(F.col("dataset") == d, f[i]) for d, f in FRAMES.items()]).alias("value")
-    ends = [there.select("dataset", F.lit(at).alias("at"), F.lit(0).cast("long").alias("event_id"), text(i)) for i, at in ((0, 0), (1, 2))]
+    within = Window.partitionBy("dataset").orderBy("event_id")
+    rows = log.select("dataset", row.alias("row"), F.row_number().over(within).alias("at"), F.lead(F.lit(1)).over(within).isNull().alias("last"))
+    frame = lambda i: F.coalesce(*[F.when(F.col("dataset") == d, f[i]) for d, f in FRAMES.items()], F.lit(""))
+    before = F.when(F.col("at") == 1, F.concat(frame(0), F.lit("\n"))).otherwise(",")
+    text = F.concat(before, "row", F.when(F.col("last"), F.concat(F.lit("\n"), frame(1))).otherwise(""))
     path = fresh(spark, "large")
-    lines = reduce(lambda a, b: a.unionByName(b), [body, *ends]).repartition("dataset").sortWithinPartitions("dataset", "at", "event_id")
+    # One file of a dataset: its rows come in order from the window they are numbered in, ends and all.
+    lines = rows.select("dataset", "at", text.alias("value")).repartition("dataset").sortWithinPartitions("dataset", "at")
     lines.select("dataset", "value").write.partitionBy("dataset").text(path)
     return ranges.cut(spark, path, RANGE_BYTES)
 

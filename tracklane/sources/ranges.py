@@ -29,6 +29,8 @@ from tracklane.session import settle
 from tracklane.sources.jsontext import row_spans
 
 BLOCK = 4 << 20
+TASK_BYTES = 32 << 20
+RANGE_SETTING = "spark.sql.files.maxPartitionBytes"
 _STRUCTURE = np.zeros(256, bool)
 _STRUCTURE[list(b"{}[],")] = True
 _STEP = np.zeros(256, np.int64)
@@ -96,9 +98,34 @@ class File:
     last: tuple[int, int] | None = None
     error: str | None = None
 
+    def sent(self) -> tuple:
+        """The file as plain values and arrays: what tasks get is read there without this package, once in every task."""
+        at = sorted(self.starts)
+        states = [(x.inside, x.depth, x.ends) for x in map(self.starts.get, at)]
+        return self.form, self.first, self.last, np.array(at, np.int64), np.array(states, np.int64).reshape(-1, 3)
 
-def _pieces(spark: SparkSession, path: str) -> DataFrame:
+
+class Range:
+    """One range of a file as it was sent; ``state`` is None if the file has no such range."""
+
+    def __init__(self, file: tuple | None, start: int):
+        self.state = None
+        if file is None:
+            return
+        self.form, self.first, self.last, starts, states = file
+        i = int(np.searchsorted(starts, start))
+        if i < len(starts) and starts[i] == start:
+            inside, depth, ends = states[i].tolist()
+            self.state = Start(bool(inside), depth, bool(ends))
+            self.is_first, self.is_last = i == 0, i == len(starts) - 1
+
+
+def _pieces(spark: SparkSession, path: str, range_bytes: int | None) -> DataFrame:
+    """Pieces in file order. Where ranges are small, a task reads several, one after the other."""
     text = spark.read.option("lineSep", "}").text(path)
+    if range_bytes is not None and range_bytes < TASK_BYTES:
+        tasks = -(-text.rdd.getNumPartitions() * range_bytes // TASK_BYTES)
+        text = text.coalesce(max(tasks, spark.sparkContext.defaultParallelism))
     return text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
 
 
@@ -133,7 +160,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Itera
 _EFFECT = "inside{0} boolean, depth{0} bigint, lowest{0} bigint, commas{0} bigint"
 
 
-def _effects(spark: SparkSession, path: str) -> dict[str, list[tuple]]:
+def _effects(spark: SparkSession, path: str, range_bytes: int | None) -> dict[str, list[tuple]]:
     """Per file, its ranges in order: (start, first sign, effect from outside, effect from inside)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +176,7 @@ def _effects(spark: SparkSession, path: str) -> dict[str, list[tuple]]:
 
     schema = f"file string, start bigint, sign string, {_EFFECT.format(0)}, {_EFFECT.format(1)}"
     found = defaultdict(list)
-    for r in _pieces(spark, path).mapInArrow(run, schema).collect():
+    for r in _pieces(spark, path, range_bytes).mapInArrow(run, schema).collect():
         found[r["file"]].append((r["start"], r["sign"], Effect(*r[3:7]), Effect(*r[7:11])))
     return {file: sorted(rows, key=lambda r: r[0]) for file, rows in found.items()}
 
@@ -181,16 +208,16 @@ def composed(ranges: list[tuple]) -> File:
     return out
 
 
-def _skeletons(spark: SparkSession, path: str, files: dict[str, File]) -> None:
+def _skeletons(spark: SparkSession, path: str, files: dict[str, File], range_bytes: int | None) -> None:
     """Finds ``rawLogs`` in files that are one object, from what lies outside their nested values."""
-    wanted = {f: x.starts for f, x in files.items() if x.form == "envelope" and not x.error}
+    wanted = {f: x.sent() for f, x in files.items() if x.form == "envelope" and not x.error}
     if not wanted:
         return
     sent = spark.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, start, blocks in _ranges(batches):
-            state = sent.value.get(file, {}).get(start)
+            state = Range(sent.value.get(file), start).state
             if state is None:
                 continue
             inside, depth, base, out = state.inside, state.depth, 0, []
@@ -209,12 +236,13 @@ def _skeletons(spark: SparkSession, path: str, files: dict[str, File]) -> None:
                 if outer:
                     out.append((base + at, data[at:]))
                 inside, depth, base = inside ^ marks.flips, int(depths[-1]) if len(depths) else depth, base + len(data)
-            yield pa.RecordBatch.from_pydict({
-                "file": [file] * len(out), "start": [start] * len(out), "at": [a for a, _ in out], "text": pa.array([t for _, t in out], pa.binary()),
+            yield pa.RecordBatch.from_pydict({  # ranges of a task have one schema, with nothing found too
+                "file": pa.array([file] * len(out), pa.string()), "start": pa.array([start] * len(out), pa.int64()),
+                "at": pa.array([a for a, _ in out], pa.int64()), "text": pa.array([t for _, t in out], pa.binary()),
             })
 
     places = F.sort_array(F.collect_list(F.struct("start", "at", "text")))
-    found = _pieces(spark, path).mapInArrow(run, "file string, start bigint, at bigint, text binary").groupBy("file").agg(places.alias("parts"))
+    found = _pieces(spark, path, range_bytes).mapInArrow(run, "file string, start bigint, at bigint, text binary").groupBy("file").agg(places.alias("parts"))
     for r in found.select("file", "parts").toLocalIterator():  # keys and plain values of an envelope
         whole, spots = b"", []
         for p in r["parts"]:
@@ -240,9 +268,9 @@ def _locate(file: File, text: bytes, spots: list[tuple[int, int, int]]) -> None:
             file.first, file.last = place(at), place(text.index(b"]", at))
 
 
-def _plans(spark: SparkSession, path: str) -> dict[str, File]:
-    files = {name: composed(ranges) for name, ranges in _effects(spark, path).items()}
-    _skeletons(spark, path, files)
+def _plans(spark: SparkSession, path: str, range_bytes: int | None) -> dict[str, File]:
+    files = {name: composed(ranges) for name, ranges in _effects(spark, path, range_bytes).items()}
+    _skeletons(spark, path, files, range_bytes)
     return files
 
 
@@ -252,13 +280,12 @@ _STRETCH = {"file": pa.string(), "start": pa.int64(), "seq": pa.int64(), "no": p
 class Cutter:
     """Cuts one range into stretches: rows, or parts of one at the edges of the range, and what lies around them."""
 
-    def __init__(self, name: str, start: int, file: File):
-        self.name, self.start, self.file, self.state = name, start, file, file.starts[start]
+    def __init__(self, name: str, start: int, file: Range):
+        self.name, self.start, self.file, self.state = name, start, file, file.state
         self.out: list[tuple] = []
         self.seq = self.no = 0
-        first_range, last_range = start == min(file.starts), start == max(file.starts)
-        self.closes = file.form == "values" and last_range
-        self.opened = file.form == "values" and first_range
+        self.closes = file.form == "values" and file.is_last
+        self.opened = file.form == "values" and file.is_first
         self.in_rows = {
             "values": True, "array": self.state.depth > 0, "envelope": file.first is not None and file.first < (start, 0) <= file.last,
         }[file.form]
@@ -315,16 +342,16 @@ class Cutter:
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), _STRETCH.values())], names=list(_STRETCH))
 
 
-def _stretches(spark: SparkSession, path: str, files: dict[str, File]) -> DataFrame:
-    sent = spark.sparkContext.broadcast(files)  # a few numbers per range
+def _stretches(spark: SparkSession, path: str, files: dict[str, File], range_bytes: int | None) -> DataFrame:
+    sent = spark.sparkContext.broadcast({n: f.sent() for n, f in files.items() if not f.error})  # a few numbers per range
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, start, blocks in _ranges(batches):
-            file = sent.value.get(name)
-            if file is not None and not file.error:
+            file = Range(sent.value.get(name), start)
+            if file.state is not None:
                 yield from Cutter(name, start, file).stretches(blocks)
 
-    return _pieces(spark, path).mapInArrow(run, "file string, start bigint, seq bigint, no bigint, opens boolean, closes boolean, row boolean, text binary")
+    return _pieces(spark, path, range_bytes).mapInArrow(run, "file string, start bigint, seq bigint, no bigint, opens boolean, closes boolean, row boolean, text binary")
 
 
 def _joined(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -352,21 +379,20 @@ def cut(spark: SparkSession, path: str, range_bytes: int | None = None) -> Cut:
     files are done when this returns."""
     if range_bytes is None:
         return _cut(spark, path)
-    name = "spark.sql.files.maxPartitionBytes"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(range_bytes))
+    before = spark.conf.get(RANGE_SETTING)
+    spark.conf.set(RANGE_SETTING, str(range_bytes))
     try:
-        return _cut(spark, path)
+        return _cut(spark, path, range_bytes)
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(RANGE_SETTING, before)
 
 
-def _cut(spark: SparkSession, path: str) -> Cut:
-    files = _plans(spark, path)
+def _cut(spark: SparkSession, path: str, range_bytes: int | None = None) -> Cut:
+    files = _plans(spark, path, range_bytes)
     whole = {name for name, f in files.items() if f.form == "envelope" and f.first is None}
     for name in whole:
         files[name].form = "values"  # one row, or what its rawLogs is instead of an array
-    found = settle(_stretches(spark, path, files))
+    found = settle(_stretches(spark, path, files, range_bytes))
     rows = found.where("row")
     edges = rows.where("NOT (opens AND closes)")
     group = F.sum(F.col("opens").cast("int")).over(Window.partitionBy("file").orderBy("start", "seq"))  # two of a range at most
