@@ -138,9 +138,11 @@ def test_a_dataset_is_one_file_on_any_number_of_partitions(spark, tmp_path):
     spark.range(n).selectExpr(
         "id as event_id", "timestamp_micros(1704067200000000 + id * 1000000) as ts", "id % 50 as user_id", "'view' as event_type", "1.0D as value",
         "concat('{\"k\": ', id % 100, '}') as props").write.parquet(str(tmp_path / "events.parquet"))
-    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    sizes = ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", *sizes)}
     spark.conf.set("spark.sql.shuffle.partitions", "64")
-    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    for k, v in zip(sizes, ("64k", "1k")):
+        spark.conf.set(k, v)
     try:
         found = registered.big_datasets(spark, str(tmp_path))
         assert found.rows.select("file").distinct().count() == 5
