@@ -71,3 +71,14 @@ def test_archive_delivery_rows(spark, tmp_path):
     late = tasks.tasks_as_of(calls, radius=6_371_000.0).first()
     assert (early.type, early.state, early.planned_vs_actual_m) == ("DELIVERY", "OPEN", None)
     assert (late.state, late.outcome, round(late.planned_vs_actual_m)) == ("CLOSED", "SUCCEEDED", 111)
+
+
+def test_the_log_is_parsed_once_before_vehicles_are_looked_up(spark, tmp_path):
+    rows = [
+        cloud("2024-01-01T00:00:00Z", "UpdateVehicle", {}, {"vehicleId": "v1", "currentTrips": ["t1"]}),
+        cloud("2024-01-01T00:00:05Z", "UpdateTrip", {"tripId": "t1"}, {"status": "NEW"}),
+    ]
+    log = read(spark, tmp_path, rows, "ODRD").unpersist(blocking=True)
+    found = build.with_vehicles(log)
+    assert sorted((r.event_id, r.vehicle_id, r.vehicle_from) for r in found.collect()) == [(0, "v1", "own"), (1, "v1", "trip")]
+    assert "EvalPython" not in found._jdf.queryExecution().executedPlan().toString()  # payloads are cleaned in Python

@@ -136,7 +136,8 @@ def with_vehicles(log: DataFrame) -> DataFrame:
     dataset by dataset. A dataset of one vehicle gives it to all of its calls."""
     named = F.flatten(F.transform("journey_segments", lambda s: F.transform(F.coalesce(s["stop"]["tasks"], F.array()), lambda t: t["taskid"])))
     calls = Calls(trips="current_trips", tasks="_tasks", keys=("dataset_id",), alone=True)
-    return resolve_vehicle(log.withColumn("_tasks", named), calls).drop("_tasks")
+    # Every step of the lookup reads the log; settled, its JSON is cleaned and parsed once.
+    return resolve_vehicle(settle(log.withColumn("_tasks", named)), calls).drop("_tasks")
 
 
 def ingest(spark: SparkSession, path: str, per_line: bool = False, strict: bool = True, vehicles: bool = True) -> DataFrame:
