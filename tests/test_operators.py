@@ -6,6 +6,7 @@ import random
 import struct
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -332,3 +333,17 @@ def test_nearest_place_of_a_parked_vehicle_makes_no_pairs(spark):
     found = trips.near_points(probes, log, "lat", "lng")
     assert len({r.probe_lat for r in found.collect()}) == 4000
     assert 4000 < _joined_rows(found) < 1_000_000
+
+
+def test_usual_paths_are_decoded_together(spark):
+    plain = ['[{"latitude": 1, "longitude": -2.5e1}]', "{latitude: 1.25, longitude: 2}, {latitude: 3, longitude: 4}", "{'latitude':0.1234567890123456789,'longitude':1.7976931348623157E308}"]
+    odd = [None, "", "[]", "[{}]", "_p~iF~ps|U_ulLnnqC_mqNvxq`@", "{longitude: 3, latitude: 4}, {latitude: 1, longitude: 2}", "{latitude: +3, longitude: 4.}",
+           '[{"a":{"latitude": 1, "longitude": 2}}]', '[{"latitude": 1, "longitude": 2}, {"latitude": 1}]', '[{"latitude": 1, "longitude": 2}\x01]',
+           '[{"latitude": 1, "longitude": 2}\x02,{"latitude": 3, "longitude": 4}]', "{latitude: 1, longitude: 2", 'x{"latitude": 1, "longitude": 2}']
+    mark, sizes, _, _ = route._plain_lists(pa.array(plain + odd))
+    assert mark.tolist() == [True] * len(plain) + [False] * len(odd) and sizes.tolist()[: len(plain)] == [1, 2, 1]
+    beyond = '[{"latitude": 1e999, "longitude": 2}]'
+    for texts in (plain, plain + odd, plain + [beyond]):
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", "t", route.decode_paths(F.col("t")).alias("d")).collect()
+        for r in rows:
+            assert (None if r.d.points is None else [tuple(p) for p in r.d.points], r.d.error) == route.decode_path(r.t)

@@ -8,6 +8,8 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,9 +20,9 @@ from tracklane.plans.history import Track, scan
 # Fixed values
 NO_DATA, NORMAL = "STYLE_NO_DATA", "STYLE_NORMAL"
 
-# Python hands over plain number arrays, which Arrow moves without per-point objects
 NUMBERS = T.ArrayType(T.DoubleType())
-DECODED = T.StructType([T.StructField("lat", NUMBERS), T.StructField("lng", NUMBERS), T.StructField("error", T.StringType())])
+POINTS = pa.list_(pa.struct([("latitude", pa.float64()), ("longitude", pa.float64())]))
+DECODED = "points array<struct<latitude: double, longitude: double>>, error string"
 
 
 def _s2_points(text: str) -> list[tuple[float, float]] | None:
@@ -80,6 +82,35 @@ def _listed_points(text: str) -> list[tuple[float, float]] | None:
     return None if open_ else points or None
 
 
+# The usual object of a list: both coordinates and nothing else.
+_NUMBER = r"(-?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?)"
+_PAIR = rf"""\{{\s*["']?latitude["']?\s*:\s*{_NUMBER}\s*,\s*["']?longitude["']?\s*:\s*{_NUMBER}\s*\}}"""
+_LAT, _LNG = "\x01", "\x02"  # signs around the numbers of a pair
+_ODD = "[{}\x01\x02]"
+
+
+def _plain_lists(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Of all texts at once: which are lists whose objects are all of the usual form, how many points each of them has
+    (0 for the others), and the coordinates. No brace is left between the objects then, so ``_listed_points`` gives the same."""
+    marked = pc.replace_substring_regex(texts, pattern=_PAIR, replacement=f"{_LAT}\\1{_LNG}\\2{_LAT}")
+    parts = pc.split_pattern(marked, _LAT)  # between, pair, between, pair, ..., between
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(parts), 0))
+    flat, firsts = parts.flatten(), np.cumsum(sizes) - sizes
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    is_pair = (np.arange(len(row)) - firsts[row]) % 2 == 1
+    odd = np.zeros(len(sizes), bool)
+    odd[row[~is_pair][np.asarray(pc.match_substring_regex(flat.filter(pa.array(~is_pair)), _ODD))]] = True
+    odd |= np.asarray(pc.fill_null(pc.match_substring_regex(texts, f"[{_LAT}{_LNG}]"), False))
+    starts = np.asarray(pc.fill_null(pc.match_substring_regex(texts, r"^\s*[\[{]"), False))
+    plain = starts & ~odd & (sizes > 1)
+    pairs = pc.split_pattern(flat.filter(pa.array(is_pair & plain[row])), _LNG).flatten()
+    try:
+        numbers = np.asarray(pairs.cast(pa.float64()))
+    except pa.ArrowInvalid:  # a number beyond doubles
+        return None
+    return plain, np.where(plain, sizes // 2, 0), numbers[::2], numbers[1::2]
+
+
 def decode_path(text: str | None) -> tuple[list[tuple[float, float]] | None, str | None]:
     """Points and error of one path. A list is told by its first sign, the compact form by its version byte and
     exact length; what is neither is read as delta text."""
@@ -95,15 +126,33 @@ def decode_path(text: str | None) -> tuple[list[tuple[float, float]] | None, str
 def decode_paths(path: Column) -> Column:
     """``{points, error}`` of an encoded path column (compact, delta text, JSON list or loose text)."""
 
-    @F.pandas_udf(DECODED)
-    def run(texts: pd.Series) -> pd.DataFrame:
-        done = [decode_path(t) for t in texts]
-        side = lambda i: [None if p is None else [x[i] for x in p] for p, _ in done]
-        return pd.DataFrame({"lat": side(0), "lng": side(1), "error": [e for _, e in done]})
-
-    d = run(path)
-    points = F.zip_with(d["lat"], d["lng"], lambda a, o: F.struct(a.alias("latitude"), o.alias("longitude")))
-    return F.struct(points.alias("points"), d["error"].alias("error"))
+    @F.arrow_udf(DECODED)
+    def run(texts: pa.Array) -> pa.Array:
+        none = np.zeros(0)
+        plain, sizes, lats, lngs = _plain_lists(texts) or (np.zeros(len(texts), bool), np.zeros(len(texts), np.int64), none, none)
+        other = np.flatnonzero(~plain)
+        errors, void = pa.nulls(len(texts), pa.string()), None
+        if len(other):
+            done = [decode_path(t) for t in texts.take(pa.array(other)).to_pylist()]
+            sizes = sizes.copy()
+            sizes[other] = [len(points or ()) for points, _ in done]
+            row = np.repeat(np.arange(len(texts)), sizes)
+            both = np.empty((len(row), 2))
+            both[plain[row], 0], both[plain[row], 1] = lats, lngs
+            both[~plain[row]] = np.array([p for points, _ in done for p in points or ()], float).reshape(-1, 2)
+            lats, lngs = both[:, 0], both[:, 1]
+            void = np.zeros(len(texts), bool)
+            void[other] = [points is None for points, _ in done]
+            said = np.full(len(texts), None, object)
+            said[other] = [error for _, error in done]
+            errors = pa.array(said, pa.string())
+        # Coordinates stay flat arrays of the batch, without an object for each point.
+        pairs = pa.StructArray.from_arrays([pa.array(lats, pa.float64()), pa.array(lngs, pa.float64())], fields=list(POINTS.value_type))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        starts = pa.array(ends, pa.int32(), mask=None if void is None else np.append(void, False))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(starts, pairs, POINTS), errors], names=["points", "error"])
+
+    return run(path)
 
 
 def route_of_row(api: Column, response_route: Column, request_route: Column, carried_route: Column) -> Column:
