@@ -347,3 +347,35 @@ def test_usual_paths_are_decoded_together(spark):
         rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", "t", route.decode_paths(F.col("t")).alias("d")).collect()
         for r in rows:
             assert (None if r.d.points is None else [tuple(p) for p in r.d.points], r.d.error) == route.decode_path(r.t)
+
+
+def test_short_routes_are_worked_out_on_arrays():
+    """The same intervals as the sweep gives, whatever the cut into batches; only long and cut routes are left to the sweep."""
+    rnd, rows = random.Random(4), []
+    for rid in [None, *range(40)]:
+        rows += [(rid, -math.inf, traffic.BEGIN), (rid, 0.0, traffic.CUT), (rid, 100.0, traffic.CUT), (rid, math.inf, traffic.END)]
+        for i in range(100 if rid == 7 else rnd.randint(0, 6)):
+            at, size = rnd.choice([-5.0, 0.0, rnd.randint(0, 20) * 5.0]), rnd.choice([0.0, float("nan"), rnd.randint(1, 60) * 1.0])
+            rows += [(rid, at, traffic.STRETCH, at + size, rnd.choice([None, "A", "B"]), rnd.choice([None, 1, 2]), i), (rid, at + size, traffic.CUT)]
+    rows = [r + (None,) * (7 - len(r)) for r in rows if not r[1] != r[1] and (r[1] <= 100 or r[2] == traffic.END)]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    names, types = list("abcdefg"), [pa.int32(), pa.float64(), pa.int32(), pa.float64(), pa.string(), pa.int32(), pa.int32()]
+    want, now, sweep = [], object(), None
+    for rid, at, kind, end, style, *order in rows:
+        if rid != now:
+            now, sweep = rid, traffic.Sweep()
+        if kind in (traffic.STRETCH, traffic.CUT):
+            found = sweep.move(at)
+            want += [(rid, *found)] if found and rid != 7 else []
+            if kind == traffic.STRETCH:
+                sweep.add(traffic._order(order), end, style)
+    for size in (1, 7, 50, 10_000):
+        parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*part), types)], names=names) for part in parts]
+        got, left = [], []
+        for short, batch in traffic._parted(iter(batches)):
+            if short:
+                got += [(r["route"], r["start_m"], r["end_m"], r["style"]) for r in traffic._short_routes(batch).to_pylist()]
+            else:
+                left += batch.column(0).to_pylist()
+        assert got == want and left == [r[0] for r in rows if r[0] == 7]

@@ -4,17 +4,21 @@ Starts and ends of stretches are sorted by route and place. A task sweeps its ra
 are open, by list order: the style of an interval is that of the first listed stretch over its start. A route that
 goes on in the next task hands over what is open and not hidden by an earlier listed stretch that ends later; the
 rows of such a later part wait until all parts before it are known, and are swept then. So the stretches of one
-route may be spread over any number of tasks.
+route may be spread over any number of tasks. Routes of few stretches that lie whole in a batch are not swept: their
+intervals are worked out on arrays, many routes at a time.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +30,7 @@ from tracklane.session import settle
 BEGIN, STRETCH, CUT, END = range(4)
 DONE, CARRY, WAITS = range(3)
 AT_ONCE = 5000
+FEW = 64
 
 
 class Sweep:
@@ -82,9 +87,90 @@ class Rows:
 NAMES = ["what", "route", "part", "start_m", "end_m", "style", "packed"]
 
 
+def _runs(batch: pa.RecordBatch) -> np.ndarray:
+    """Where the rows of each route start, and the end of the last."""
+    route = batch.column(0)
+    if len(route) < 2:
+        return np.array([0, len(route)])
+    one, two = route.slice(0, len(route) - 1), route.slice(1)
+    same = pc.fill_null(pc.equal(one, two), False)
+    same = np.asarray(pc.or_(same, pc.and_(pc.is_null(one), pc.is_null(two))))
+    return np.concatenate([[0], np.flatnonzero(~same) + 1, [len(route)]])
+
+
+def _short_routes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Intervals of whole routes of few stretches each: for all of them at once, the first listed stretch over each
+    start, then the second, until every interval has one."""
+    starts = _runs(batch)
+    run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    at, kind, end = np.asarray(batch.column(1)), np.asarray(batch.column(2)), batch.column(3).to_numpy(zero_copy_only=False)
+    marks = np.flatnonzero((kind == STRETCH) | (kind == CUT))
+    here, there = marks[:-1], marks[1:]
+    new = (run[here] == run[there]) & (at[here] != at[there])
+    here, there = here[new], there[new]
+
+    names = [f"o{i}" for i in range(batch.num_columns - 5)]
+    listed = pa.table([pa.array(run), *batch.columns[5:], pa.array(np.arange(len(run)))], names=["run", *names, "row"])
+    own = np.flatnonzero(kind == STRETCH)
+    own = own[np.asarray(pc.sort_indices(listed.take(own), sort_keys=[(n, "ascending") for n in listed.column_names], null_placement="at_start"))]
+    first = np.searchsorted(run[own], np.arange(len(starts)))
+    found, todo, k = np.full(len(here), -1), np.arange(len(here)), 0
+    while len(todo):
+        todo = todo[first[run[here[todo]]] + k < first[run[here[todo]] + 1]]
+        stretch = own[first[run[here[todo]]] + k]
+        over = (at[stretch] <= at[here[todo]]) & (end[stretch] > at[here[todo]])
+        found[todo[over]] = stretch[over]
+        todo, k = todo[~over], k + 1
+    bare = pa.array(found < 0)
+    style = pc.if_else(bare, NORMAL, batch.column(4).take(pa.array(found, mask=found < 0)))
+    n = len(here)
+    return pa.record_batch([
+        pa.array(np.full(n, DONE, np.int32)), batch.column(0).take(pa.array(here)), pa.nulls(n, pa.int32()),
+        pa.array(at[here]), pa.array(at[there]), style.cast(pa.string()), pa.nulls(n, pa.binary()),
+    ], names=NAMES)
+
+
+def _parted(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, pa.RecordBatch]]:
+    """The rows in order: as (True, whole routes of few stretches) and (False, any others, perhaps part of a route)."""
+    held, going, nothing = None, False, object()  # ``going``: the rows at the start belong to a route handed out in part
+    last = nothing
+    for batch in itertools.chain(batches, [None]):
+        if batch is None:
+            chunk, final = held, True
+        else:
+            chunk, final = batch, False
+            if held is not None and held.num_rows:
+                chunk = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if chunk is None or not chunk.num_rows:
+            continue
+        starts = _runs(chunk)
+        kind = np.asarray(chunk.column(2))
+        going = going and chunk.column(0)[0].as_py() == last
+        upto = len(starts) - 1
+        if not final and starts[-1] - starts[-2] < AT_ONCE:
+            upto -= 1  # the last route may go on
+        held = chunk.slice(starts[upto])
+        begins, ends = starts[:upto], starts[1 : upto + 1]
+        stretches = np.concatenate([[0], np.cumsum(kind == STRETCH)])
+        short = (kind[begins] == BEGIN) & (kind[ends - 1] == END) & (stretches[ends] - stretches[begins] <= FEW)
+        if upto:
+            if going:
+                short[0] = False
+            going = not final and upto == len(starts) - 1
+            last = chunk.column(0)[int(ends[-1]) - 1].as_py() if going else nothing
+            if going:
+                short[-1] = False
+        for mark, group in itertools.groupby(range(upto), lambda i: bool(short[i])):
+            group = list(group)
+            yield mark, chunk.slice(begins[group[0]], ends[group[-1]] - begins[group[0]])
+
+
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, rows, now, sweep, began = TaskContext.get().partitionId(), None, object(), Sweep(), False
-    for batch in batches:
+    for short, batch in _parted(batches):
+        if short:
+            yield _short_routes(batch)
+            continue
         rows = rows or Rows(batch.schema.field(0).type)
         for route, at, kind, end, style, *order in zip(*(c.to_pylist() for c in batch.columns)):
             if route != now:
@@ -197,18 +283,18 @@ def traffic_segments(stretches: DataFrame, order: list[str], routes: DataFrame |
     names = ["_late", *order]
     # Equal stretches are one: the first listed.
     first = rows.groupBy(route, "_at", "_end", "_total").agg(F.min(F.struct(*names, "style")).alias("x"))
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.select(*names, "style").schema.fields]
-    event = lambda place, k, own: F.struct(place.alias("at"), F.lit(k).alias("kind"), F.col("_end") if own else F.lit(None).cast("double").alias("_end"),
-                                           *([F.col(f"x.{n}").alias(n) for n in (*names, "style")] if own else nothing))
-    within = lambda events: F.filter(F.array(*events), lambda e: (e["at"] <= F.col("_total")) | (e["kind"] == END))
-    own = first.select(route, F.explode(within([event(F.col("_at"), STRETCH, True), event(F.col("_end"), CUT, False)])).alias("e"))
-    infinite = F.lit(math.inf)
-    frame = totals.select(route, F.explode(within(
-        [event(-infinite, BEGIN, False), event(F.lit(0.0), CUT, False), event(F.col("_total"), CUT, False), event(infinite, END, False)])).alias("e"))
-    place = [route, "e.at", "e.kind"]
-    events = own.unionByName(frame).repartitionByRange(route, "e.at").sortWithinPartitions(*place)
+    first = settle(first)  # read for the bounds of the ranges, and again for the rows
+    opens = F.col("kind") == STRETCH
+    own = first.select("*", F.explode(F.array(F.lit(STRETCH), F.lit(CUT))).alias("kind")).select(
+        route, F.when(opens, F.col("_at")).otherwise(F.col("_end")).alias("at"), "kind", F.when(opens, F.col("_end")).alias("_end"),
+        F.when(opens, F.col("x.style")).alias("style"), *[F.when(opens, F.col(f"x.{n}")).alias(f"_o{i}") for i, n in enumerate(names)], "_total")
+    bounds = [(F.lit(-math.inf), BEGIN), (F.lit(0.0), CUT), (F.col("_total"), CUT), (F.lit(math.inf), END)]
+    frame = totals.select(route, "_total", F.explode(F.array(*[F.struct(at.alias("at"), F.lit(k).alias("kind")) for at, k in bounds])).alias("e"))
+    frame = frame.select(route, "e.at", "e.kind", "_total")
+    events = own.unionByName(frame, allowMissingColumns=True).where((F.col("at") <= F.col("_total")) | (F.col("kind") == END)).drop("_total")
+    events = events.repartitionByRange(route, "at").sortWithinPartitions(route, "at", "kind")
     schema = f"what int, route {kind}, part int, start_m double, end_m double, style string, packed binary"
-    swept = settle(events.select(*place, "e._end", "e.style", *[f"e.{n}" for n in names]).mapInArrow(_first_pass, schema))
+    swept = settle(events.select(route, "at", "kind", "_end", "style", *[f"_o{i}" for i in range(len(names))]).mapInArrow(_first_pass, schema))
 
     waits = swept.filter(F.col("what") == WAITS).select("route", "part", "start_m", "packed")
     by_part = waits.withColumn("kind", F.col("start_m") == math.inf).repartition("route", "part").sortWithinPartitions("route", "part", "start_m")
