@@ -379,3 +379,16 @@ def test_short_routes_are_worked_out_on_arrays():
             else:
                 left += batch.column(0).to_pylist()
         assert got == want and left == [r[0] for r in rows if r[0] == 7]
+
+
+def test_task_ids_of_segments_with_gaps(spark):
+    kind = "vehicle_id long, segments array<struct<stop: struct<tasks: array<struct<taskId: string>>>>>"
+    some = [((([("a",), None, ("",), (None,), ("a",)]),),), (None,), ((None,),), (((([("b",)])),),), None]
+    rows = spark.createDataFrame([(1, some), (2, None), (3, [])], kind)
+    ids = trips.segment_task_ids(F.col("segments"))
+    plan = rows.select(ids.alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lambdafunction") == 1  # ids come out of a stop without a function call for each task
+    assert [r.x for r in rows.select("vehicle_id", ids.alias("x")).orderBy("vehicle_id").collect()][1:] == [None, []]
+    logs = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("", 4), (None, 5)], "task_id string, at int")
+    got = sorted(tuple(r) for r in trips.vehicle_task_logs(rows, logs, F.col("segments"), ("at",)).collect())
+    assert got == [(1, "a", 1), (1, "a", 2), (1, "b", 3)]

@@ -30,7 +30,7 @@ def distinct_ids(log: DataFrame, ids: Column, name: str, keys: tuple[str, ...] =
 
 def segment_task_ids(segments: Column) -> Column:
     """Task ids of nested journey segments, flattened (stops without tasks add none)."""
-    ids = lambda s: F.coalesce(F.transform(s["stop"]["tasks"], lambda t: t["taskId"]), F.array())
+    ids = lambda s: F.coalesce(s["stop"]["tasks"]["taskId"], F.array())
     return F.flatten(F.transform(segments, ids))
 
 
@@ -84,8 +84,8 @@ def vehicle_task_logs(
         # a rank bound lets Spark cut each vehicle's ids before the shuffle
         pairs = first.select("*", F.row_number().over(w).alias("_rn")).filter(F.col("_rn") <= FIRST_TASKS).select("vehicle_id", "task_id")
     else:
-        named = F.filter(F.array_distinct(segment_task_ids(segments)), lambda t: t.isNotNull() & (t != ""))
-        pairs = vehicle_rows.select("vehicle_id", F.explode(named).alias("task_id"))
+        pairs = vehicle_rows.select("vehicle_id", F.explode(F.array_distinct(segment_task_ids(segments))).alias("task_id"))
+        pairs = pairs.filter(F.col("task_id").isNotNull() & (F.col("task_id") != ""))
         if labelled is not None:
             pairs = pairs.union(labelled.select("vehicle_id", "task_id"))
         pairs = pairs.distinct()
