@@ -381,6 +381,21 @@ def test_short_routes_are_worked_out_on_arrays():
         assert got == want and left == [r[0] for r in rows if r[0] == 7]
 
 
+def test_the_bundle_is_made_once_before_its_sort(spark, monkeypatch, tmp_path):
+    from tracklane.registry import orders
+
+    made = []
+    monkeypatch.setattr(orders, "settle", lambda df: made.append(df) or df.limit(0))
+    monkeypatch.setattr(orders, "read_view", lambda *_: spark.createDataFrame(
+        [("1-1", 1, 1, datetime(2024, 1, 1), 1, 1, 1.0, "OPEN", "trip-1", 1)],
+        "task_id string, vehicle_id long, stop_no int, event_time timestamp, l_partkey long, l_suppkey long, l_extendedprice double, state string, trip_id string, order_id long"))
+    monkeypatch.setattr(orders, "fleet", lambda *_: spark.createDataFrame([(1, 5, "updateVehicle")], "vehicle_id long, event_ms long, api string"))
+    from tracklane.registry.base import QUERIES
+
+    assert QUERIES["vehicle_log_bundle"](spark, "").count() == 0 and len(made) == 1
+    assert {r.api for r in made[0].collect()} == {"updateVehicle", "updateTrip", "updateTask"}
+
+
 def test_task_ids_of_segments_with_gaps(spark):
     kind = "vehicle_id long, segments array<struct<stop: struct<tasks: array<struct<taskId: string>>>>>"
     some = [((([("a",), None, ("",), (None,), ("a",)]),),), (None,), ((None,),), (((([("b",)])),),), None]

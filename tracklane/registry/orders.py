@@ -8,6 +8,7 @@ from tracklane.functions import geo
 from tracklane.operators import route, tasks, traffic, trips
 from tracklane.plans.history import Track
 from tracklane.registry.base import fleet, fleet_trips, query, r3
+from tracklane.session import settle
 from tracklane.views import read_view
 
 TIES = ("l_partkey", "l_suppkey", "l_extendedprice")
@@ -250,9 +251,10 @@ def _(spark, sf):
     tag = lambda df, api: df.select("vehicle_id", "event_ms", F.lit(api).alias("api"))
     named = trips.vehicle_trip_logs(labelled_vehicles(spark, sf), trip_log(spark, sf), trips.label_ids(F.col("trip_label")), ("event_ms",))
     done = trips.vehicle_task_logs(journeys(spark, sf), stops, F.col("segments"), ("event_ms",))
-    return trips.vehicle_log_bundle(
+    bundle = trips.vehicle_log_bundle(
         log.select("vehicle_id", "event_ms", "api"), tag(named, "updateTrip"), tag(stops, "updateDeliveryVehicle"), tag(done, "updateTask")
-    ).orderBy(F.desc("event_ms"))
+    )
+    return settle(bundle).orderBy(F.desc("event_ms"))  # the sort reads its rows twice
 
 
 @query("decode_paths", "task_log", sql="""
