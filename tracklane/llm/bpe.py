@@ -35,6 +35,12 @@ class Vocabulary:
         self._beside: dict[int, bool] = {}
         self._remember = remember
         self.usable = {token: rank for token, rank in ranks.items() if self.edges(rank) is not None}
+        # Lengths of the usable tokens of three bytes and more by their last three bytes, and of the shorter ones; longest first.
+        ending: dict[bytes, set[int]] = {}
+        for token in self.usable:
+            if len(token) > 2:
+                ending.setdefault(token[-3:], {1, 2}).add(len(token))
+        self._ending = {end: tuple(sorted(lengths, reverse=True)) for end, lengths in ending.items()}
 
     def _last_join(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose join makes ``token``; None if its bytes don't become that one token."""
@@ -84,10 +90,11 @@ class Vocabulary:
 
     def extend(self, data: bytes, last: list[int], end: int) -> None:
         """Append the last tokens of the next prefixes of ``data``, up to that of length ``end``."""
-        usable, known = self.usable, self._beside
+        usable, known, ending = self.usable, self._beside, self._ending
         for at in range(len(last), end + 1):
-            for start in range(max(0, at - self.longest), at):
-                token = usable.get(data[start:at])
+            for length in ending.get(data[max(0, at - 3) : at], (2, 1)):
+                start = at - length
+                token = usable.get(data[start:at]) if start >= 0 else None
                 if token is None:
                     continue
                 if start:
