@@ -4,6 +4,7 @@ import base64
 import math
 import random
 import struct
+import threading
 from datetime import datetime
 
 import pyarrow as pa
@@ -181,6 +182,39 @@ def test_route_intervals(spark):
     assert gone == [(0, 100, "STYLE_NO_DATA"), (100, 200, "STYLE_NO_DATA"), (200, 250, "STYLE_NO_DATA"), (250, 300, "TRAFFIC_JAM"), (300, total, "STYLE_NORMAL")]
 
 
+def test_one_route_of_many_points_and_stretches(spark):
+    """Against a loop that looks each interval up; the work must not grow with points times stretches."""
+    rnd = random.Random(4)
+    many = 60_000
+    deg = [i * 1e-6 for i in range(many)]
+    at = [math.radians(d) * geo.EARTH_RADIUS_M for d in deg]
+    jams = [(f"S{i}", float(i % 6000), rnd.choice([None, 0.0, 0.5, 7.0])) for i in rnd.sample(range(many), many)]
+    df = spark.createDataFrame(
+        [(1, [(d, 0.0) for d in deg], jams), (2, [(0.0, 0.0), (0.001, 0.0)], [("A", 50.0, 10.0), ("B", 40.0, 1000.0)]), (3, [], [("A", 0.0, 1.0)]), (4, None, None)],
+        "id int, points array<struct<latitude:double,longitude:double>>, stretches array<struct<style:string,offsetmeters:double,lengthmeters:double>>",
+    )
+    spark.sparkContext.setJobGroup("long route", "", True)
+    late = threading.Timer(60, spark.sparkContext.cancelJobGroup, ["long route"])
+    late.start()
+    try:
+        got = {}
+        for r in route.route_intervals(df, "points", "stretches").collect():
+            got.setdefault(r.id, []).append(r)
+    finally:
+        late.cancel()
+        for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            spark.sparkContext.setLocalProperty(k, None)
+    cuts = sorted(c for c in {0.0, at[-1], *[o for _, o, _ in jams], *[o + n for _, o, n in jams if n is not None]} if c <= at[-1] + 1e-6)
+    mine = sorted(got[1], key=lambda r: r.start_m)
+    assert [round(r.start_m, 4) for r in mine] == [round(c, 4) for c in cuts[:-1]] and [round(r.end_m, 4) for r in mine] == [round(c, 4) for c in cuts[1:]]
+    for r in rnd.sample(mine, 50):
+        assert r.style == next((s for s, o, n in jams if n is not None and o <= r.start_m < o + n), "STYLE_NORMAL")
+        inner = [d for d, m in zip(deg, at) if r.start_m + 1e-6 < m < r.end_m - 1e-6]
+        assert [p.latitude for p in r.path] == pytest.approx([math.degrees(r.start_m / geo.EARTH_RADIUS_M), *inner, math.degrees(r.end_m / geo.EARTH_RADIUS_M)], abs=2e-8)
+    assert [(round(r.start_m), round(r.end_m), r.style) for r in got[2]] == [(0, 40, "STYLE_NORMAL"), (40, 50, "B"), (50, 60, "A"), (60, 111, "B")]
+    assert [tuple(r)[1:] for r in got[3]] == [(0.0, 0.0, "STYLE_NO_DATA", [])] and [tuple(r)[1:] for r in got[4]] == [(0.0, 0.0, "STYLE_NO_DATA", None)]
+
+
 def test_one_very_long_stretch(spark):
     df = spark.createDataFrame([(1, 1, 0, 1 << 24, "JAM")], "route_id int, ord int, offset_m int, length_m int, style string")
     got = sorted(tuple(r)[1:] for r in traffic.traffic_segments(df, ["ord"], 20_000_000).collect())

@@ -7,7 +7,6 @@ import re
 import struct
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -177,22 +176,37 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _flat(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of an Arrow array, and which of them are there; those that are not are NaN."""
+    return np.array(pc.fill_null(values.cast(pa.float64()), np.nan)), np.asarray(values.is_valid())
+
+
+def _along(lats: np.ndarray, lngs: np.ndarray, sizes: np.ndarray, radius: float) -> np.ndarray:
+    """Distance of each point from the start of its row's path; NaN from a point without coordinates on."""
+    firsts = np.cumsum(sizes) - sizes
+    with np.errstate(invalid="ignore"):
+        lat, lng = np.radians(lats), np.radians(lngs)
+        h = np.sin(np.diff(lat) / 2) ** 2 + np.cos(lat[:-1]) * np.cos(lat[1:]) * np.sin(np.diff(lng) / 2) ** 2
+        steps = np.zeros(len(lats))
+        steps[1:] = 2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+    steps[firsts[sizes > 0]] = 0.0
+    for n in np.unique(sizes[sizes > 1]):  # rows of one size at a time, each summed from its own start
+        at = firsts[sizes == n][:, None] + np.arange(n)
+        steps[at] = np.cumsum(steps[at], axis=1)
+    return steps
+
+
 def measured(points: Column, radius: float = geo.EARTH_RADIUS_M) -> Column:
     """Array of ``{latitude, longitude, m}`` with each point's distance from the start, in one pass."""
 
-    @F.pandas_udf(NUMBERS)
-    def along(lats: pd.Series, lngs: pd.Series) -> pd.Series:
-        out = []
-        for lat, lng in zip(lats, lngs):
-            if lat is None or len(lat) == 0:
-                out.append(lat)
-                continue
-            lat, lng = np.radians(lat), np.radians(lng)
-            h = np.sin(np.diff(lat) / 2) ** 2 + np.cos(lat[:-1]) * np.cos(lat[1:]) * np.sin(np.diff(lng) / 2) ** 2
-            out.append(np.concatenate([[0.0], np.cumsum(2 * radius * np.arcsin(np.minimum(1.0, np.sqrt(h))))]))
-        return pd.Series(out, dtype=object)
-
-    m = along(F.transform(points, lambda p: p["latitude"]), F.transform(points, lambda p: p["longitude"]))
+    @F.arrow_udf(NUMBERS)
+    def along(lats: pa.Array, lngs: pa.Array) -> pa.Array:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(lats), 0)).astype(np.int64)
+        m = _along(_flat(lats.flatten())[0], _flat(lngs.flatten())[0], sizes, radius)
+        starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32(), mask=np.append(np.asarray(lats.is_null()), False))
+        return pa.ListArray.from_arrays(starts, pa.array(m, mask=np.isnan(m)))
+
+    m = along(points["latitude"].cast("array<double>"), points["longitude"].cast("array<double>"))
     return F.zip_with(points, m, lambda p, d: F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude"), d.alias("m")))
 
 
@@ -201,28 +215,6 @@ def _edges(line: Column) -> Column:
     return F.arrays_zip(F.slice(line, F.lit(1), n).alias("a"), F.slice(line, F.lit(2), n).alias("b"))
 
 
-def _place(p: Column) -> Column:
-    return F.struct(p["latitude"].alias("latitude"), p["longitude"].alias("longitude"))
-
-
-def point_at(line: Column, m: Column) -> Column:
-    """Point at a distance along a measured line (clamped to its ends)."""
-
-    def on_edge(e):
-        span = e["b"]["m"] - e["a"]["m"]
-        part = F.when(span > 0, (F.greatest(m, F.lit(0.0)) - e["a"]["m"]) / span).otherwise(F.lit(0.0))
-        mix = lambda f: (e["a"][f] + (e["b"][f] - e["a"][f]) * part).alias(f)
-        return F.when(e.isNull(), _place(F.element_at(line, -1))).otherwise(F.struct(mix("latitude"), mix("longitude")))
-
-    return let(F.try_element_at(F.filter(_edges(line), lambda e: e["b"]["m"] >= m), F.lit(1)), on_edge)
-
-
-def slice_line(line: Column, start: Column, end: Column) -> Column:
-    """Points of a measured line between two distances."""
-    inner = F.transform(F.filter(line, lambda p: (p["m"] > start) & (p["m"] < end)), _place)
-    return F.concat(F.array(point_at(line, start)), inner, F.array(point_at(line, end)))
-
-
 def travelled_m(line: Column, lat: Column, lng: Column) -> Column:
     """Distance along a measured line of the place on it closest to a point."""
     east = F.cos(F.radians(lat))
@@ -242,6 +234,139 @@ def travelled_m(line: Column, lat: Column, lng: Column) -> Column:
     return F.array_min(F.transform(_edges(line), place))["m"]
 
 
+def _first_of(owners: np.ndarray, lows: np.ndarray, highs: np.ndarray, size: int, none: int) -> np.ndarray:
+    """The smallest of ``owners`` whose range ``[low, high)`` holds a place, for each of ``size`` places; ``none`` if there
+    is none. Each range is two of a power of two, and those are halved down to single places."""
+    level = np.frexp((highs - lows).astype(float))[1] - 1
+    best = np.full(size, none, np.int64)
+    for k in range(int(level.max(initial=-1)), -1, -1):
+        here, half = level == k, 1 << k
+        np.minimum.at(best, lows[here], owners[here])
+        np.minimum.at(best, highs[here] - half, owners[here])
+        if k:
+            wide, half = best, half >> 1
+            best = wide.copy()
+            best[half:] = np.minimum(best[half:], wide[:-half])
+    return best
+
+
+def _search(values: np.ndarray, low: np.ndarray, high: np.ndarray, before) -> np.ndarray:
+    """The first place in each ``[low, high)`` whose value is not ``before``; by halves, since values ascend there."""
+    low, high = low.copy(), high.copy()
+    while (open_ := np.flatnonzero(low < high)).size:
+        middle = (low[open_] + high[open_]) >> 1
+        go_on = before(values[middle], open_)
+        low[open_[go_on]], high[open_[~go_on]] = middle[go_on] + 1, middle[~go_on]
+    return low
+
+
+def _ragged(firsts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``first, first + 1, ...`` for each size, one behind the other."""
+    return np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
+def _cut(points: pa.Array, styles: pa.Array, offsets: pa.Array, lengths: pa.Array, gone: pa.Array) -> pa.Array:
+    """Intervals of all routes of a batch at once, in their order along each route."""
+    rows = len(points)
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(points), 0)).astype(np.int64)
+    firsts, flat = np.cumsum(sizes) - sizes, points.flatten()
+    names = [f.name.lower() for f in flat.type]
+    fields = pc.struct_field(flat, [names.index("latitude")]), pc.struct_field(flat, [names.index("longitude")])
+    places = [_flat(f) for f in fields]
+    m = _along(places[0][0], places[1][0], sizes, geo.EARTH_RADIUS_M)
+    total = np.zeros(rows)
+    total[sizes > 0] = m[(firsts + sizes - 1)[sizes > 0]]
+    total[np.isnan(total)] = 0.0
+
+    # Stretches, the travelled part first: row, start, end.
+    many = np.asarray(pc.fill_null(pc.list_value_length(offsets), 0)).astype(np.int64)
+    start, known = _flat(offsets.flatten())
+    start = np.where(known, start, 0.0)
+    length, known = _flat(lengths.flatten())
+    length[known & np.isnan(length)] = np.inf  # NaN is greater than any number
+    far = np.asarray(gone)
+    ahead = np.flatnonzero(far > 0)
+    row = np.concatenate([ahead, np.repeat(np.arange(rows), many)])
+    start = np.concatenate([np.zeros(len(ahead)), start])
+    end = start + np.concatenate([far[ahead], length])
+    listed = pa.chunked_array([pc.fill_null(styles.flatten(), NORMAL), pa.array([NO_DATA, NORMAL])]).combine_chunks()
+    style_of = np.concatenate([np.full(len(ahead), len(listed) - 2), np.arange(len(listed) - 2), [len(listed) - 1]])
+    short = sizes < 2
+    plain = short | (many + (far > 0) == 0)
+
+    # Cuts of each row, ascending, equal ones once; a row without stretches keeps its two ends, even if equal.
+    cut_row = np.concatenate([np.arange(rows), np.arange(rows), row, row])
+    cut = np.concatenate([np.zeros(rows), total, start, end])
+    used = (cut <= total[cut_row]) & ~plain[cut_row]
+    used[: 2 * rows] = True
+    taken = np.flatnonzero(used)
+    order = taken[np.lexsort((cut[taken], cut_row[taken]))]
+    r, c = cut_row[order], cut[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (r[1:] != r[:-1]) | (c[1:] != c[:-1]) | plain[r[1:]]
+    number = np.full(len(cut), -1)
+    number[order] = np.cumsum(new) - 1
+    r, c = r[new], c[new]
+    last = np.searchsorted(r, np.arange(rows), side="right") - 1  # cut of each row
+    is_interval = np.ones(len(r), bool)
+    is_interval[last] = False
+
+    # A stretch covers the intervals from its start to its end, or to the row's.
+    at = 2 * rows
+    low, high = number[at : at + len(row)], number[at + len(row) :]
+    high = np.where(high < 0, np.where(end > total[row], last[row], low), high)
+    covers = (low >= 0) & (low < high)
+    best = _first_of(np.flatnonzero(covers), low[covers], high[covers], len(r), len(row))
+    style = np.where(short[r], len(listed) - 2, style_of[best])
+
+    # The place of each cut, on the first step that reaches it, or else the last point.
+    begin, stop = firsts[r], (firsts + sizes)[r]
+    reach = _search(m, begin, stop, lambda x, i: x < c[i])
+    beyond = _search(m, begin, stop, lambda x, i: x <= c[i])
+    b = np.maximum(reach, begin + 1)
+    lost = b >= stop
+    b[lost] = np.maximum(stop - 1, 0)[lost]
+    if len(m):
+        lost |= np.isnan(m[b])
+        b[lost] = (stop - 1)[lost]
+        a = np.where(lost, b, b - 1)
+        span = m[b] - m[a]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            part = np.where(span > 0, (np.maximum(c, 0.0) - m[a]) / span, 0.0)
+    i = np.flatnonzero(is_interval)
+    inner = np.where(short[r[i]], sizes[r[i]], np.maximum(reach[i + 1] - beyond[i], 0))
+    edge = np.where(short[r[i]], 0, 1)
+    long = inner + 2 * edge
+    ends = np.concatenate([[0], np.cumsum(long)])
+    source = np.where(short[r[i]], firsts[r[i]], beyond[i])
+    inside = _ragged(ends[:-1] + edge, inner), _ragged(source, inner)
+    outer = np.flatnonzero(edge)
+    coordinates = []
+    for value, there in places:
+        out, known = np.empty(int(ends[-1])), np.ones(int(ends[-1]), bool)
+        out[inside[0]], known[inside[0]] = value[inside[1]], there[inside[1]]
+        if len(outer):
+            on = value[a] + (value[b] - value[a]) * part
+            on[lost], both = value[b[lost]], there[a] & there[b]
+            for to, k in ((ends[outer], i[outer]), (ends[outer + 1] - 1, i[outer] + 1)):
+                out[to], known[to] = on[k], both[k]
+        coordinates.append(pa.array(out, mask=~known))
+    blank = np.zeros(int(ends[-1]), bool)
+    if flat.null_count:  # a point that is not there stays so in a path that is handed on
+        blank[inside[0]] = np.asarray(flat.is_null())[inside[1]] & np.repeat(short[r[i]], inner)
+    pairs = pa.StructArray.from_arrays(coordinates, fields=list(POINTS.value_type), mask=pa.array(blank))
+    path_starts = pa.array(ends, pa.int32(), mask=np.append(np.asarray(points.is_null())[r[i]], False))
+    found = pa.StructArray.from_arrays(
+        [pa.array(c[i]), pa.array(c[i + 1]), listed.take(pa.array(style[i])), pa.ListArray.from_arrays(path_starts, pairs, POINTS)],
+        names=["start_m", "end_m", "style", "path"],
+    )
+    per_row = np.concatenate([[0], np.cumsum(np.bincount(r[i], minlength=rows))])
+    return pa.ListArray.from_arrays(pa.array(per_row, pa.int32()), found)
+
+
+INTERVALS = "array<struct<start_m: double, end_m: double, style: string, path: array<struct<latitude: double, longitude: double>>>>"
+
+
 def route_intervals(
     rows: DataFrame, points: str, stretches: str, lat: Column | None = None, lng: Column | None = None
 ) -> DataFrame:
@@ -249,32 +374,16 @@ def route_intervals(
 
     ``points`` is an array of ``{latitude, longitude}``, ``stretches`` one of ``{style, offsetmeters,
     lengthmeters}``. A known current point puts the travelled part, as ``STYLE_NO_DATA``, ahead of the
-    other stretches. Steps are separate columns, so each is computed once per row.
+    other stretches. Intervals are worked out on arrays, many routes at a time; the work of a route grows with
+    its points and stretches times the logarithm of their number.
     """
     keep = [c for c in rows.columns if c not in (points, stretches)]
-    line = rows.select(*rows.columns, measured(F.col(points)).alias("_line"))
-    gone = travelled_m(F.col("_line"), lat, lng) if lat is not None else F.lit(0.0)
-    listed = F.transform(
-        stretches,
-        lambda s: F.struct(s["style"].alias("style"), F.coalesce(s["offsetmeters"].cast("double"), F.lit(0.0)).alias("o"),
-                           s["lengthmeters"].cast("double").alias("n")),
-    )
-    none = F.filter(F.array(F.struct(F.lit("").alias("style"), F.lit(0.0).alias("o"), F.lit(0.0).alias("n"))), lambda s: s["style"] != "")
-    line = line.select("*", F.coalesce(gone, F.lit(0.0)).alias("_gone"), F.coalesce(listed, none).alias("_own"))
-    first = F.array(F.struct(F.lit(NO_DATA).alias("style"), F.lit(0.0).alias("o"), F.col("_gone").alias("n")))
-    line = line.select(
-        *keep, points, "_line", F.coalesce(F.element_at("_line", -1)["m"], F.lit(0.0)).alias("_total"),
-        F.when(F.col("_gone") > 0, F.concat(first, "_own")).otherwise(F.col("_own")).alias("_list"),
-    )
-    cuts = F.concat(F.array(F.lit(0.0), F.col("_total")), F.transform("_list", lambda s: s["o"]), F.transform("_list", lambda s: s["o"] + s["n"]))
-    line = line.select("*", F.array_sort(F.array_distinct(F.filter(cuts, lambda c: c <= F.col("_total")))).alias("_cuts"))
-    n = F.greatest(F.size("_cuts") - 1, F.lit(0))
-    pairs = F.arrays_zip(F.slice("_cuts", F.lit(1), n).alias("s"), F.slice("_cuts", F.lit(2), n).alias("e"))
-    whole = F.array(F.struct(F.lit(0.0).alias("s"), F.col("_total").alias("e")))
-    short = F.col(points).isNull() | (F.size(points) < 2)
-    plain = short | (F.size("_list") == 0)
-    line = line.select(*keep, points, "_line", "_list", short.alias("_short"), F.explode(F.when(plain, whole).otherwise(pairs)).alias("_i"))
-    over = F.filter("_list", lambda s: (F.col("_i.s") >= s["o"]) & (F.col("_i.s") < s["o"] + s["n"]))
-    style = F.when(F.col("_short"), F.lit(NO_DATA)).otherwise(F.coalesce(F.try_element_at(over, F.lit(1))["style"], F.lit(NORMAL)))
-    path = F.when(F.col("_short"), F.col(points)).otherwise(slice_line(F.col("_line"), F.col("_i.s"), F.col("_i.e")))
-    return line.select(*keep, F.col("_i.s").alias("start_m"), F.col("_i.e").alias("end_m"), style.alias("style"), path.alias("path"))
+    line, gone = rows, F.lit(0.0)
+    if lat is not None:
+        line = rows.select("*", measured(F.col(points)).alias("_line"))
+        line = line.select("*", F.coalesce(travelled_m(F.col("_line"), lat, lng), F.lit(0.0)).alias("_gone"))
+        gone = F.col("_gone")
+    s = F.col(stretches)
+    numbers = (s["offsetmeters"].cast("array<double>"), s["lengthmeters"].cast("array<double>"))
+    cut = F.arrow_udf(_cut, INTERVALS)(F.col(points), s["style"].cast("array<string>"), *numbers, gone)
+    return line.select(*keep, F.inline(cut))
