@@ -2,13 +2,15 @@
 
 import os
 import re
+import tracemalloc
+import weakref
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracklane.llm import minhash, packing, quality, queries, secrets, toxicity, vocab
+from tracklane.llm import memory, minhash, packing, quality, queries, secrets, toxicity, vocab
 from tracklane.llm.labels import held_out, sample
 
 SF = "/root/testdata/sf0.01"
@@ -174,3 +176,31 @@ def test_pipeline_run(spark):
     encoder = vocab.library_encoder(vocab.public_file("byte_bpe_50k.json"))
     assert packed and packing.rooms(sum(r.length for r in packed), 2048).size <= len({r.sequence_id for r in packed})
     assert all(len(r.ids) == 4 * r.length for r in packed) and encoder.encode("") == b""
+
+
+def test_a_worker_holds_one_memory_of_words():
+    """Words that one stage met are gone when the next one begins; they filled executors before."""
+    encoder = vocab.library_encoder(vocab.public_file("byte_bpe_50k.json"))
+    assert vocab.library_encoder(vocab.public_file("byte_bpe_50k.json")) is encoder
+    encoder = weakref.ref(encoder)
+    shingler = minhash._shingler(minhash.NearCopies())
+    assert encoder() is None and minhash._shingler(minhash.NearCopies()) is shingler
+    shingler = weakref.ref(shingler)
+    memory.drop()
+    assert shingler() is None
+
+
+def test_fit_of_toxicity_stays_small():
+    """The n-grams of a large vocabulary, each with its row of the embeddings, were several times as large."""
+    rnd = np.random.default_rng(3)
+    words = ["".join(map(chr, rnd.integers(97, 117, 12))) for _ in range(30_000)]
+    fit = toxicity.ToxicityFit(rounds=1)
+    for one, two in zip(toxicity.grams(words[:500], fit), toxicity._blocks_of_grams(words[:500], fit, block=64)):
+        assert one.tolist() == two.tolist()
+    texts = [" ".join(words[i::1000] + words[:5]) for i in range(1000)]
+    many = len(toxicity.grams(words, fit)[0])
+    tracemalloc.start()
+    toxicity.fit_model(texts, np.arange(1000) % 2, fit)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 55 * many, most / many

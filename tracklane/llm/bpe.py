@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from tracklane.llm.memory import only
 from tracklane.llm.pieces import TextEncoder
 from tracklane.llm.vocab import public_pattern
 
@@ -140,8 +141,11 @@ def load(path: str) -> Vocabulary:
         return Vocabulary({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)})
 
 
-@lru_cache(maxsize=2)
 def prefix_encoder(path: str) -> TextEncoder:
+    return only(("prefix", path), lambda: _prefix_encoder(path))
+
+
+def _prefix_encoder(path: str) -> TextEncoder:
     vocabulary = load(path)
 
     def ids(word: str) -> bytes:

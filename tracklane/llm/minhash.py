@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from tracklane.llm.bpe import small
 from tracklane.llm.components import components
+from tracklane.llm.memory import only
 from tracklane.session import settle
 
 
@@ -86,9 +87,8 @@ class Shingler:
         return out.view(np.int32)
 
 
-@lru_cache(maxsize=2)
 def _shingler(rule: NearCopies) -> Shingler:
-    return Shingler(rule)
+    return only(rule, lambda: Shingler(rule))
 
 
 def _print(shingles: np.ndarray) -> bytes:

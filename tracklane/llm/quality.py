@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklane.llm import memory
 from tracklane.llm.labels import sample
 
 AGAIN = "<again>"
@@ -126,16 +127,20 @@ def fit_model(texts: list[str], labels: np.ndarray, fit: QualityFit) -> Model:
         flat = np.zeros((1, fit.width))
         layers = [0.0, 1.0, np.zeros((size, 1)), np.zeros(1), np.zeros((1, 2)), np.array([0.0, np.log(edge / (1 - edge))]), 1.0]
         return Model(fit, [""], [""], (flat, flat), layers)
-    cut = [t.split() for t in texts]
-    words, shapes = Counter(p.lower() for c in cut for p in c), Counter()
-    spelled = {p: shape(p) for p in {p for c in cut for p in c}}
-    for c in cut:
-        shapes.update(spelled[p] for p in c)
+    counts: Counter[str] = Counter()
+    for t in texts:  # texts are split again where their words are needed: held at once, all words are many times as large
+        counts.update(t.split())
+    words, shapes = Counter(), Counter()
+    for p, n in counts.items():
+        words[p.lower()] += n
+        shapes[shape(p)] += n
+    del counts
     first = lambda counts, n: [k for k, m in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:n] if m > 1]
     words, shapes = ["", *first(words, fit.words)], ["", AGAIN, *first(shapes, fit.shapes)]
     model = Model(fit, words, shapes, (), [])
-    numbers = [model.numbers(c) for c in cut if c]
+    numbers = [tuple(n.astype(np.int32) for n in model.numbers(c)) for t in texts if (c := t.split())]
     model.vectors = tuple(context_vectors([n[k] for n in numbers], names, fit) for k, names in enumerate((words, shapes)))
+    del numbers
     inputs = np.stack([model.pool(t) for t in texts])
 
     back = np.arange(len(texts)) % fit.held_back == 0
@@ -180,6 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: QualityFit = QualityFit(), la
     """The pickled numbers of a fitted model, made in one task from the bounded sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.drop()
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         rows.sort(key=lambda r: (r[2], r[0] or ""))
         m = fit_model([r[0] or "" for r in rows], np.array([r[1] for r in rows], int), fit)
@@ -195,6 +201,7 @@ def score(docs: DataFrame, model: bytes, fit: QualityFit = QualityFit(), text: s
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the vocabulary
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memory.drop()
         fitted = Model(fit, *pickle.loads(sent.value))
         for texts in batches:
             yield pd.Series(fitted.scores(texts.tolist()), dtype="float64")

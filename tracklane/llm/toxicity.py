@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracklane.llm.bpe import small
+from tracklane.llm import memory
 from tracklane.llm.labels import sample
 
 EDGES = ".,;:!?\"'()[]{}<>|*%$#&"
@@ -75,6 +75,16 @@ def grams(words: list[str], fit: ToxicityFit) -> tuple[np.ndarray, np.ndarray]:
     return owners[order], mixed[order].astype(np.int64)
 
 
+def _blocks_of_grams(words: list[str], fit: ToxicityFit, block: int = 1 << 12) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` a block of words at a time and as short numbers, for vocabularies."""
+    owners, buckets = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for at in range(0, len(words), block):
+        owner, bucket = grams(words[at : at + block], fit)
+        owners.append((owner + at).astype(np.int32))
+        buckets.append(bucket.astype(np.int32))
+    return np.concatenate(owners), np.concatenate(buckets)
+
+
 class Scorer:
     """Passage logits of whole texts. A word's part of a logit is the mean of its n-grams' parts."""
 
@@ -133,7 +143,7 @@ def fit_model(texts: list[str], labels: np.ndarray, fit: ToxicityFit) -> Scorer:
     vocabulary: dict[str, int] = {}
     rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.split()], np.int64) for t in texts]
     many = len(vocabulary)
-    gram_word, gram = grams(list(vocabulary), fit)
+    gram_word, gram = _blocks_of_grams(list(vocabulary), fit)
     gram_size = np.maximum(np.bincount(gram_word, minlength=many), fit.fewest).astype(float)
     # N-grams of few documents say nothing about others; their embeddings stay zero.
     first_gram = np.searchsorted(gram_word, np.arange(many + 1))
@@ -143,7 +153,8 @@ def fit_model(texts: list[str], labels: np.ndarray, fit: ToxicityFit) -> Scorer:
         holders[np.unique(np.concatenate(held or [gram[:0]]))] += 1
     common = holders >= min(fit.holders, max(2, len(texts) // 20))
     numbers = np.cumsum(common) - 1
-    gram, gram_word = numbers[gram[common[gram]]], gram_word[common[gram]]
+    used = common[gram]
+    gram, gram_word = numbers[gram[used]], gram_word[used].astype(np.int64)
 
     n = fit.passage_words
     starts = [(d, at) for d, r in enumerate(rows) for at in range(0, len(r), n)]
@@ -158,17 +169,18 @@ def fit_model(texts: list[str], labels: np.ndarray, fit: ToxicityFit) -> Scorer:
     weight, bias = rng.normal(0, 0.3, (fit.width, 2)), np.zeros(2)
     state = [[np.zeros_like(v), np.zeros_like(v)] for v in (embed, weight, bias)]
 
-    def total(where: np.ndarray, values: np.ndarray, count: int) -> np.ndarray:
-        return np.stack([np.bincount(where, values[:, j], count) for j in range(fit.width)], 1)
+    def total(where: np.ndarray, values: np.ndarray, source: np.ndarray, count: int) -> np.ndarray:
+        # Column by column: an n-gram's row for each word that has it would be several times as large as the sample.
+        return np.stack([np.bincount(where, values[:, j][source], count) for j in range(fit.width)], 1)
 
     for step in range(1, fit.rounds + 1):
-        words = total(gram_word, embed[gram], many) / gram_size[:, None]
+        words = total(gram_word, embed, gram, many) / gram_size[:, None]
         bag = np.add.reduceat(words[word], first) / sizes[:, None]
         logits = bag @ weight + bias
         odds = np.exp(logits - logits.max(1, keepdims=True))
         slope = (odds / odds.sum(1, keepdims=True) - target) * share
-        of_word = total(word, (slope @ weight.T / sizes[:, None])[in_passage], many) / gram_size[:, None]
-        of_gram = total(gram, of_word[gram_word], len(embed))
+        of_word = total(word, slope @ weight.T / sizes[:, None], in_passage, many) / gram_size[:, None]
+        of_gram = total(gram, of_word, gram_word, len(embed))
         for value, s, held in ((embed, of_gram, state[0]), (weight, bag.T @ slope, state[1]), (bias, slope.sum(0), state[2])):
             _adam(step, value, s + fit.decay * value, held, fit.rate)
     embed, small_ones = np.zeros((fit.buckets, fit.width)), embed
@@ -196,6 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, fit: ToxicityFit = ToxicityFit(),
     """The pickled numbers of a fitted model, made in one task from the bounded sample; a few MB at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory.drop()
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
         rows.sort(key=lambda r: (r[2], r[0] or ""))
         s = fit_model([r[0] or "" for r in rows], np.array([r[1] for r in rows], int), fit)
@@ -212,6 +225,7 @@ def score(docs: DataFrame, model: bytes, fit: ToxicityFit = ToxicityFit(), text:
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the number of buckets
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memory.drop()
         parts, bias, scale, shift = pickle.loads(sent.value)
         scorer = Scorer(fit, parts.astype(float), bias, scale, shift)
         for texts in batches:

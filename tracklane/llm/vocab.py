@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
 
+from tracklane.llm.memory import only
 from tracklane.llm.pieces import TextEncoder
 
 
@@ -41,8 +41,12 @@ class AddedTokens:
         return b"".join(self._ids[part] if i % 2 else self._between.encode(part) for i, part in enumerate(parts))
 
 
-@lru_cache(maxsize=4)
 def library_encoder(path: str, added: bool = False) -> TextEncoder | AddedTokens:
+    """``_library_encoder`` of this worker, with what it remembers."""
+    return only(("library", path, added), lambda: _library_encoder(path, added))
+
+
+def _library_encoder(path: str, added: bool) -> TextEncoder | AddedTokens:
     """Ids by the tokenizers library. Words go to its BPE model one by one, spelled in the letters that stand
     for bytes. With ``added``, the added tokens of the file are found in a text as by the library as it is loaded;
     without, their strings are ordinary text, as under its ``encode_special_tokens``."""
