@@ -13,7 +13,7 @@ from collections.abc import Callable
 import regex
 
 # Spaces with white space on both sides (or at the end) are the only ones at which a text may not be cut.
-_INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
+_INNER_SPACE = re.compile(r" (?<=\s )(?:\s|\Z)")  # the space first: it is what a search can look for
 _CUT = re.compile(r"(?<!\s) | (?=\S)")
 LONG_PIECE = 200
 LATIN_END = "\u0250"
@@ -57,10 +57,10 @@ class TextEncoder:
 
     def _spaced(self, piece: str) -> bytes:
         # Latin letters alone are one match, as is a mark behind them; the pattern sees to everything else.
-        if piece.isalpha() and max(piece) < LATIN_END:
+        if piece.isalpha() and (piece.isascii() or max(piece) < LATIN_END):
             return self._word(" " + piece)
-        if piece[-1:] in MARKS and piece[:-1].isalpha() and max(piece) < LATIN_END:
-            return self._word(" " + piece[:-1]) + self._words[piece[-1]]
+        if piece[-1:] in MARKS and piece[:-1].isalpha() and (piece.isascii() or max(piece) < LATIN_END):
+            return self._pieces[piece[:-1]] + self._words[piece[-1]]  # most of these words stand alone too
         return self._of(" " + piece)
 
     def _of(self, text: str) -> bytes:
@@ -69,5 +69,6 @@ class TextEncoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        first, *rest = cut(text)
-        return self._of(first) + b"".join(map(self._pieces.__getitem__, rest))
+        pieces = cut(text)
+        first = self._of(pieces.pop(0))
+        return first + b"".join(map(self._pieces.__getitem__, pieces))

@@ -57,8 +57,12 @@ def _library_encoder(path: str, added: bool) -> TextEncoder | AddedTokens:
     shown = {b: b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
     letters = {b: shown.get(b, 256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)} | shown
 
+    letters_space = chr(letters[32])
+
     def ids(word: str) -> bytes:
-        spelled = word.encode().decode("latin-1").translate(letters)
+        # Of the printable ASCII signs only the space is spelled otherwise.
+        plain = word.isascii() and word.isprintable()
+        spelled = word.replace(" ", letters_space) if plain else word.encode().decode("latin-1").translate(letters)
         return array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
 
     words = TextEncoder(ids, public_pattern())
