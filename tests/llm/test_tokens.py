@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tracklane.llm import bpe, packing, queries, tokenfiles, vocab
+from tracklane.llm import bpe, packing, pieces, queries, tokenfiles, vocab
 from tracklane.llm.packing import Packing
 
 RANKS, LIBRARY = vocab.public_file("byte_bpe_50k.tiktoken"), vocab.public_file("byte_bpe_50k.json")
@@ -163,3 +163,32 @@ def test_digest_query(spark, own):
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
     assert queries.packing_digest(packing.pack(queries.table(spark, d, "documents"), LIBRARY)).agg(F.sum("length")).first()[0] > 0
+
+
+def test_a_word_with_a_mark_is_not_encoded_again():
+    met = []
+    encoder = pieces.TextEncoder(lambda w: met.append(w) or w.encode(), vocab.public_pattern())
+    assert encoder.encode("one größer größer, größer. größer") == "one größer größer, größer. größer".encode()
+    assert met.count(" größer") == 1
+
+
+def test_neighbours_are_told_by_few_joins():
+    """Only tokens that others begin with are joined with such that others end with."""
+    vocabulary = bpe.load.__wrapped__(RANKS)
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    rnd = np.random.default_rng(2)
+    usable = sorted(vocabulary.usable.values())
+    pairs = [(int(a), int(b)) for a, b in rnd.choice(usable, (2000, 2))]
+    want = [bpe.PrefixEncoding(vocabulary, vocabulary.bytes[a] + vocabulary.bytes[b]).tokens() == [a, b] for a, b in pairs]
+    vocabulary._beside.clear()
+    vocabulary.ranks = Counted(vocabulary.ranks)
+    tried = sum(len(vocabulary.edges(a)[1]) * len(vocabulary.edges(b)[0]) for a, b in pairs)
+    assert [vocabulary.beside(a, b) for a, b in pairs] == want
+    assert vocabulary.ranks.asked < tried / 2, (vocabulary.ranks.asked, tried)

@@ -36,6 +36,11 @@ class Vocabulary:
         self._beside: dict[int, bool] = {}
         self._remember = remember
         self.usable = {token: rank for token, rank in ranks.items() if self.edges(rank) is not None}
+        begins, closes = ({part(t, i) for t in ranks for i in range(1, len(t))} for part in (lambda t, i: t[:i], lambda t, i: t[i:]))
+        self._begins = {rank for token, rank in ranks.items() if token in begins}
+        self._closes = {rank for token, rank in ranks.items() if token in closes}
+        self._rights: dict[int, list] = {}
+        self._lefts: dict[int, list] = {}
 
     def _last_join(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose join makes ``token``; None if its bytes don't become that one token."""
@@ -75,11 +80,17 @@ class Vocabulary:
         return known
 
     def _apart(self, left: int, right: int) -> bool:
-        for a, a_until in self.edges(left)[1]:
-            for b, b_until in self.edges(right)[0]:
-                join = self.ranks.get(self.bytes[a] + self.bytes[b], NEVER)
+        # Only tokens that some token begins with, and such that some token ends with, can be joined.
+        rights, lefts, rank = self._rights.get(left), self._lefts.get(right), self.ranks.get
+        if rights is None:
+            rights = self._rights[left] = [(self.bytes[t], until) for t, until in self.edges(left)[1] if t in self._begins]
+        if lefts is None:
+            lefts = self._lefts[right] = [(self.bytes[t], until) for t, until in self.edges(right)[0] if t in self._closes]
+        for a, a_until in rights:
+            for b, b_until in lefts:
+                join = rank(a + b)
                 # Of equal joins the leftmost is done first: one inside `left` before this, one inside `right` after.
-                if join < a_until and join <= b_until and join != NEVER:
+                if join is not None and join < a_until and join <= b_until:
                     return False
         return True
 
