@@ -6,10 +6,17 @@ pairs of each are put in one order, rarest first, they share one among the first
 only this prefix is joined, and a pair that no other class has needs no posting at all. Collisions of two
 classes that meet are counted on their signatures, and links confirmed on their full shingle sets.
 
-First each posting list is linked to one of its classes, its hub (for ``rounds`` rounds with other hubs). This
-settles groups of copies without meeting in all pairs. The last round joins those classes of a list that are not
-yet in one component, so no link between components is lost. A sketch of one byte per coordinate goes along
-with each posting: two classes meet only if as many bytes are equal as coordinates must be.
+First each class meets one hub, the class in its posting lists with the least of its own, then for the other
+``rounds`` one hub of each of its lists. This settles groups of copies without meeting in all pairs. The last round
+joins those classes of a list that are not yet in one component, so no link between components is lost. A sketch of
+one byte per coordinate goes along with each posting: two classes meet only if as many bytes are equal as
+coordinates must be, and if their sizes allow the threshold.
+
+A large group of texts a little below the threshold would still meet in all pairs there. Two bounds on the full sets
+keep them apart, and no link is lost by either: for classes in lists of more than ``crowd`` the shingles are counted
+that other classes of such lists have too, as a link has no others in common; and each class has ``parities`` bits that
+tell whether an even or odd number of its shingles fall on them, so that two sets differ in no fewer shingles than bits.
+In such a list only classes outside of its largest component look for others.
 """
 
 from __future__ import annotations
@@ -27,6 +34,7 @@ from pyspark.sql import functions as F
 from tracklane.llm.bpe import small
 from tracklane.llm.components import components
 from tracklane.llm.memory import only
+from tracklane.plans.joins import beside
 from tracklane.session import settle
 
 
@@ -39,8 +47,10 @@ class NearCopies:
     threshold: int = 80
     coordinates: int = 48
     matches: int = 22
-    rounds: int = 1
+    rounds: int = 2
     seed: int = 7
+    crowd: int = 16
+    parities: int = 1024
 
 
 class Shingler:
@@ -87,6 +97,12 @@ class Shingler:
         return out.view(np.int32)
 
 
+    def parity(self, shingles: np.ndarray) -> np.ndarray:
+        """For each bit whether an odd number of shingles fall on it, 64 in a number."""
+        odd = np.bincount((shingles % np.uint64(self.rule.parities)).astype(np.int64), minlength=self.rule.parities) & 1
+        return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _shingler(rule: NearCopies) -> Shingler:
     return only(rule, lambda: Shingler(rule))
 
@@ -96,7 +112,7 @@ def _print(shingles: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, rule: NearCopies = NearCopies(), text: str = "text", id: str = "doc_id") -> DataFrame:
-    """``id``, ``n_shingles``, ``print`` (of the whole set; null for an empty one), ``signature array<int>``."""
+    """``id``, ``n_shingles``, ``print`` (of the whole set; null for an empty one), ``signature array<int>``, ``parity array<bigint>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = _shingler(rule)
@@ -107,10 +123,11 @@ def signatures(docs: DataFrame, rule: NearCopies = NearCopies(), text: str = "te
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([_print(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([shingler.signature(s) if len(s) else None for s in sets], pa.list_(pa.int32())),
-                ], names=[id, "n_shingles", "print", "signature"])
+                    pa.array([shingler.parity(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                ], names=[id, "n_shingles", "print", "signature", "parity"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, n_shingles bigint, print binary, signature array<int>")
+    return docs.select(id, text).mapInArrow(run, f"`{id}` {kind}, n_shingles bigint, print binary, signature array<int>, parity array<bigint>")
 
 
 def near_copies(docs: DataFrame, rule: NearCopies = NearCopies(), text: str = "text", id: str = "doc_id") -> DataFrame:
@@ -123,19 +140,22 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies(), text: str = "t
     """
     rows = settle(signatures(docs, rule, text, id).withColumnRenamed(id, "doc"))
     usable = rows.where("doc IS NOT NULL AND print IS NOT NULL")
-    classes = settle(usable.groupBy("print").agg(F.min("doc").alias("rep"), F.first("signature").alias("signature")))
-    lanes = -(-rule.coordinates // 8)
-    sketches = classes.select("print", *[_lane(g, rule.coordinates).alias(f"lane{g}") for g in range(lanes)])
+    classes = settle(usable.groupBy("print").agg(
+        F.min("doc").alias("rep"), F.first("signature").alias("signature"), F.first("parity").alias("parity"), F.first("n_shingles").alias("size")
+    ))
+    sketches = classes.select("print", "size", *[_lane(g, rule.coordinates).alias(f"lane{g}") for g in range(_lanes(rule))])
     posted = settle(_postings(classes, rule).join(sketches, "print"))
     # Only these can be in a pair; a class is found again by its print, should rows share an id.
     texts = settle(docs.select(F.col(id).alias("rep"), F.col(text).alias("text")).join(posted.select("rep").distinct(), "rep"))
 
+    posted = _bounded(posted, texts, rule)
+
     tried, links, parts = [], [], None
     for turn in range(rule.rounds + 1):
         placed = posted.withColumn("part", F.col("rep"))
         if parts is not None:
             placed = posted.join(parts, F.col("rep") == F.col("node"), "left").withColumn("part", F.coalesce("component", "rep"))
-        pairs = _across(placed, rule) if turn == rule.rounds else _to_hubs(placed, turn)
+        pairs = _across(placed, classes, rule) if turn == rule.rounds else _to_hubs(placed, turn, rule)
         for before in tried:
             pairs = pairs.join(before, ["p", "q"], "left_anti")
         alike = settle(_alike(pairs, classes, rule))
@@ -156,7 +176,8 @@ def near_copies(docs: DataFrame, rule: NearCopies = NearCopies(), text: str = "t
 
 
 def _postings(classes: DataFrame, rule: NearCopies) -> DataFrame:
-    """``entry`` (coordinate and value), ``rep``, ``print``: the prefix of each class, entries of one class left out."""
+    """``entry`` (coordinate and value), ``rep``, ``print``, ``shared`` (entries of the class that others have too): the
+    prefix of each class, entries of one class left out."""
     entries = classes.select("rep", "print", F.posexplode("signature").alias("k", "v")).select(
         "rep", "print", (F.shiftleft(F.col("k").cast("long"), 32) + F.col("v")).alias("entry")
     )
@@ -166,51 +187,133 @@ def _postings(classes: DataFrame, rule: NearCopies) -> DataFrame:
     )
     prefix = rule.coordinates - rule.matches + 1
     room = F.greatest(F.lit(0), F.lit(prefix) - (F.lit(rule.coordinates) - F.size("entries")))  # entries of its own come first
-    return ranked.select("rep", "print", F.explode(F.slice("entries", F.lit(1), room)).alias("e")).select("e.entry", "rep", "print")
+    prefixes = ranked.select("rep", "print", F.size("entries").alias("shared"), F.explode(F.slice("entries", F.lit(1), room)).alias("e"))
+    return prefixes.select("e.entry", "rep", "print", "shared")
+
+
+def _bounded(posted: DataFrame, texts: DataFrame, rule: NearCopies) -> DataFrame:
+    """``posted`` with ``held`` (postings of the entry), ``most`` (shingles that a link over it can have in common at most)
+    and ``central`` (the share that others have too); postings that no link can come from are left out."""
+    lists = posted.groupBy("entry").agg(F.count(F.lit(1)).alias("held"))
+    listed = settle(beside(posted, lists, ["entry"]))
+    crowded = F.col("held") > rule.crowd
+    reach = _foreign(listed.where(crowded).select("rep", "print").distinct(), texts, rule)
+    # Counted among the classes of long lists, so it bounds no link over a short one.
+    most = F.when(crowded, F.coalesce("found", F.lit(0))).otherwise(F.col("size"))
+    central = F.when(crowded, F.col("most") / F.col("size")).otherwise(F.col("shared") / F.lit(rule.coordinates))
+    known = beside(listed, reach, ["print"], "left").withColumn("most", most).withColumn("central", central).drop("found", "shared")
+    return settle(known.where(100 * F.col("most") >= rule.threshold * F.col("size")))
+
+
+def _to_hubs(placed: DataFrame, turn: int, rule: NearCopies) -> DataFrame:
+    """Pairs of a class and the hub of an entry, in different parts and with sketches alike: in the first turn one for
+    each class, the most central hub, then no more than there are postings."""
+    order = F.struct(-F.col("central"), "print") if turn == 0 else F.struct(F.xxhash64("print", "entry", F.lit(turn)), "print")
+    seen = F.struct("print", "part", "size", "most", "central", *_lane_names(rule))
+    hubs = placed.groupBy("entry").agg(F.min_by(seen, order).alias("hub"))
+    near = _sizes_allow("x", "hub", rule) & _sketches_alike("x", "hub", rule)
+    met = placed.alias("x").join(hubs, "entry").where(F.expr("part != hub.part") & near)
+    if turn == 0:
+        met = met.groupBy("x.print").agg(F.min_by("hub", F.struct(-F.col("hub.central"), "hub.print")).alias("hub"))
+    return met.select(F.least("print", "hub.print").alias("p"), F.greatest("print", "hub.print").alias("q")).distinct()
 
 
-def _to_hubs(placed: DataFrame, turn: int) -> DataFrame:
-    """Pairs of the hub of an entry and its classes in other parts: no more than there are postings."""
-    order = F.struct("rep", "print") if turn == 0 else F.struct(F.xxhash64("print", "entry", F.lit(turn)), "print")
-    hubs = placed.groupBy("entry").agg(F.min_by(F.struct("print", "part"), order).alias("hub"))
-    met = placed.join(hubs, "entry").where("part != hub.part")
-    return met.select(F.least("print", "hub.print").alias("p"), F.greatest("print", "hub.print").alias("q")).distinct()
+LANE = 7  # bytes of a sketch in one number: the eighth stays free, so that sums below have no overflow
+
+
+def _lanes(rule: NearCopies) -> int:
+    return -(-rule.coordinates // LANE)
+
+
+def _lane_names(rule: NearCopies) -> list[str]:
+    return [f"lane{g}" for g in range(_lanes(rule))]
 
 
 def _lane(g: int, coordinates: int) -> Column:
-    """The low bytes of up to eight coordinates in one number."""
-    count = min(8, coordinates - 8 * g)
-    parts = [F.shiftleft(F.get("signature", F.lit(8 * g + j)).cast("long").bitwiseAND(255), 8 * j) for j in range(count)]
+    """The low bytes of up to ``LANE`` coordinates in one number."""
+    count = min(LANE, coordinates - LANE * g)
+    parts = [F.shiftleft(F.get("signature", F.lit(LANE * g + j)).cast("long").bitwiseAND(255), 8 * j) for j in range(count)]
     return reduce(Column.bitwiseOR, parts)
 
 
-def _equal_bytes(one: str, two: str, coordinates: int) -> Column:
+def _equal_bytes(one: str, two: str, rule: NearCopies) -> Column:
     """How many coordinates have equal low bytes: no fewer than are equal."""
-    found = []
-    for k in range(coordinates):
-        g, j = divmod(k, 8)
-        mask = 255 << 8 * j if j < 7 else -(1 << 56)
-        apart = F.col(f"{one}.lane{g}").bitwiseXOR(F.col(f"{two}.lane{g}"))
-        found.append((apart.bitwiseAND(F.lit(mask).cast("long")) == 0).cast("int"))
-    return reduce(Column.__add__, found)
+    low, high = (F.lit(sum(byte << 8 * j for j in range(LANE))).cast("long") for byte in (0x7F, 0x80))
+    unequal = []
+    for lane in _lane_names(rule):
+        apart = F.col(f"{one}.{lane}").bitwiseXOR(F.col(f"{two}.{lane}"))
+        # The sum sets the upper bit of each byte with a lower bit.
+        unequal.append(F.bit_count((apart.bitwiseAND(low) + low).bitwiseOR(apart).bitwiseAND(high)))
+    return F.lit(rule.coordinates) - reduce(Column.__add__, unequal)
+
+
+def _sketches_alike(one: str, two: str, rule: NearCopies) -> Column:
+    return _equal_bytes(one, two, rule) >= rule.matches
+
+
+def _sizes_allow(one: str, two: str, rule: NearCopies) -> Column:
+    """Whether two sets reach the threshold if they have as many shingles in common as they can at most."""
+    common = F.least(f"{one}.most", f"{two}.most")
+    return (100 + rule.threshold) * common >= rule.threshold * (F.col(f"{one}.size") + F.col(f"{two}.size"))
 
 
-def _across(placed: DataFrame, rule: NearCopies) -> DataFrame:
-    """Pairs of an entry that are not in one part and whose sketches are alike."""
-    mixed = placed.groupBy("entry").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high").select("entry")
-    open_ = settle(placed.join(mixed, "entry"))
-    alike = _equal_bytes("x", "y", rule.coordinates) >= rule.matches
-    apart = F.expr("x.entry = y.entry AND x.print < y.print AND x.part != y.part")
-    met = open_.alias("x").join(open_.alias("y"), apart & alike)
-    return met.select(F.col("x.print").alias("p"), F.col("y.print").alias("q")).distinct()
+def _few_differ(bits: Column, sizes: Column, rule: NearCopies) -> Column:
+    """Whether two sets of ``sizes`` together reach the threshold if they differ in as many shingles as bits."""
+    return (100 + rule.threshold) * bits <= (100 - rule.threshold) * sizes
+
+
+def _across(placed: DataFrame, classes: DataFrame, rule: NearCopies) -> DataFrame:
+    """Pairs of an entry that are not in one part and that no bound keeps apart."""
+    lists = placed.groupBy("entry", "part").agg(F.count(F.lit(1)).alias("n"))
+    lists = lists.groupBy("entry").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    open_ = settle(beside(placed, lists.where("parts > 1").select("entry", "main"), ["entry"]))
+    near = _sketches_alike("x", "y", rule)
+    apart = F.expr("x.entry = y.entry AND x.part != y.part AND (y.part = y.main OR x.print < y.print)") & _sizes_allow("x", "y", rule)
+
+    few = open_.where(F.col("held") <= rule.crowd)
+    met = few.where("part != main").alias("x").join(few.alias("y"), apart & near).select("x.print", F.col("y.print").alias("other"))
+
+    words = range(rule.parities // 64)
+    bits = classes.select("print", *[F.get("parity", F.lit(w)).alias(f"bits{w}") for w in words])
+    crowded = settle(open_.where(F.col("held") > rule.crowd).join(bits, "print"))
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"x.bits{w}").bitwiseXOR(F.col(f"y.bits{w}"))) for w in words])
+    alike = _few_differ(differ, F.col("x.size") + F.col("y.size"), rule) & near
+    met = met.unionByName(
+        crowded.where("part != main").alias("x").join(crowded.alias("y"), apart & alike).select("x.print", F.col("y.print").alias("other"))
+    )
+    return met.select(F.least("print", "other").alias("p"), F.greatest("print", "other").alias("q")).distinct()
+
+
+def _foreign(classes: DataFrame, texts: DataFrame, rule: NearCopies) -> DataFrame:
+    """``print``, ``found``: how many shingles of a class others of ``classes`` have too, or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = _shingler(rule)
+        for batch in batches:
+            for part in small(batch, 256):
+                prints, sets = part.column(0).to_pylist(), [shingler.shingles(t) for t in part.column(1).to_pylist()]
+                own = [(p, s) for p, s in zip(prints, sets) if _print(s) == p]  # rows may share an id
+                yield pa.record_batch([
+                    pa.array([p for p, _ in own], pa.binary()),
+                    pa.array([s.view(np.int64) for _, s in own], pa.list_(pa.int64())),
+                ], names=["print", "sets"])
+
+    sets = classes.join(texts, "rep").select("print", "text").mapInArrow(run, "print binary, sets array<bigint>").dropDuplicates(["print"])
+    held = settle(sets.select(F.xxhash64("print").alias("key"), F.explode("sets").alias("s")))  # equal keys raise the count of both
+    shared = held.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("s")
+    found = beside(held, shared, ["s"]).groupBy("key").agg(F.count(F.lit(1)).alias("found"))
+    return classes.select("print", F.xxhash64("print").alias("key")).join(found, "key").select("print", "found")
 
 
 def _alike(pairs: DataFrame, classes: DataFrame, rule: NearCopies) -> DataFrame:
-    """Pairs (p, q) with enough equal coordinates, with the ids ``a`` and ``b`` of their classes."""
-    p = classes.select(F.col("print").alias("p"), F.col("rep").alias("a"), F.col("signature").alias("s"))
-    q = classes.select(F.col("print").alias("q"), F.col("rep").alias("b"), F.col("signature").alias("t"))
-    equal = F.aggregate(F.zip_with("s", "t", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return pairs.join(p, "p").join(q, "q").where(equal >= rule.matches).select("p", "q", "a", "b")
+    """Pairs (p, q) with enough equal coordinates and few enough bits that differ, with the ids ``a`` and ``b`` of their
+    classes."""
+    p = classes.select(F.col("print").alias("p"), F.col("rep").alias("a"), F.struct("signature", "parity", "size").alias("x"))
+    q = classes.select(F.col("print").alias("q"), F.col("rep").alias("b"), F.struct("signature", "parity", "size").alias("y"))
+    equal = F.aggregate(F.zip_with("x.signature", "y.signature", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+    differ = F.aggregate(F.zip_with("x.parity", "y.parity", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    few = _few_differ(differ, F.col("x.size") + F.col("y.size"), rule)
+    return pairs.join(p, "p").join(q, "q").where((equal >= rule.matches) & few).select("p", "q", "a", "b")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, rule: NearCopies) -> DataFrame:
