@@ -177,3 +177,32 @@ def test_minhash_seldom_misses_a_pair_at_the_limit():
     p = rule.threshold / 100
     missed = sum(math.comb(rule.coordinates, k) * p**k * (1 - p) ** (rule.coordinates - k) for k in range(rule.matches))
     assert missed < 1 / 29_000_000
+
+
+def edited(rng, body, edits):
+    copy = list(body)
+    for _ in range(edits):
+        copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**9)}"
+    return copy
+
+
+def test_a_group_of_near_misses_does_not_meet_in_all_pairs(spark, monkeypatch):
+    rng = random.Random(3)
+    body = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    # All below 80 % of each other (six edits and more), and most above the signatures' 22 of 48.
+    rows = [(i, " ".join(edited(rng, body, rng.choice([6, 7, 8])))) for i in range(400)]
+    rows += [(400 + i, rows[i][1] + " end") for i in range(0, 400, 9)]
+    met, alike = [], minhash._alike
+
+    def counted(pairs, *more):
+        met.append(pairs.count())
+        return alike(pairs, *more)
+
+    monkeypatch.setattr(minhash, "_alike", counted)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r) for r in minhash.near_copies(frame, NearCopies(words=4)).collect())
+    sets = [shingles(t, 4) for _, t in rows]
+    links = [(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    ids = groups([r[0] for r in rows], links)
+    assert got == [(k, len(s), ids[k], ids[k] == k) for (k, _), s in sorted(zip(rows, sets), key=lambda x: x[0][0])]
+    assert 40 < len(links) < 200 and sum(met) < 5 * len(rows)
